@@ -16,6 +16,9 @@ GAP = r"[\x20\x09-\x0D]+"
 #: A key that holds more than 1/HOT_SHARE of all rows is hot; so at most HOT_SHARE keys are.
 HOT_SHARE = 1024
 
+#: A table of classes may be broadcast up to so many rows.
+BROADCAST_ROWS = 50_000
+
 
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -91,19 +94,20 @@ def text_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def join_by_class(rows: DataFrame, classes: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join of ``rows`` to ``classes`` (one row a ``key``; ``count``: its rows).
+def attach_class(rows: DataFrame, classes: DataFrame, key: str, count: str, spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of ``rows`` to the settled ``classes``, which have a row a ``key``; ``count``: the rows it has.
 
-    Keys with over 1/HOT_SHARE of all rows are at most HOT_SHARE many, so their
-    classes may be broadcast; no other key is large enough to fill a task.
+    Classes are broadcast if they are at most ``most``. Else those with over
+    1/HOT_SHARE of all counted rows are: at most HOT_SHARE of them. Their rows then
+    go through the join of the others under keys that ``spread`` deals out.
     """
-    total = classes.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    is_hot = F.col(count) * HOT_SHARE > F.lit(max(total, 1))
-    hot = F.broadcast(classes.where(is_hot).drop(count).withColumn("__hot", F.lit(True)))
-    cold = classes.where(~is_hot).drop(count)
-    others = [c for c in hot.columns if c not in (key, "__hot")]
-    first = rows.join(hot, key, "left")
-    return (
-        first.where(F.col("__hot")).drop("__hot")
-        .unionByName(rows.join(F.broadcast(classes.where(is_hot).select(key)), key, "left_anti").join(cold, key).select(*rows.columns, *others))
-    )
+    if classes.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(classes.drop(count)), key, "left")
+    total = classes.agg(F.sum(count)).first()[0]
+    hot = F.broadcast(classes.where(F.col(count) * HOT_SHARE > F.lit(total)).drop(count))
+    cold = classes.where(F.col(count) * HOT_SHARE <= F.lit(total)).drop(count)
+    others = [c for c in hot.columns if c != key]
+    first = rows.join(hot.select(key, F.struct(*others).alias("__hot")), key, "left")
+    dealt = F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("#"), spread.cast("string")))
+    out = first.withColumn("__dealt", dealt).join(cold.select(F.col(key).cast("string").alias("__dealt"), F.struct(*others).alias("__cold")), "__dealt", "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in others])

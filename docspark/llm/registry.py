@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from docspark.llm import mixing, quality, sharding
+from docspark.llm import mixing, quality, sharding, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_token_binary": tokens.op3_token_binary,
+        "op4_token_counts": tokens.op4_token_counts,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_warc": warc.op8_warc,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_warc": warc.OP8_SQL}
