@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docspark.llm import mixing, quality, sharding, tokens, warc
+from docspark.llm import mixing, neardup, quality, sharding, tokens, warc
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
         "op2_mixing": mixing.op2_mixing,
         "op3_token_binary": tokens.op3_token_binary,
         "op4_token_counts": tokens.op4_token_counts,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op1_minhash_near_dedup": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_warc": warc.OP8_SQL}
