@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import mixing, neardup, quality, sharding, tokens, warc
+from docspark.llm import decontaminate, licenses, mixing, neardup, quality, sharding, tokens, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_token_binary": tokens.op3_token_binary,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_warc": warc.op8_warc,
         "op10_sharding": sharding.op10_sharding,
@@ -18,4 +20,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": neardup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_warc": warc.OP8_SQL}
+    return {
+        "op1_minhash_near_dedup": neardup.OP1_SQL,
+        "op2_mixing": mixing.OP2_SQL,
+        "op5_benchmark_decontamination": decontaminate.OP5_SQL,
+        "op6_license_scan": licenses.OP6_SQL,
+        "op7_quality_rules": quality.OP7_SQL,
+        "op8_warc": warc.OP8_SQL,
+    }
