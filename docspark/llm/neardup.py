@@ -213,6 +213,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
     )
 
 
+def deduplicated(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, and one of rows that repeat an id. Rows without an id stay."""
+    found = settle(near_duplicates(docs, k, doc_id, text).where("doc_id IS NOT NULL"), "near-duplicates")
+    gone = settle(found.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct(), "removed-ids")
+    stay = semi(docs, gone, doc_id, "left_anti")
+    again = settle(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id)), "repeated-ids")
+    if not again.limit(1).count():
+        return stay
+    return semi(stay, again, doc_id, "left_anti").unionByName(semi(stay, again, doc_id).dropDuplicates([doc_id]))
+
+
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
 

@@ -27,6 +27,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from docspark.llm.files import create, new_name, open_file, open_stream
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID, FLAT_END = 2, 49407
-#: Entries that a task remembers of chunks and of words, before it forgets all.
-CHUNKS, WORDS = 400_000, 300_000
+#: Chunks and words that a generation of a worker's memo holds; there are two generations.
+CHUNKS, WORDS = 250_000, 300_000
 FLAT_BLOCK = 1 << 22
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\-]*)")
@@ -55,39 +56,52 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Memo(dict):
-    """Bytes of 16-bit ids by chunk."""
+class _Young(dict):
+    """A bounded memo of two generations: what is used again outlives the change of generation."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, most: int, make):
         super().__init__()
-        self.tokenizer, self.words = tokenizer, {"": b""}
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if got.__class__ is bytes:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+            return got
+        return got[0]
+
+
+class _Memo:
+    """Bytes of 16-bit ids by chunk, and by the words in chunks."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         #: Byte-level tokenizers write byte 0 to 255 as these characters.
         self.letters = {b: chr(b if b in printable else next(other)) for b in range(256)}
+        self.words = _Young(WORDS, self._word)
+        self.chunks = _Young(CHUNKS, self._chunk)
 
-    def word(self, w: str) -> bytes:
-        """A piece for which the pre-tokenizer has no further cut."""
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-                self.words[""] = b""
-            known = "".join(map(self.letters.__getitem__, w.lower().encode()))
-            got = self.words[w] = np.array([t.id for t in self.tokenizer.model.tokenize(known)], "<u2").tobytes()
-        return got
+    def _word(self, w: str) -> bytes:
+        """A piece in lower case for which the pre-tokenizer has no further cut."""
+        known = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(known)]).tobytes() if w else b""
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.clear()
-        if not chunk:
-            got = b""
-        elif simple := _SIMPLE.fullmatch(chunk):
-            got = self.word(simple[1]) + self.word(simple[2])
-        else:
-            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        self[chunk] = got
-        return got
+    def _chunk(self, chunk: str):
+        """A chunk whose word is new isn't kept: most are never seen again."""
+        if simple := _SIMPLE.fullmatch(chunk):
+            word, end = simple.groups()
+            word = word.lower()
+            known = word in self.words
+            got = self.words[word] + self.words[end] if end else self.words[word]
+            return got if known else (got,)
+        return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
 
 
 class Encoder:
@@ -124,7 +138,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if self.memo is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.memo.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encode_texts(texts: list[str], vocabulary: str = VOCABULARY, special_as_text: bool = False) -> list[np.ndarray]:
