@@ -201,11 +201,20 @@ class Collection:
         if isinstance(docs, DataFrame):
             return docs
         names = dict.fromkeys(k for d in docs for k in d)
-        known = {f.name: f for f in self._schema()}
-        if all(n in known for n in names) and names:
-            schema = T.StructType([known[n] for n in names])
-            return self.db.spark.createDataFrame([tuple(d.get(n) for n in names) for d in docs], schema)
-        return self.db.spark.createDataFrame([{n: d.get(n) for n in names} for d in docs])
+        known = {f.name: f.dataType for f in self._schema()}
+        if not names or any(n not in known for n in names):
+            return self.db.spark.createDataFrame([{n: d.get(n) for n in names} for d in docs])
+        for n in names:
+            given = [d[n] for d in docs if d.get(n) is not None]
+            if any(V.value_rank(v) != V.type_rank(known[n]) for v in given) and V.type_rank(known[n]) != V.NULL:
+                raise InvalidArgument(f"{n}: a value's type doesn't fit the field's column")
+            if isinstance(known[n], T.IntegralType) and any(isinstance(v, float) for v in given):
+                known[n] = T.DoubleType()
+            elif isinstance(known[n], T.IntegerType) and any(not -(1 << 31) <= v < 1 << 31 for v in given):
+                known[n] = T.LongType()
+        doubles = {n for n in names if isinstance(known[n], (T.DoubleType, T.FloatType))}
+        rows = [tuple(float(d[n]) if n in doubles and d.get(n) is not None else d.get(n) for n in names) for d in docs]
+        return self.db.spark.createDataFrame(rows, T.StructType([T.StructField(n, known[n]) for n in names]))
 
     def _schema(self) -> T.StructType:
         return T.StructType.fromJson(json.loads(self._state()["schema"]))

@@ -21,6 +21,8 @@ def to_jsonable(v):
     """A value as plain JSON data."""
     if isinstance(v, dict):
         return {k: to_jsonable(x) for k, x in v.items()}
+    if isinstance(v, Regex):  # a tuple, too
+        return {"$regex": v.pattern, "$options": v.options}
     if isinstance(v, (list, tuple)):
         return [to_jsonable(x) for x in v]
     if isinstance(v, ObjectId):
@@ -29,8 +31,6 @@ def to_jsonable(v):
         return {"$date": (v.replace(tzinfo=None) - EPOCH) // datetime.timedelta(milliseconds=1)}
     if isinstance(v, (bytes, bytearray)):
         return {"$binary": base64.b64encode(v).decode()}
-    if isinstance(v, Regex):
-        return {"$regex": v.pattern, "$options": v.options}
     if isinstance(v, re.Pattern):
         return {"$regex": v.pattern, "$options": ""}
     if isinstance(v, Stamp):
