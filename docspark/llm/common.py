@@ -111,3 +111,10 @@ def attach_class(rows: DataFrame, classes: DataFrame, key: str, count: str, spre
     dealt = F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("#"), spread.cast("string")))
     out = first.withColumn("__dealt", dealt).join(cold.select(F.col(key).cast("string").alias("__dealt"), F.struct(*others).alias("__cold")), "__dealt", "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in others])
+
+
+def pieces(batches, rows: int = 400):
+    """Arrow batches cut small, so that a task holds few texts as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import decontaminate, licenses, mixing, neardup, quality, sharding, tokens, warc
+from docspark.llm import decontaminate, licenses, mixing, neardup, quality, sharding, substrings, tokens, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_warc": warc.op8_warc,
+        "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
 
