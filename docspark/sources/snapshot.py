@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from docspark.session import importable
 from docspark.sources import bson, extjson
 
 
@@ -70,7 +71,7 @@ class SnapshotSource(DataSource):
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """collection and doc (VARIANT) of every document below the folder."""
-    spark.dataSource.register(SnapshotSource)
+    importable(spark).dataSource.register(SnapshotSource)
     rows = spark.read.format("docspark_snapshot").option("path", path).load()
     return rows.select("collection", F.parse_json("json").alias("doc"))
 
@@ -78,6 +79,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot(df: DataFrame, path: str, full_name: str) -> None:
     """One file for the collection, written by one task; for the format's sake, not for large tables (those are Parquet)."""
     space, _, name = full_name.partition(".")
+    importable(df.sparkSession)
     rows = extjson.to_json_rows(df).coalesce(1)
 
     def write(batches):
