@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from docspark.llm import decontaminate, licenses, mixing, neardup, quality, sharding, substrings, tokens, warc
+from docspark.session import importable
+
+
+def ready(query):
+    return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_minhash_near_dedup": neardup.op1_minhash_near_dedup,
         "op2_mixing": mixing.op2_mixing,
         "op3_token_binary": tokens.op3_token_binary,
@@ -18,6 +23,7 @@ def queries() -> dict:
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_sharding": sharding.op10_sharding,
     }
+    return {name: ready(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
