@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import settle
+from docspark.llm.common import pieces, settle
 from docspark.llm.neardup import semi
 from docspark.llm.shingles import windows, word_hashes
 
@@ -113,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
         def search(batches, index=index):
             items = ItemIndex(index.value)
-            for b in batches:
+            for b in pieces(batches):
                 found = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in items.found(t)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=types)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.common import pieces
+
 LIKE = 0.85
 
 #: Licence ids with the wordings of their notices, and some full texts.
@@ -122,7 +124,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
 
     def match(batches):
         known = Templates(templates, like)
-        for b in batches:
+        for b in pieces(batches):
             best = [known.best(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[2] for x in best], pa.string()), pa.array([x[1] for x in best], pa.string()), pa.array([x[0] for x in best], pa.float64())], schema=schema

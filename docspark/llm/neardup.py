@@ -11,14 +11,23 @@ but for 1 in 10**10 pairs else. A single value would be as common as its shingle
 and its list grow with the square of the corpus; runs of three are rare unless
 documents share much of their text.
 
-Lists aren't expanded into pairs. In each, up to ``PIVOTS`` members stand for all:
-every member is compared to those, by the estimate from the union of both sketches,
-and its best few are verified exactly, on full shingle sets. Verified links make
-components. What is left are members of one list that are in different components:
-all those pairs are estimated and, if the estimate doesn't exclude them, verified.
-If there are too many of them, other pivots are tried before. So every candidate
-pair is either verified, excluded by the sizes of the sets or by six standard
-deviations of the estimate, or already within one component.
+Lists aren't expanded into pairs. Tasks get bounded blocks of members with their
+sketches, count the values that two of them share for all pairs of the block by one
+matrix product, and return few of those that the count and the sizes of the sets
+don't exclude; full shingle sets decide these. In turn:
+
+1. each member's nearest few within blocks of two of its lists; links make components;
+2. lists that hold several components: members outside a list's largest component
+   ("outsiders") against that whole component, the nearest few again;
+3. the same for outsiders that are left, and outsiders of a list against each other.
+   A first pass names the members that have a pair which sizes and counts don't
+   exclude. A second one has only those in its blocks, with full shingle sets; such
+   pairs are counted in full, and of each member and component the best pair is
+   returned if it is a link.
+
+So every pair that shares a list is decided on full sets, excluded by sizes or by six
+standard deviations of the estimate, or already within one component; and a large
+cloud of copies that are alike through others only returns few pairs a member.
 
 Defined results: no words or a null text is an empty set, linked with nothing;
 rows that share an id are one vertex with the links of all its texts; a row without an
@@ -28,19 +37,19 @@ text are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import attach_class, let, settle, unsettle
+from docspark.llm.common import attach_class, let, pieces, settle, unsettle
 from docspark.llm.components import components
 from docspark.llm.shingles import jaccard, shingle_hashes, shingle_set
 
-K, PIVOTS, BEST = 64, 16, 3
+K, BEST = 64, 3
+#: Members of a list or component that a task compares at once, and values in one matrix product.
+CHUNK, COLUMNS = 512, 4096
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Six standard deviations of the estimate from K values.
@@ -54,13 +63,13 @@ def sketches(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.string()), ("sketch", pa.list_(pa.int64()))])
 
     def build(batches):
-        for b in batches:
+        for b in pieces(batches):
             n, fp, sketch = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_hashes(t, k)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                sketch.append(s[:K])
+                sketch.append(s[:K].copy())
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sketch])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp), lists], schema=schema)
@@ -112,7 +121,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def exact(batches):
         last, kept = None, set()
-        for batch in batches:
+        for batch in pieces(batches):
             linked = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if tb != last:
@@ -131,13 +140,143 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Pairs of members and pivots; of each member's lists, the longest and another that its likes choose, too."""
-    per_doc = lists.groupBy("v").agg(F.max(F.struct("c", "key")).alias("x"), F.min(F.struct(F.xxhash64("key", F.lit(seed)), "key")).alias("y"))
-    chosen = per_doc.select("v", F.explode(F.array_distinct(F.array("x.key", "y.key"))).alias("key"))
-    by_slot = chosen.groupBy("key", F.pmod(F.xxhash64("v", "key", F.lit(seed)), F.lit(PIVOTS)).alias("slot"))
-    pivots = by_slot.agg(F.min(F.struct(F.xxhash64("v", F.lit(seed)), "v")).alias("p")).select("key", F.col("p.v").alias("p"))
-    return ordered(chosen.join(pivots, "key"), "v", "p")
+def shared_values(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each of the sketches ``left`` shares with each of ``right``."""
+    values = np.concatenate(sketches)
+    row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    common = count > 1
+    number = np.cumsum(common) - 1
+    row, column = row[common[column]], number[column[common[column]]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(sketches), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def fitting(v, n, label, side, sets):
+    """Left and right members of a block, shares of values of their pairs, and which pairs may be links between components.
+
+    Left members have side 0, right ones side 1; if there is no right, left ones are compared with each other.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(right):
+        right = left
+    if not len(left) or len(v) < 2:
+        return left[:0], right[:0], np.zeros((0, 0)), np.zeros((0, 0), bool)
+    length = np.minimum([len(s) for s in sets], K)
+    shared = shared_values([s[:K] for s in sets], left, right) / np.minimum(length[left][:, None], length[right][None, :])
+    nl, nr = n[left][:, None], n[right][None, :]
+    fits = (shared >= PERCENT / 100 - MARGIN) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * PERCENT)
+    fits &= label[left][:, None] != label[right][None, :]
+    return left, right, shared, fits
+
+
+def touched(v, n, label, side, sets):
+    """Members that have a pair which isn't excluded; twice, and a zero, to be of the form of pairs."""
+    left, right, _, fits = fitting(v, n, label, side, sets)
+    some = np.unique(np.concatenate([v[left[fits.any(1)]], v[right[fits.any(0)]]])) if fits.size else v[:0]
+    return some, some, np.zeros(len(some))
+
+
+def near_pairs(v, n, label, side, sets, top: int | None):
+    """Arrays v, v and share of values, for pairs of a block in different components.
+
+    With ``top``, sets are sketches, and of each left member the best are returned. Else they are full, and of
+    each left member and component the best is returned, if it is a link.
+    """
+    left, right, shared, fits = fitting(v, n, label, side, sets)
+    if not fits.any():
+        return v[:0], v[:0], np.zeros(0)
+    if top is not None:
+        if shared.shape[1] > top:
+            best = np.argpartition(np.where(fits, -shared, 1), top - 1, axis=1)[:, :top]
+            chosen = np.zeros_like(fits)
+            np.put_along_axis(chosen, best, True, axis=1)
+            fits &= chosen
+        i, j = np.nonzero(fits)
+        return v[left[i]], v[right[j]], shared[i, j].astype(np.float64)
+    some, others = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+    left, right = left[some], right[others]
+    used = np.unique(np.concatenate([left, right]))
+    both = shared_values([sets[k] for k in used], np.searchsorted(used, left), np.searchsorted(used, right))
+    like = both / (n[left][:, None] + n[right][None, :] - both)
+    linked = fits[np.ix_(some, others)] & (100 * both >= PERCENT * (n[left][:, None] + n[right][None, :] - both))
+    i, j = np.nonzero(linked)
+    order = np.lexsort((-like[i, j], label[right[j]], i))
+    i, j = i[order], j[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (label[right[j[1:]]] != label[right[j[:-1]]])
+    i, j = i[first], j[first]
+    return v[left[i]], v[right[j]], like[i, j].astype(np.float64)
+
+
+def in_blocks(rows: DataFrame, compare) -> DataFrame:
+    """key, block, a, b, like: what ``compare`` returns of each block (key, block) of rows key, block, side, v, n, label, sketch."""
+
+    def run(batches):
+        ready: list = []
+
+        def block_done(at, held) -> bool:
+            """Whether enough is ready to be sent."""
+            columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
+            pairs = compare(*columns, [s for h in held for s in h[4]])
+            if n := len(pairs[0]):
+                ready.append((np.full(n, at[0]), np.full(n, at[1]), *pairs))
+            return sum(len(x[0]) for x in ready) > 20_000 or len(ready) > 2000
+
+        def send():
+            columns = [pa.array(np.concatenate(x)) for x in zip(*ready)]
+            ready.clear()
+            return pa.RecordBatch.from_arrays(columns, ["key", "block", "a", "b", "like"])
+
+        held, at = [], None
+        for b in batches:
+            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            v, n, label, side = (b.column(c).to_numpy() for c in (3, 4, 5, 2))
+            sets = [np.frombuffer(s, ">i8") for s in b.column(6).to_pylist()]
+            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            cuts = [0, *new.tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                here = (key[i], block[i])
+                if held and here != at:
+                    if block_done(at, held):
+                        yield send()
+                    held = []
+                at = here
+                held.append((v[i:j], n[i:j], label[i:j], side[i:j], sets[i:j]))
+        if held:
+            block_done(at, held)
+        if ready:
+            yield send()
+
+    dealt = rows.select("key", "block", F.col("side").cast("int").alias("side"), "v", "n", "label", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "side")
+    return dealt.mapInArrow(run, "key long, block long, a long, b long, like double")
+
+
+def _screened(rows: DataFrame, top: int | None) -> DataFrame:
+    """near_pairs of each block, as (a, b, like)."""
+    pairs = in_blocks(rows, lambda *block: near_pairs(*block, top))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "like").groupBy("a", "b").agg(F.max("like").alias("like"))
+
+
+def _chunk(v: str, chunks: Column) -> Column:
+    return F.pmod(F.xxhash64(v), chunks).cast("long")
+
+
+def _chunks(count: str) -> Column:
+    return F.ceil(F.col(count) / CHUNK).cast("long")
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, v: str, name: str) -> DataFrame:
@@ -146,54 +285,110 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, v: str, name: str) -> D
     return rows.join(labels.select(F.col("v").alias(v), F.col("label").alias("__l")), v, "left").withColumn(name, F.coalesce("__l", v)).drop("__l")
 
 
+def _within_lists(lists: DataFrame, classes: DataFrame, top: int) -> DataFrame:
+    """The nearest of each member, in two of its lists: the longest, and one that its likes choose, too."""
+    per_doc = lists.groupBy("v").agg(F.max(F.struct("c", "key")).alias("x"), F.min(F.struct(F.xxhash64("key"), "key", "c")).alias("y"))
+    chosen = per_doc.select("v", F.inline(F.array_distinct(F.array(F.struct("x.key", "x.c"), F.struct("y.key", "y.c")))))
+    rows = chosen.join(classes, "v").withColumns({"block": _chunk("v", _chunks("c")), "side": F.lit(0), "label": F.col("v")})
+    return _screened(rows, top)
+
+
+def _against_components(outsiders: DataFrame, members: DataFrame) -> DataFrame:
+    """Blocks (key, block, side, v, label) of outsiders (v, label, key) and the members (v, label) of the component that is their key."""
+    out = outsiders.groupBy("key").agg(F.count(F.lit(1)).alias("no"))
+    sizes = members.groupBy(F.col("label").alias("key")).agg(F.count(F.lit(1)).alias("nm")).join(out, "key")
+    sizes = settle(sizes.select("key", _chunks("no").alias("co"), _chunks("nm").alias("cm")), "component-sizes")
+    left = outsiders.join(sizes, "key").withColumn("own", _chunk("v", F.col("co"))).withColumn("k", _each(F.col("cm")))
+    left = left.select("key", (F.col("own") * F.col("cm") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
+    right = members.withColumn("key", F.col("label")).join(sizes, "key").withColumn("own", _chunk("v", F.col("cm"))).withColumn("k", _each(F.col("co")))
+    return left.unionByName(right.select("key", (F.col("k") * F.col("cm") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label"))
+
+
+def _among_outsiders(outsiders: DataFrame) -> DataFrame:
+    """Blocks of outsiders (key: a list, v, label) of a list against each other."""
+    sizes = settle(outsiders.groupBy("key").agg(F.count(F.lit(1)).alias("no")).where("no > 1").select("key", _chunks("no").alias("co")), "outsider-counts")
+    rows = outsiders.join(sizes, "key").withColumn("own", _chunk("v", F.col("co")))
+    few = rows.where("co = 1").select("key", F.col("own").alias("block"), F.lit(0).alias("side"), "v", "label")
+    many = rows.where("co > 1").withColumn("k", _each(F.col("co")))
+    left = many.select("key", (F.col("own") * F.col("co") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
+    right = many.select("key", (F.col("k") * F.col("co") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label")
+    return few.unionByName(left).unionByName(right)
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of lists with several components, outside the largest: key, v, label, top. Settled."""
+    placed = settle(_labelled(lists.select("key", "v"), labels, "v", "label"), "placed-lists")
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    of_list = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    out = settle(placed.join(of_list.where("parts > 1").select("key", F.col("top.label").alias("top")), "key").where("label <> top"), "outsiders")
+    unsettle(placed)
+    return out
+
+
+def _best(pairs: DataFrame, top: int) -> DataFrame:
+    """Of each vertex, its ``top`` likeliest pairs. Settled."""
+    sides = pairs.select("a", "b", "like", F.explode(F.array("a", "b")).alias("v"))
+    order = Window.partitionBy("v").orderBy(F.desc("like"), "a", "b")
+    return settle(sides.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).select("a", "b").distinct(), "best-pairs")
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """v, n and full set (hashes) of settled ids (doc_id). Settled."""
+
+    def build(batches):
+        for b in pieces(batches):
+            sets = [shingle_hashes(t, k) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["v", "n", "sketch"]
+            )
+
+    return settle(semi(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(build, "v long, n long, sketch binary").distinct(), "full-sets")
+
+
+def _linksin_blocks(blocks: DataFrame, thin: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(a, b, like) of links found in settled blocks, on full sets of the members that have a pair which isn't excluded."""
+    some = settle(in_blocks(blocks.join(thin, "v"), touched).select("key", "block", F.col("a").alias("v")).distinct(), "touched-members")
+    ids = settle(some.select(F.col("v").alias("doc_id")).distinct(), "touched-ids")
+    full = _full_sets(ids, docs, k)
+    return _screened(blocks.join(some, ["key", "block", "v"], "left_semi").join(full, "v"), None)
+
+
 def linked_classes(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
-    """(v, label) of the vertices that have links; None if there are none. classes: v, n, sketch; docs: doc_id, text (binary)."""
+    """(v, label) of the vertices that have links. classes: v, n, sketch; docs: doc_id, text (binary)."""
     keyed = classes.select("v", F.explode(run_keys(F.col("n"), F.col("sketch"))).alias("key"))
     counts = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).where("c > 1 AND a <> b"), "list-counts")
-    twos = settle(ordered(counts.where("c = 2"), "a", "b"), "list-pairs")
+    twos = settle(estimated(ordered(counts.where("c = 2"), "a", "b"), classes), "list-pairs")
     lists = settle(keyed.join(counts.where("c > 2").select("key", "c"), "key").distinct(), "lists")
     unsettle(counts)
-    rows = lists.count()
-    links, tested, labels = [], [], None
-    for turn in range(3):
-        pairs = _pivot_pairs(lists, turn)
-        if turn == 0:
-            pairs = pairs.unionByName(twos).distinct()
+    packed = F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    members = lists.select("v").distinct()
+    thin = settle(classes.join(members, "v", "left_semi").select("v", "n", packed.alias("sketch")), "list-sketches")
+
+    pairs = _best(_within_lists(lists, thin, BEST).unionByName(twos), BEST)
+    tested = verified(pairs, docs, k)
+    links = tested.where("linked").select("a", "b")
+    labels = components(links)
+    for top in (BEST, None):
+        outsiders = _open(lists, labels)
+        members = _labelled(thin.select("v"), labels, "v", "label")
+        blocks = _against_components(outsiders.select("v", "label", F.col("top").alias("key")).distinct(), members)
+        if top is not None:
+            found = _screened(blocks.join(thin, "v"), top)
         else:
-            pairs = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-        for t in tested:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        found = settle(estimated(pairs, classes), "estimates")
-        sides = found.select("a", "b", "like", F.explode(F.array("a", "b")).alias("v"))
-        order = Window.partitionBy("v").orderBy(F.desc("like"), "a", "b")
-        best = settle(sides.withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST).select("a", "b").distinct(), "best-pairs")
-        tested.append(verified(best, docs, k))
-        links.append(tested[-1].where("linked").select("a", "b"))
-        unsettle(found, best)
-        labels = components(reduce(DataFrame.unionByName, links))
-        # Of each list: its components with their sizes; all but the largest are outsiders.
-        placed = settle(_labelled(lists, labels, "v", "label").select("key", "v", "label"), "placed-lists")
-        sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-        of_list = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
-        open_lists = settle(of_list.where("parts > 1").select("key", F.col("top.label").alias("top"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("pairs")), "open-lists")
-        left = open_lists.agg(F.sum("pairs")).first()[0] or 0
-        if left <= 2 * rows:
-            break
-        if turn < 2:
-            unsettle(placed, open_lists)
-    members = placed.join(open_lists, "key")
-    outsiders = members.where("label <> top").select("key", F.col("v").alias("o"), F.col("label").alias("lo"))
-    apart = ordered(members.select("key", "v", "label").join(outsiders, "key").where("label <> lo"), "v", "o")
-    two = _labelled(_labelled(twos, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    rest = apart.unionByName(two).distinct()
-    for t in tested:
-        rest = rest.join(t.select("a", "b"), ["a", "b"], "left_anti")
-    more = settle(estimated(rest, classes).select("a", "b"), "rest-pairs")
-    unsettle(lists, twos, placed, open_lists)
-    if not more.limit(1).count():
-        return labels
-    last = verified(more, docs, k).where("linked")
-    return components(reduce(DataFrame.unionByName, [*links, last.select("a", "b")]))
+            blocks = settle(blocks.unionByName(_among_outsiders(outsiders.select("key", "v", "label"))), "blocks")
+            apart = _labelled(_labelled(twos, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+            found = _linksin_blocks(blocks, thin, docs, k).unionByName(apart.select("a", "b", "like"))
+        new = settle(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "new-pairs")
+        unsettle(outsiders)
+        if not new.limit(1).count():
+            continue
+        checked = verified(new, docs, k)
+        if checked.where("linked").limit(1).count():
+            links = links.unionByName(checked.where("linked").select("a", "b"))
+            labels = components(links)
+        tested = tested.unionByName(checked)
+    unsettle(lists, twos, thin)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import attach_class, settle, work_dir
+from docspark.llm.common import attach_class, pieces, settle, work_dir
 from docspark.llm.files import create, new_name, open_stream
 
 MIN_REVISIT = 1000
@@ -139,7 +139,7 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
 
     def archive(batches):
         path, out, n = new_name(folder, "warc.gz"), None, 0
-        for b in batches:
+        for b in pieces(batches, 50):
             for r in b.to_pylist():
                 out = out or create(path)
                 out.write(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"]))
