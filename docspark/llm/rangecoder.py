@@ -7,10 +7,10 @@ arithmetic is of integers only, so any machine decodes what another has encoded.
 
 The model has three predictors. Order 2 and order 1 predict the id that last
 followed the last two ids, or the last one; order 0 predicts the block's leading
-id. Each has an adaptive probability of being right by its confidence, and a
-weight that follows its success; the weighted probabilities are mixed, predictors
-that agree add up, and the rest is shared equally by all 2**16 ids. The coder
-narrows its range to the part of the mixed distribution that belongs to the id.
+id. Each is believed by its confidence, which grows when it is right, and by a weight
+that follows its success; the weighted probabilities are mixed, and the rest is
+shared equally by all 2**16 ids. The coder narrows its range to the part of the
+mixed distribution that belongs to the id; a carry goes into digits already written.
 """
 
 from __future__ import annotations
@@ -23,100 +23,69 @@ import numpy as np
 #: Ids in a block, and blocks in lockstep.
 BLOCK, LANES = 1024, 4096
 ID_BITS = 16
-ORDER1, ORDER2 = 256, 1024
+ORDER1, ORDER2 = 128, 256
 ONE = 1 << 12
 U = np.uint64
-TOP, BOT, FIRST_RANGE = U(1 << 48), U(1 << 40), U((1 << 64) - 1)
-SHIFT, WORD_BITS, HIGH = U(12 + ID_BITS), U(16), U(48)
+LOW, FIRST_RANGE = U(1 << 32), U((1 << 64) - 1)
+SHIFT, DIGIT = U(12 + ID_BITS), U(32)
 HEAD = struct.Struct("<III")
+#: Probability of being right, in parts of ONE, by confidence 0 to 7.
+BELIEF = np.array([400, 1700, 2500, 3000, 3300, 3500, 3650, 3800], np.int32)
+LEAST_WEIGHT, MOST, UNIT = 64, 7 << ID_BITS, 1 << ID_BITS
+SHARE = ((1 << 24) // np.maximum(np.arange(3 * ONE + 1), 1)).astype(np.int32)
 
 
 class Model:
-    """Predictions of ``lanes`` blocks at the same place."""
+    """Predictions of ``lanes`` blocks at the same place. A table's entry is id + (confidence << 16)."""
 
     def __init__(self, lanes: int):
         self.n = lanes
         self.base1 = np.arange(lanes, dtype=np.int32) * ORDER1
         self.base2 = np.arange(lanes, dtype=np.int32) * ORDER2
-        self.base8 = np.arange(lanes, dtype=np.int32) * 8
-        #: id + (confidence << 16)
         self.t1 = np.zeros(lanes * ORDER1, np.int32)
         self.t2 = np.zeros(lanes * ORDER2, np.int32)
         self.t0 = np.zeros(lanes, np.int32)
-        start = np.minimum(np.arange(8) * 500 + 200, 3900).astype(np.int32)
-        self.right = [np.tile(start, lanes) for _ in range(3)]
         self.weight = [np.full(lanes, ONE // 2, np.int32) for _ in range(3)]
-        self.c1 = np.zeros(lanes, np.int32)
-        self.c2 = np.zeros(lanes, np.int32)
+        self.h1 = np.zeros(lanes, np.int32)
+        self.h2 = np.zeros(lanes, np.int32)
 
     def narrow(self, n: int) -> None:
         """Goes on with the first n lanes."""
         if n != self.n:
             self.n = n
-            self.base1, self.base2, self.base8 = self.base1[:n], self.base2[:n], self.base8[:n]
-            self.t0, self.c1, self.c2 = self.t0[:n], self.c1[:n], self.c2[:n]
+            self.base1, self.base2, self.t0, self.h1, self.h2 = (x[:n] for x in (self.base1, self.base2, self.t0, self.h1, self.h2))
             self.weight = [w[:n] for w in self.weight]
 
     def predict(self):
         """Ids of the three predictors, and the parts of ONE that each has."""
-        self.i1 = self.base1 + ((self.c1 * np.int32(40503) >> 7) & (ORDER1 - 1))
-        self.i2 = self.base2 + (((self.c1 * np.int32(40503)) ^ (self.c2 * np.int32(30011)) >> 3) & (ORDER2 - 1))
-        self.packed = (self.t2[self.i2], self.t1[self.i1], self.t0)
-        self.at, probability = [], []
-        for k in range(3):
-            at = self.base8 + (self.packed[k] >> ID_BITS)
-            self.at.append(at)
-            probability.append(self.right[k][at])
-        self.probability = probability
-        unit = (1 << 24) // (self.weight[0] + self.weight[1] + self.weight[2])
-        a, b, c = (probability[k] * (self.weight[k] * unit >> 12) >> 12 for k in range(3))
-        ids = [p & 0xFFFF for p in self.packed]
-        same = ids[1] == ids[0]
-        a, b = a + b * same, b * ~same
-        same = ids[2] == ids[0]
-        a, c = a + c * same, c * ~same
-        same = ids[2] == ids[1]
-        b, c = b + c * same, c * ~same
-        self.ids = ids
-        return ids, (a, b, c)
+        self.i1 = self.base1 + ((self.h1 >> 9) & (ORDER1 - 1))
+        self.i2 = self.base2 + (((self.h1 ^ (self.h2 >> 3)) >> 6) & (ORDER2 - 1))
+        self.packed = (self.t2.take(self.i2), self.t1.take(self.i1), self.t0)
+        w = self.weight
+        unit = SHARE.take(w[0] + w[1] + w[2])
+        a, b, c = (BELIEF.take(p >> ID_BITS) * (v * unit >> 12) >> 12 for p, v in zip(self.packed, w))
+        self.ids = [p & 0xFFFF for p in self.packed]
+        both = b * (self.ids[1] == self.ids[0])  # predictors that agree add up
+        return self.ids, (a + both, b - both, c)
 
     def update(self, x: np.ndarray) -> None:
         new = []
         for k in range(3):
-            packed, hit = self.packed[k], self.ids[k] == x
-            aim = hit.astype(np.int32) << 12
-            p = self.probability[k]
-            self.right[k][self.at[k]] = np.clip(p + (aim - p >> 4), 16, 4000)
+            p, hit = self.packed[k], self.ids[k] == x
             w = self.weight[k]
-            self.weight[k] = np.maximum(w + (aim - w >> 5), 64)
-            confidence = packed >> ID_BITS
-            grown = packed + ((confidence < 7).astype(np.int32) << ID_BITS)
-            shrunk = np.where(confidence > 1, self.ids[k] | (confidence >> 1 << ID_BITS), x)
-            new.append(np.where(hit, grown, shrunk))
+            w += ((hit * np.int32(ONE)) - w) >> 5
+            np.maximum(w, LEAST_WEIGHT, out=w)
+            right = p + (p < MOST) * np.int32(UNIT)
+            wrong = np.where(p >= 2 * UNIT, p - np.int32(UNIT), x)
+            new.append(np.where(hit, right, wrong))
         self.t2[self.i2], self.t1[self.i1], self.t0 = new
-        self.c2, self.c1 = self.c1, x
+        self.h2, self.h1 = self.h1, x * np.int32(40503)
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
     return np.minimum(block, n - np.arange(0, n, block))
 
 
-def _settle(low, span, emit):
-    """Shifts settled digits out of low; emit(lanes, digits)."""
-    while True:
-        settled = (low ^ (low + span)) < TOP
-        need = settled | (span < BOT)
-        at = np.flatnonzero(need)
-        if not len(at):
-            return
-        if not settled[at].all():
-            under = at[~settled[at]]
-            span[under] = (U(0) - low[under]) & (BOT - U(1))
-        emit(at, low[at] >> HIGH)
-        low[at] <<= WORD_BITS
-        span[at] <<= WORD_BITS
-
-
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """Blocks of at most ``block`` ids each, with their heads. ids: uint16."""
     out: list[bytes] = []
@@ -134,13 +103,9 @@ def _encode(ids: np.ndarray, block: int) -> list[bytes]:
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     model = Model(lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, FIRST_RANGE)
-    digits = np.zeros((lanes, 2 * steps + 8), np.uint16)
+    digits = np.zeros((lanes, steps + 3), np.uint32)
     place = np.zeros(lanes, np.int64)
 
-    def emit(at, digit):
-        digits[at, place[at]] = digit
-        place[at] += 1
-
     done = []
     for t in range(steps):
         n = lanes if t < lengths[-1] else lanes - 1
@@ -158,25 +123,39 @@ def _encode(ids: np.ndarray, block: int) -> list[bytes]:
             begin = np.where(hit, 0 if before is None else before << ID_BITS, begin)
             size = np.where(hit, part << ID_BITS, size)
         unit = span >> SHIFT
-        low += unit * begin.astype(U)
-        span[:] = unit * size.astype(U)
-        _settle(low, span, emit)
+        new = low + unit * begin.astype(U)
+        _carry(digits, place, np.flatnonzero(new < low))
+        low, span = new, unit * size.astype(U)
+        at = np.flatnonzero(span < LOW)
+        digits[at, place[at]] = low[at] >> DIGIT
+        place[at] += 1
+        low[at] <<= DIGIT
+        span[at] <<= DIGIT
         model.update(x)
     done.append((low, 0))
     for rest_low, first in done:
         at = np.arange(first, first + len(rest_low))
-        for _ in range(4):
-            digits[at, place[at]] = rest_low >> HIGH
+        for _ in range(2):
+            digits[at, place[at]] = rest_low >> DIGIT
             place[at] += 1
-            rest_low = rest_low << WORD_BITS
+            rest_low = rest_low << DIGIT
     out, raw = [], np.ascontiguousarray(ids, "<u2")
     for k in range(lanes):
-        code = digits[k, : place[k]].astype("<u2").tobytes()
+        code = digits[k, : place[k]].astype("<u4").tobytes()
         n = int(lengths[k])
         out.append(HEAD.pack(n, len(code), zlib.crc32(raw[k * block : k * block + n])) + code)
     return out
 
 
+def _carry(digits: np.ndarray, place: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to the last digit written of the lanes ``at``, and goes on to those before where it overflows."""
+    back = 1
+    while len(at):
+        digits[at, place[at] - back] += 1
+        at = at[digits[at, place[at] - back] == 0]
+        back += 1
+
+
 class Damaged(ValueError):
     """A block whose checksum doesn't hold."""
 
@@ -198,42 +177,41 @@ def _decode(data: bytes, heads: list) -> list[np.ndarray]:
     order = sorted(range(len(heads)), key=lambda k: -heads[k][0])
     lengths = np.array([heads[k][0] for k in order])
     lanes, steps = len(heads), int(lengths[0])
-    codes = [np.frombuffer(data, "<u2", heads[k][2] // 2, heads[k][1]) for k in order]
+    codes = [np.frombuffer(data, "<u4", heads[k][2] // 4, heads[k][1]) for k in order]
     place = np.concatenate([[0], np.cumsum([len(c) for c in codes])])[:-1].astype(np.int64)
-    flat = np.concatenate([*codes, np.zeros(8, np.uint16)]).astype(U)
+    flat = np.concatenate([*codes, np.zeros(4, np.uint32)]).astype(U)
     code = np.zeros(lanes, U)
-    for _ in range(4):
-        code = (code << WORD_BITS) | flat[place]
+    for _ in range(2):
+        code = (code << DIGIT) | flat[place]
         place += 1
     model = Model(lanes)
-    low, span = np.zeros(lanes, U), np.full(lanes, FIRST_RANGE)
+    span = np.full(lanes, FIRST_RANGE)
     table = np.zeros((steps, lanes), np.uint16)
 
-    def emit(at, _):
-        code[at] = (code[at] << WORD_BITS) | flat[place[at]]
-        place[at] += 1
-
     n = lanes
     for t in range(steps):
         if lengths[n - 1] <= t:
             n = int(np.searchsorted(-lengths, -t, side="left"))
             model.narrow(n)
-            low, span, code, place = low[:n], span[:n], code[:n], place[:n]
+            span, code, place = span[:n], code[:n], place[:n]
         (i2, i1, i0), (a, b, c) = model.predict()
         ab, abc = a + b, a + b + c
         rest = ONE - abc
         unit = span >> SHIFT
-        v = np.minimum((code - low) // unit, U((1 << 28) - 1)).astype(np.int32)
+        v = np.minimum(code // unit, U((1 << 28) - 1)).astype(np.int32)
         slot = v >> ID_BITS
         begin = abc << ID_BITS
-        other = (v - begin) // rest
+        other = ((v - begin) / rest).astype(np.int32)  # exact: both are far below 2**53
         in_a, in_b, in_c = slot < a, slot < ab, slot < abc
         x = np.where(in_a, i2, np.where(in_b, i1, np.where(in_c, i0, other)))
         begin = np.where(in_a, 0, np.where(in_b, a << ID_BITS, np.where(in_c, ab << ID_BITS, begin + other * rest)))
         size = np.where(in_a, a << ID_BITS, np.where(in_b, b << ID_BITS, np.where(in_c, c << ID_BITS, rest)))
-        low += unit * begin.astype(U)
-        span[:] = unit * size.astype(U)
-        _settle(low, span, emit)
+        code -= unit * begin.astype(U)
+        span = unit * size.astype(U)
+        at = np.flatnonzero(span < LOW)
+        code[at] = (code[at] << DIGIT) | flat[place[at]]
+        place[at] += 1
+        span[at] <<= DIGIT
         table[t, :n] = x
         model.update(x)
     table = np.ascontiguousarray(table.T)

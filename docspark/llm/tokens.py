@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm import rangecoder
-from docspark.llm.common import settle, work_dir
+from docspark.llm.common import pieces, settle, work_dir
 from docspark.llm.files import create, new_name, open_file, open_stream
 
 VOCABULARY = "word_bpe_49k.json"
@@ -173,7 +173,7 @@ def write_coded(docs: DataFrame, folder: str | None = None, vocabulary: str = VO
         path, out, first, n_docs, n_ids = new_name(folder, "ids"), None, None, 0, 0
         held: list = []
         ids = bytearray()
-        for b in batches:
+        for b in pieces(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if out is None:
                     out, first = create(path), d
@@ -254,7 +254,7 @@ def write_flat(docs: DataFrame, folder: str | None = None, vocabulary: str = VOC
     def write(batches):
         encoder = Encoder.of(vocabulary, True)
         path, out, n = new_name(folder, "bin"), None, 0
-        for b in batches:
+        for b in pieces(batches):
             out = out or create(path)
             for t in b.column(1).to_pylist():
                 out.write(encoder.ids(t) + end)
