@@ -10,11 +10,11 @@ middle of a line shares no line.)
 MinHash values of a paragraph's 5-word shingles are banded: ``ROWS`` values a band,
 ``tuned_bands`` bands, the fewest by which a passage of four paragraphs with a
 Jaccard similarity of 0.8 is missed once in a thousand. Paragraphs of different
-documents that share a band collide. Equal ones are one class; of other classes that
-share a band, one leads, and all are verified against it by exact Jaccard similarity
-of their shingles; those that fail go on among themselves with a new leader. Links
-make components; in each, paragraphs of the document that has the first one stay,
-and those of other documents are removed.
+documents that share a band collide. Equal ones are one class. Classes that share a
+band are compared in bounded blocks inside tasks; of each, its few nearest with a
+Jaccard similarity of 0.8 are verified on the words. Links make components; in
+each, paragraphs of the document that has the first one stay, and those of other
+documents are removed.
 
 Defined results: a row for each paragraph whose component is in several documents;
 texts of under SPAN words, empty and null ones have no paragraph; rows with null ids
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import attach_class, pieces, settle, unsettle
 from docspark.llm.components import components
-from docspark.llm.neardup import ordered, semi, verified
-from docspark.llm.shingles import mixed, windows, word_hashes, words
+from docspark.llm.neardup import BEST, CHUNK, fitting, in_blocks, ordered, semi, verified
+from docspark.llm.shingles import mixed, shingle_hashes, windows, word_hashes, words
 
 SPAN, PLACES, SHINGLE = 25, 26, 5
 ROWS, LIKE, PARAGRAPHS, MISSED = 2, 0.8, 4, 0.001
@@ -114,22 +114,44 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, text binary")
 
 
-def near_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def nearest_links(v, n, label, side, sets):
+    """Of each paragraph of a block, the few most alike that are links. Sets are full."""
+    left, right, shared, fits = fitting(v, n, label, side, sets)
+    if not fits.any():
+        return v[:0], v[:0], np.zeros(0)
+    nl, nr = n[left][:, None], n[right][None, :]
+    both = shared * np.minimum(nl, nr)
+    like = np.where(fits, both / (nl + nr - both), 0)
+    if like.shape[1] > BEST:
+        least = np.partition(like, -BEST, axis=1)[:, -BEST][:, None]
+        like = np.where(like >= least, like, 0)
+    i, j = np.nonzero(like >= LIKE - 1e-6)
+    order = np.lexsort((-like[i, j], i))
+    i, j = i[order], j[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)  # of equally alike ones, no more than the few
+    i, j = i[rank < BEST], j[rank < BEST]
+    return v[left[i]], v[right[j]], like[i, j].astype(np.float64)
+
+
+def near_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of classes that are alike. lists: (key, v), settled; classes: v, doc_id, start; docs: doc_id, text (binary)."""
-    links = None
     members = settle(classes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "doc_id", "start"), "list-paragraphs")
     texts = settle(_texts(docs, members), "paragraph-texts")
-    while lists.limit(1).count():
-        led = settle(lists.join(lists.groupBy("key").agg(F.min("v").alias("lead")), "key").where("v <> lead"), "led-lists")
-        checked = verified(settle(ordered(led, "v", "lead"), "led-pairs"), texts, SHINGLE)
-        good = checked.where("linked").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        failed = led.withColumn("a", F.least("v", "lead")).withColumn("b", F.greatest("v", "lead")).join(good, ["a", "b"], "left_anti")
-        several = failed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        new = settle(failed.join(several, "key").select("key", "v"), "lists")
-        unsettle(led)
-        lists = new
-    unsettle(texts, members)
+
+    def build(batches):
+        for b in pieces(batches):
+            sets = [shingle_hashes(t, SHINGLE) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["v", "n", "sketch"]
+            )
+
+    sets = texts.mapInArrow(build, "v long, n long, sketch binary")
+    chunks = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    rows = lists.join(chunks, "key").join(sets, "v")
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("v"), F.col("chunks")), "side": F.lit(0), "label": F.col("v")})
+    pairs = settle(ordered(in_blocks(rows, nearest_links), "a", "b"), "near-paragraphs")
+    links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
+    unsettle(texts, members, pairs)
     return links
 
 
@@ -139,16 +161,15 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     keyed = units.select("doc_id", "start", "v", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("v").alias("va"), F.max("v").alias("vb")).where("a <> b")
     shared = settle(shared.select("key", (F.col("va") != F.col("vb")).alias("several")), "shared-keys")
-    found = settle(semi(keyed, shared.select("key"), "key"), "colliding-paragraphs")
+    # A join by key at any size: Spark splits a key that many paragraphs have.
+    found = settle(keyed.join(shared.select("key"), "key", "left_semi"), "colliding-paragraphs")
     places_of = found.select("v", "doc_id", "start").distinct()
     classes = settle(places_of.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")), "paragraph-classes")
     lists = settle(found.select("key", "v").join(shared.where("several").select("key"), "key").distinct(), "lists")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     links = near_links(lists, classes.select("v", "first.doc_id", "first.start"), plain)
-    named = classes.withColumn("cluster_id", F.col("v"))
-    if links is not None:
-        labels = components(links)
-        named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
+    labels = components(links)
+    named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
     clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper.doc_id <> end")
     named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id")), "paragraph-clusters")
     out = attach_class(places_of, named, "v", "rows", F.xxhash64("doc_id", "start")).where(F.col("cluster_id").isNotNull())
