@@ -1,21 +1,51 @@
-"""Connected components of an edge table, by joins."""
+"""Connected components of an edge table: by joins, or in one task if edges are few."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import settle, unsettle
 
+#: So many edges are a few MB, which one task may hold.
+FEW_EDGES = 250_000
+
+
+def _in_one_task(batches):
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = parent.setdefault(x, x)
+        while top != parent[top]:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], ["v", "label"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of ``edges`` (a, b: long); label is the component's least vertex. Settled.
 
-    Each round, a vertex takes the least label among its own and its neighbours',
-    then the label of that label. A hub's neighbours are aggregated before the
-    shuffle, and its label is one row that AQE can join without dealing out by key.
+    Up to FEW_EDGES edges, a union-find in one task does it. Beyond, in rounds: a
+    vertex takes the least label among its own and its neighbours', then the label
+    of that label. A hub's neighbours are aggregated before the shuffle, and its
+    label is one row that AQE can join without dealing out by key.
     """
-    both = settle(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        labels = settle(edges.coalesce(1).mapInArrow(_in_one_task, "v long, label long"), "labels")
+        unsettle(edges)
+        return labels
+    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
+    unsettle(edges)
     labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "v"), "labels")
     while True:
         least = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))

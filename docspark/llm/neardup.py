@@ -49,7 +49,7 @@ from docspark.llm.shingles import jaccard, shingle_hashes, shingle_set
 
 K, BEST = 64, 3
 #: Members of a list or component that a task compares at once, and values in one matrix product.
-CHUNK, COLUMNS = 512, 4096
+CHUNK, COLUMNS = 1024, 2048
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Six standard deviations of the estimate from K values.

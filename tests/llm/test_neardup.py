@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docspark.llm import components as module
 from docspark.llm import neardup
 from docspark.llm.components import components
 from docspark.llm.shingles import shingle_hashes, shingle_set
@@ -93,7 +94,9 @@ def test_estimate(spark):
     assert df.select(neardup.estimate(F.col("a"), F.col("b"))).first()[0] == pytest.approx(7 / 9)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(module, "FEW_EDGES", few)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
     got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
