@@ -11,9 +11,9 @@ MinHash values of a paragraph's 5-word shingles are banded: ``ROWS`` values a ba
 ``tuned_bands`` bands, the fewest by which a passage of four paragraphs with a
 Jaccard similarity of 0.8 is missed once in a thousand. Paragraphs of different
 documents that share a band collide. Equal ones are one class. Classes that share a
-band are compared in bounded blocks inside tasks; of each, its few nearest with a
-Jaccard similarity of 0.8 are verified on the words. Links make components; in
-each, paragraphs of the document that has the first one stay, and those of other
+band are compared in bounded blocks inside tasks, all pairs of a block; of those with
+a Jaccard similarity of 0.8 as many as hold the block's components together are
+verified on the words. Links make components; in each, paragraphs of the document that has the first one stay, and those of other
 documents are removed.
 
 Defined results: a row for each paragraph whose component is in several documents;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import attach_class, pieces, settle, unsettle
 from docspark.llm.components import components
-from docspark.llm.neardup import BEST, CHUNK, fitting, in_blocks, ordered, semi, verified
+from docspark.llm.neardup import CHUNK, PERCENT, in_blocks, ordered, semi, shared_values, verified
 from docspark.llm.shingles import mixed, shingle_hashes, windows, word_hashes, words
 
 SPAN, PLACES, SHINGLE = 25, 26, 5
@@ -114,23 +114,46 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, text binary")
 
 
-def nearest_links(v, n, label, side, sets):
-    """Of each paragraph of a block, the few most alike that are links. Sets are full."""
-    left, right, shared, fits = fitting(v, n, label, side, sets)
-    if not fits.any():
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few of the pairs (row, column) of a matrix of links that hold together whatever all of them do."""
+    across = np.ascontiguousarray(linked.T)
+    left, right = [], []
+    rows, columns = np.zeros(len(linked), bool), np.zeros(len(across), bool)
+    for first in np.flatnonzero(linked.any(1)):
+        if rows[first]:
+            continue
+        rows[first] = True
+        ready = [first]
+        while ready:
+            i = ready.pop()
+            new = np.flatnonzero(linked[i] & ~columns)
+            columns[new] = True
+            left.append(np.full(len(new), i))
+            right.append(new)
+            for j in new:
+                more = np.flatnonzero(across[j] & ~rows)
+                rows[more] = True
+                left.append(more)
+                right.append(np.full(len(more), j))
+                ready.extend(more)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def block_links(v, n, label, side, sets):
+    """Links of a block that make the components which all its links between members with different labels make.
+
+    Every pair is counted on full sets. Left and right are as in ``fitting``.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(right):
+        right = left
+    if not len(left) or len(v) < 2:
         return v[:0], v[:0], np.zeros(0)
-    nl, nr = n[left][:, None], n[right][None, :]
-    both = shared * np.minimum(nl, nr)
-    like = np.where(fits, both / (nl + nr - both), 0)
-    if like.shape[1] > BEST:
-        least = np.partition(like, -BEST, axis=1)[:, -BEST][:, None]
-        like = np.where(like >= least, like, 0)
-    i, j = np.nonzero(like >= LIKE - 1e-6)
-    order = np.lexsort((-like[i, j], i))
-    i, j = i[order], j[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)  # of equally alike ones, no more than the few
-    i, j = i[rank < BEST], j[rank < BEST]
-    return v[left[i]], v[right[j]], like[i, j].astype(np.float64)
+    both = shared_values(sets, left, right)
+    union = n[left][:, None] + n[right][None, :] - both
+    i, j = forest((100 * both >= PERCENT * union) & (both > 0) & (label[left][:, None] != label[right][None, :]))
+    return v[left[i]], v[right[j]], (both[i, j] / union[i, j]).astype(np.float64)
 
 
 def near_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,7 +172,7 @@ def near_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     chunks = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
     rows = lists.join(chunks, "key").join(sets, "v")
     rows = rows.withColumns({"block": F.pmod(F.xxhash64("v"), F.col("chunks")), "side": F.lit(0), "label": F.col("v")})
-    pairs = settle(ordered(in_blocks(rows, nearest_links), "a", "b"), "near-paragraphs")
+    pairs = settle(ordered(in_blocks(rows, block_links), "a", "b"), "near-paragraphs")
     links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
     unsettle(texts, members, pairs)
     return links

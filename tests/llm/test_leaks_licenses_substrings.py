@@ -140,6 +140,17 @@ def test_near_paragraphs_are_linked(spark):
     assert len({tuple(w) for ws in by.values() for w in ws}) > len(by), "some clusters hold different texts"
 
 
+def variants(tails):
+    stem = " ".join(f"s0-{i}" for i in range(23))
+    return [(k, f"{stem} {t}") for k, t in enumerate(tails)]
+
+
+def test_families_of_copies_are_bridged(spark):
+    rows = variants([f"{x} {x}{k}" for x in "ab" for k in range(8)])
+    got = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(16)) and len({r.cluster_id for r in got}) == 1
+
+
 def test_removal_cuts_only_what_others_keep(spark):
     rows, has = spread()
     df = spark.createDataFrame(rows, "doc_id long, text string")
