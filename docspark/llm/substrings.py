@@ -13,7 +13,9 @@ Jaccard similarity of 0.8 is missed once in a thousand. Paragraphs of different
 documents that share a band collide. Equal ones are one class. Classes that share a
 band are compared in bounded blocks inside tasks, all pairs of a block; of those with
 a Jaccard similarity of 0.8 as many as hold the block's components together are
-verified on the words. Links make components; in each, paragraphs of the document that has the first one stay, and those of other
+verified on the words. Links make components. In lists of several blocks, members
+outside the largest component are then compared with all others of the list, in pairs
+of blocks; so no list holds linked members of different components. In each component, paragraphs of the document that has the first one stay, and those of other
 documents are removed.
 
 Defined results: a row for each paragraph whose component is in several documents;
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import attach_class, pieces, settle, unsettle
 from docspark.llm.components import components
-from docspark.llm.neardup import CHUNK, PERCENT, in_blocks, ordered, semi, shared_values, verified
+from docspark.llm.neardup import PERCENT, _chunk, _chunks, _each, _labelled, _open, in_blocks, ordered, semi, shared_values, verified
 from docspark.llm.shingles import mixed, shingle_hashes, windows, word_hashes, words
 
 SPAN, PLACES, SHINGLE = 25, 26, 5
@@ -156,8 +158,21 @@ def block_links(v, n, label, side, sets):
     return v[left[i]], v[right[j]], (both[i, j] / union[i, j]).astype(np.float64)
 
 
-def near_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of classes that are alike. lists: (key, v), settled; classes: v, doc_id, start; docs: doc_id, text (binary)."""
+def across_blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks (key, block, side, v, label) of each list's members outside its largest component against all its members."""
+    placed = settle(_labelled(lists, labels, "v", "label"), "placed-paragraphs")
+    outside = _open(lists, labels).select("key", "v", "label")
+    counts = outside.groupBy("key").agg(F.count(F.lit(1)).alias("no"))
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("nm")).join(counts, "key")
+    sizes = settle(sizes.select("key", _chunks("no").alias("co"), _chunks("nm").alias("cm")), "list-sizes")
+    left = outside.join(sizes, "key").withColumn("own", _chunk("v", F.col("co"))).withColumn("k", _each(F.col("cm")))
+    left = left.select("key", (F.col("own") * F.col("cm") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
+    right = placed.join(sizes, "key").withColumn("own", _chunk("v", F.col("cm"))).withColumn("k", _each(F.col("co")))
+    return left.unionByName(right.select("key", (F.col("k") * F.col("cm") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label"))
+
+
+def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, label) of classes that are alike, by ``components``. lists: (key, v), settled; classes: v, doc_id, start; docs: doc_id, text (binary)."""
     members = settle(classes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "doc_id", "start"), "list-paragraphs")
     texts = settle(_texts(docs, members), "paragraph-texts")
 
@@ -169,13 +184,21 @@ def near_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
             )
 
     sets = texts.mapInArrow(build, "v long, n long, sketch binary")
-    chunks = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+    chunks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).select("key", _chunks("c").alias("chunks"))
     rows = lists.join(chunks, "key").join(sets, "v")
     rows = rows.withColumns({"block": F.pmod(F.xxhash64("v"), F.col("chunks")), "side": F.lit(0), "label": F.col("v")})
     pairs = settle(ordered(in_blocks(rows, block_links), "a", "b"), "near-paragraphs")
     links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
-    unsettle(texts, members, pairs)
-    return links
+    labels = components(links)
+    long = settle(lists.join(chunks.where("chunks > 1").select("key"), "key"), "long-lists")
+    if long.limit(1).count():
+        blocks = settle(across_blocks(long, labels), "blocks")
+        more = settle(ordered(in_blocks(blocks.join(sets, "v"), block_links), "a", "b"), "far-paragraphs")
+        if more.limit(1).count():
+            labels = components(links.unionByName(verified(more, texts, SHINGLE).where("linked").select("a", "b")))
+        unsettle(blocks, more)
+    unsettle(texts, members, pairs, long)
+    return labels
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,8 +213,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     classes = settle(places_of.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")), "paragraph-classes")
     lists = settle(found.select("key", "v").join(shared.where("several").select("key"), "key").distinct(), "lists")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    links = near_links(lists, classes.select("v", "first.doc_id", "first.start"), plain)
-    labels = components(links)
+    labels = near_labels(lists, classes.select("v", "first.doc_id", "first.start"), plain)
     named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
     clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper.doc_id <> end")
     named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id")), "paragraph-clusters")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from docspark.llm import decontaminate, licenses, substrings
+from docspark.llm import decontaminate, licenses, neardup, substrings
 from docspark.llm.shingles import words
 
 
@@ -140,8 +140,8 @@ def test_near_paragraphs_are_linked(spark):
     assert len({tuple(w) for ws in by.values() for w in ws}) > len(by), "some clusters hold different texts"
 
 
-def variants(tails):
-    stem = " ".join(f"s0-{i}" for i in range(23))
+def variants(tails, stem=0):
+    stem = " ".join(f"s{stem}-{i}" for i in range(23))
     return [(k, f"{stem} {t}") for k, t in enumerate(tails)]
 
 
@@ -151,6 +151,13 @@ def test_families_of_copies_are_bridged(spark):
     assert {r.doc_id for r in got} == set(range(16)) and len({r.cluster_id for r in got}) == 1
 
 
+def test_blocks_of_a_long_list_are_bridged(spark, monkeypatch):
+    for module in (neardup, substrings):
+        monkeypatch.setattr(module, "CHUNK", 4, raising=False)
+    got = substrings.repeated(spark.createDataFrame(variants([f"x y{k}" for k in range(28)], 2), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(28)) and len({r.cluster_id for r in got}) == 1
+
+
 def test_removal_cuts_only_what_others_keep(spark):
     rows, has = spread()
     df = spark.createDataFrame(rows, "doc_id long, text string")
