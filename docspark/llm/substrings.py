@@ -8,15 +8,17 @@ least one whole common paragraph. (Lines would not do: a passage copied into the
 middle of a line shares no line.)
 
 MinHash values of a paragraph's 5-word shingles are banded: ``ROWS`` values a band,
-``tuned_bands`` bands, the fewest by which a passage of four paragraphs with a
-Jaccard similarity of 0.8 is missed once in a thousand. Paragraphs of different
+``tuned_bands(rows=ROWS)`` bands, the fewest by which a paragraph with a Jaccard similarity of
+0.8 is missed once in a thousand. Keys travel packed with their class, so that a row
+of Spark holds those of a bucket; lists of the same members are compared once. Paragraphs of different
 documents that share a band collide. Equal ones are one class. Classes that share a
 band are compared in bounded blocks inside tasks, all pairs of a block; of those with
 a Jaccard similarity of 0.8 as many as hold the block's components together are
 verified on the words. Links make components. In lists of several blocks, members
 outside the largest component are then compared with all others of the list, in pairs
-of blocks; so no list holds linked members of different components. In each component, paragraphs of the document that has the first one stay, and those of other
-documents are removed.
+of blocks; so no list holds linked members of different components. In each component,
+paragraphs of the document that has the first one stay, and those of other documents
+are removed.
 
 Defined results: a row for each paragraph whose component is in several documents;
 texts of under SPAN words, empty and null ones have no paragraph; rows with null ids
@@ -34,15 +36,18 @@ from pyspark.sql import functions as F
 from docspark.llm.common import attach_class, pieces, settle, unsettle
 from docspark.llm.components import components
 from docspark.llm.neardup import PERCENT, _chunk, _chunks, _each, _labelled, _open, in_blocks, ordered, semi, shared_values, verified
-from docspark.llm.shingles import mixed, shingle_hashes, windows, word_hashes, words
+from docspark.llm.shingles import P, mixed, shingle_hashes, windows, word_hashes, words
 
 SPAN, PLACES, SHINGLE = 25, 26, 5
-ROWS, LIKE, PARAGRAPHS, MISSED = 2, 0.8, 4, 0.001
+ROWS, LIKE, PARAGRAPHS, MISSED = 3, 0.8, 1, 0.001
+#: Band keys go to so many buckets, and leave a task when it has so many.
+BUCKETS, READY = 1024, 1 << 18
+PAIR = np.dtype([("k", "<u4"), ("v", "<i8")])
 #: Odd multipliers that make four and more hash functions of one.
 FACTORS = np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
-def tuned_bands(like: float = LIKE, rows: int = ROWS, paragraphs: int = PARAGRAPHS, missed: float = MISSED) -> int:
+def tuned_bands(like: float = LIKE, rows: int = 2, paragraphs: int = PARAGRAPHS, missed: float = MISSED) -> int:
     """The fewest bands by which all of so many alike paragraphs are missed with at most that probability."""
     bands = 1
     while (1 - like**rows) ** (bands * paragraphs) > missed:
@@ -58,44 +63,122 @@ def places(h: np.ndarray) -> np.ndarray:
     return np.unique(view.argmin(1) + np.arange(len(view)))
 
 
-def paragraphs_of(text: bytes | None, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, hashes (v) and band keys of a text's paragraphs."""
-    w = word_hashes(words(text))
+def spelled(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes (v) of the n words from each place on. w: hashes of words."""
+    return mixed(mixed(w[at[:, None] + np.arange(n)] + np.arange(n, dtype=np.uint64) * P).sum(1, dtype=np.uint64) + np.uint64(n)).view(np.int64)
+
+
+def paragraphs_of(texts: list, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, first word, hash (v) and band keys of each paragraph."""
+    found = [word_hashes(words(t)) for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
+    w = np.concatenate([np.zeros(0, np.uint64), *found])
     if len(w) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), np.int64)
-    five = windows(w, SHINGLE)
-    at = places(five[: len(w) - SPAN + 1])
-    inside = five[at[:, None] + np.arange(SPAN - SHINGLE + 1)]
-    keys = []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), np.int64)
+    five = windows(w, SHINGLE)  # those across two texts are in no paragraph
+    at = [places(five[i : j - SPAN + 1]) if j - i >= SPAN else np.zeros(0, np.int64) for i, j in zip(first, first[1:])]
+    owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    start = np.concatenate(at)
+    here = start + first[owner]
+    inside = here[:, None] + np.arange(SPAN - SHINGLE + 1)
+    keys = np.empty((len(here), bands), np.uint64)
     for b in range(bands):
-        least = [mixed(inside * FACTORS[b * ROWS + r]).min(1) for r in range(ROWS)]
-        key = np.full(len(at), b, np.uint64)
-        for x in least:
-            key = mixed(key * FACTORS[31] + x)
-        keys.append(key)
-    return at, windows(w, SPAN)[at].view(np.int64), np.stack(keys, 1).view(np.int64)
+        key = np.full(len(here), b, np.uint64)
+        for r in range(ROWS):
+            key = mixed(key * FACTORS[31] + mixed(five * FACTORS[b * ROWS + r])[inside].min(1))
+        keys[:, b] = key
+    return owner, start, spelled(w, here, SPAN), keys
+
+
+def packed(v: list, keys: list) -> pa.RecordBatch:
+    """Rows bucket, packed: the distinct (low half of a band key, v) of each bucket as bytes."""
+    v, once = np.unique(np.concatenate(v), return_index=True)
+    keys = np.concatenate(keys)[once]
+    bucket = (keys >> np.uint64(32)).astype(np.int64) % BUCKETS
+    order = np.argsort(bucket.ravel(), kind="stable")
+    pairs = np.empty(len(order), PAIR)
+    pairs["k"] = keys.ravel()[order].astype(np.uint32)
+    pairs["v"] = np.repeat(v, keys.shape[1])[order]
+    some, at = np.unique(bucket.ravel()[order], return_index=True)
+    ends = [*at[1:], len(order)]
+    data = pa.array([pairs[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), data], ["bucket", "packed"])
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, start (number of the first word) and v of each paragraph. docs: doc_id, text (binary). Settled."""
+
+    def build(batches):
+        for b in pieces(batches):
+            owner, start, v, _ = paragraphs_of(b.column(1).to_pylist(), 0)
+            own = np.array(b.column(0).to_pylist(), np.int64)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(start), pa.array(v)], ["doc_id", "start", "v"])
+
+    return settle(docs.mapInArrow(build, "doc_id long, start long, v long"), "paragraphs")
 
 
-def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start (number of the first word), v and keys (an array) of each paragraph. Settled."""
-    bands = tuned_bands()
+def band_keys(docs: DataFrame) -> DataFrame:
+    """Rows bucket, packed of the paragraphs of docs (doc_id, text (binary)). Made anew, as texts are smaller than keys."""
+    bands = tuned_bands(rows=ROWS)
 
     def build(batches):
+        held_v, held_keys = [], []
         for b in pieces(batches):
-            start, v, keys, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, bands), np.int64)], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a, x, k = paragraphs_of(t, bands)
-                start.append(a)
-                v.append(x)
-                keys.append(k)
-                owner.append(np.full(len(a), d, np.int64))
-            n = sum(map(len, v))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys).ravel()))
-            own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(start)), pa.array(np.concatenate(v)), flat], ["doc_id", "start", "v", "keys"])
-
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return settle(rows.mapInArrow(build, "doc_id long, start long, v long, keys array<long>"), "paragraphs")
+            _, _, v, keys = paragraphs_of(b.column(1).to_pylist(), bands)
+            if not len(v):
+                continue
+            held_v.append(v)
+            held_keys.append(keys)
+            if sum(map(len, held_v)) * bands > READY:
+                yield packed(held_v, held_keys)
+                held_v, held_keys = [], []
+        if held_v:
+            yield packed(held_v, held_keys)
+
+    return docs.mapInArrow(build, "bucket long, packed binary")
+
+
+def shared_lists(keys: DataFrame) -> DataFrame:
+    """(key, v, c) of the classes that have a band key with others; c: how many. Lists of the same members are one. Settled."""
+
+    def lists_of(parts: list[bytes]) -> pa.RecordBatch | None:
+        pairs = np.frombuffer(b"".join(parts), PAIR)
+        k, v = pairs["k"], pairs["v"]
+        order = np.argsort(k, kind="stable")
+        k, v = k[order], v[order]
+        again = np.zeros(len(k), bool)
+        again[1:] = k[1:] == k[:-1]
+        again[:-1] |= again[1:]
+        k, v = k[again], v[again]
+        order = np.lexsort((v, k))
+        k, v = k[order], v[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+        k, v = k[new], v[new]
+        if not len(k):
+            return None
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff([*at, len(k)])
+        key = mixed(np.add.reduceat(mixed(v.view(np.uint64) * FACTORS[30]), at) + count.astype(np.uint64)).view(np.int64)
+        several = np.repeat(count > 1, count)
+        columns = np.repeat(key, count)[several], v[several], np.repeat(count, count)[several]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "v", "c"])
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and bucket != at:
+                    if (out := lists_of(held)) is not None:
+                        yield out
+                    held = []
+                at = bucket
+                held.append(data)
+        if held and (out := lists_of(held)) is not None:
+            yield out
+
+    dealt = keys.repartition("bucket").sortWithinPartitions("bucket")
+    return settle(dealt.mapInArrow(run, "key long, v long, c long").distinct(), "lists")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -108,9 +191,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             v, text = [], []
             for t, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(t)
+                h = word_hashes(w)
                 for s in spans:
-                    v.append(s["v"])
-                    text.append(b" ".join(w[s["start"] : s["start"] + SPAN]))
+                    at = np.array([s["start"]])
+                    if at[0] + SPAN <= len(w) and spelled(h, at, SPAN)[0] == s["v"]:  # not of another row with the id
+                        v.append(s["v"])
+                        text.append(b" ".join(w[s["start"] : s["start"] + SPAN]))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(text, pa.binary())], ["doc_id", "text"])
 
     return rows.mapInArrow(cut, "doc_id long, text binary")
@@ -172,9 +258,8 @@ def across_blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(v, label) of classes that are alike, by ``components``. lists: (key, v), settled; classes: v, doc_id, start; docs: doc_id, text (binary)."""
-    members = settle(classes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "doc_id", "start"), "list-paragraphs")
-    texts = settle(_texts(docs, members), "paragraph-texts")
+    """(v, label) of classes that are alike, by ``components``. lists: (key, v, c), settled; classes: v, doc_id, start; docs: doc_id, text (binary)."""
+    texts = settle(_texts(docs, classes), "paragraph-texts")
 
     def build(batches):
         for b in pieces(batches):
@@ -184,39 +269,36 @@ def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
             )
 
     sets = texts.mapInArrow(build, "v long, n long, sketch binary")
-    chunks = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c")).select("key", _chunks("c").alias("chunks"))
-    rows = lists.join(chunks, "key").join(sets, "v")
-    rows = rows.withColumns({"block": F.pmod(F.xxhash64("v"), F.col("chunks")), "side": F.lit(0), "label": F.col("v")})
+    rows = lists.join(sets, "v").withColumns({"block": _chunk("v", _chunks("c")), "side": F.lit(0), "label": F.col("v")})
     pairs = settle(ordered(in_blocks(rows, block_links), "a", "b"), "near-paragraphs")
     links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
     labels = components(links)
-    long = settle(lists.join(chunks.where("chunks > 1").select("key"), "key"), "long-lists")
+    long = settle(lists.where(_chunks("c") > 1).select("key", "v"), "long-lists")
     if long.limit(1).count():
         blocks = settle(across_blocks(long, labels), "blocks")
         more = settle(ordered(in_blocks(blocks.join(sets, "v"), block_links), "a", "b"), "far-paragraphs")
         if more.limit(1).count():
             labels = components(links.unionByName(verified(more, texts, SHINGLE).where("linked").select("a", "b")))
         unsettle(blocks, more)
-    unsettle(texts, members, pairs, long)
+    unsettle(texts, pairs, long)
     return labels
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, n_words, cluster_id, keeper_doc_id and removed of paragraphs that are in several documents."""
-    units = paragraphs(docs, doc_id, text)
-    keyed = units.select("doc_id", "start", "v", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("v").alias("va"), F.max("v").alias("vb")).where("a <> b")
-    shared = settle(shared.select("key", (F.col("va") != F.col("vb")).alias("several")), "shared-keys")
-    # A join by key at any size: Spark splits a key that many paragraphs have.
-    found = settle(keyed.join(shared.select("key"), "key", "left_semi"), "colliding-paragraphs")
-    places_of = found.select("v", "doc_id", "start").distinct()
-    classes = settle(places_of.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")), "paragraph-classes")
-    lists = settle(found.select("key", "v").join(shared.where("several").select("key"), "key").distinct(), "lists")
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    labels = near_labels(lists, classes.select("v", "first.doc_id", "first.start"), plain)
+    plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    units = paragraphs(plain)
+    lists = shared_lists(band_keys(plain))
+    listed = lists.select("v").distinct().withColumn("listed", F.lit(True))
+    # Starts are those of the first document's; equal paragraphs have equal texts.
+    classes = units.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"))
+    classes = settle(classes.join(listed, "v", "left").where("listed OR first <> last"), "paragraph-classes")
+    labels = near_labels(lists, classes.where("listed").select("v", F.col("first").alias("doc_id"), "start"), plain)
     named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
-    clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper.doc_id <> end")
-    named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper.doc_id").alias("keeper_doc_id")), "paragraph-clusters")
+    clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper <> end")
+    named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper").alias("keeper_doc_id")), "paragraph-clusters")
+    # A join by class at any size: Spark splits a class that many paragraphs are.
+    places_of = settle(units.join(named.select("v"), "v", "left_semi").distinct(), "repeated-paragraphs")
     out = attach_class(places_of, named, "v", "rows", F.xxhash64("doc_id", "start")).where(F.col("cluster_id").isNotNull())
     return out.select(
         "doc_id", "start", F.lit(SPAN).cast("long").alias("n_words"), "cluster_id", "keeper_doc_id", (F.col("doc_id") != F.col("keeper_doc_id")).alias("removed")

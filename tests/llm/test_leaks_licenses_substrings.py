@@ -158,6 +158,13 @@ def test_blocks_of_a_long_list_are_bridged(spark, monkeypatch):
     assert {r.doc_id for r in got} == set(range(28)) and len({r.cluster_id for r in got}) == 1
 
 
+def test_single_near_paragraphs_are_found(spark):
+    """Pairs of texts of one paragraph with a Jaccard similarity of 19/23, alone with each other."""
+    rows = [(2 * p + k, " ".join([*(f"t{p}-{j}" for j in range(23)), f"u{p}-{k}", f"w{p}-{k}"])) for p in range(300) for k in (0, 1)]
+    got = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) >= 2 * 298 and all(r.keeper_doc_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_removal_cuts_only_what_others_keep(spark):
     rows, has = spread()
     df = spark.createDataFrame(rows, "doc_id long, text string")
