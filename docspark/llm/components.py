@@ -1,60 +1,45 @@
-"""Connected components of an edge table: by joins, or in one task if edges are few."""
+"""Connected components of an edge table, by joins."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import settle, unsettle
-
-#: So many edges are a few MB, which one task may hold.
-FEW_EDGES = 250_000
-
-
-def _in_one_task(batches):
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = parent.setdefault(x, x)
-        while top != parent[top]:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            low, high = sorted((root(a), root(b)))
-            parent[high] = low
-    if parent:
-        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], ["v", "label"])
+from docspark.llm.common import HOT_SHARE, attach_class, settle, unsettle
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) for each vertex of ``edges`` (a, b: long); label is the component's least vertex. Settled.
 
-    Up to FEW_EDGES edges, a union-find in one task does it. Beyond, in rounds: a
-    vertex takes the least label among its own and its neighbours', then the label
-    of that label. A hub's neighbours are aggregated before the shuffle, and its
-    label is one row that AQE can join without dealing out by key.
+    In rounds: a vertex takes the least label among its own and its neighbours', then
+    the label of that label, until none changes; so chains shorten by half a round and
+    more. Neither a hub nor a large component meets in one task: the labels of
+    vertices with over 1/HOT_SHARE of all edges are broadcast (HOT_SHARE of them at
+    most), a hub's neighbours are aggregated before the shuffle, and the label of a
+    label that many vertices have is attached as ``attach_class`` does.
     """
-    edges = settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
-        labels = settle(edges.coalesce(1).mapInArrow(_in_one_task, "v long, label long"), "labels")
-        unsettle(edges)
-        return labels
-    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both-ways")
-    unsettle(edges)
-    labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "v"), "labels")
+    one = settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    ways = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    firsts = settle(ways.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "v"), "degrees")
+    total = 2 * one.count()
+    hubs = settle(firsts.where(F.col("degree") * HOT_SHARE > total).select("v"), "hubs")
+    hub = F.broadcast(hubs.select(F.col("v").alias("b"), F.lit(True).alias("hub")))
+    both = settle(ways.distinct().join(hub, "b", "left").select("a", "b", F.coalesce("hub", F.lit(False)).alias("hub")), "both-ways")
+    unsettle(one)
+    labels, spent = firsts.select("v", "label"), firsts
     while True:
-        least = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(least.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "near").alias("near"))
-        jump = labels.select(F.col("v").alias("near"), F.col("label").alias("far"))
-        new = settle(near.join(jump, "near").select("v", F.least("near", "far").alias("new"), (F.least("near", "far") < F.col("label")).alias("changed")), "labels")
+        of = labels.withColumnRenamed("v", "b")
+        cold = both.where(~F.col("hub")).join(of, "b")
+        hot = both.where("hub").join(F.broadcast(of.join(F.broadcast(hubs.withColumnRenamed("v", "b")), "b", "left_semi")), "b")
+        least = cold.select("a", "label").unionByName(hot.select("a", "label")).groupBy("a").agg(F.min("label").alias("near"))
+        near = settle(labels.join(least.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "near").alias("near")), "near-labels")
+        named = near.groupBy("near").agg(F.count(F.lit(1)).alias("rows")).join(labels.select(F.col("v").alias("near"), F.col("label").alias("far")), "near")
+        named = settle(named, "far-labels")
+        jumped = attach_class(near, named, "near", "rows", F.xxhash64("v"))
+        new = settle(jumped.select("v", F.least("near", "far").alias("new"), (F.least("near", "far") < F.col("label")).alias("changed")), "labels")
         done = not new.where("changed").limit(1).count()
-        unsettle(labels)
-        labels = new.select("v", F.col("new").alias("label"))
+        unsettle(spent, near, named)
+        labels, spent = new.select("v", F.col("new").alias("label")), new
         if done:
-            unsettle(both)
+            unsettle(both, hubs)
             return labels

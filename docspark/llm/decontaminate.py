@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import pieces, settle
-from docspark.llm.neardup import semi
+from docspark.llm.blocks import semi
 from docspark.llm.shingles import windows, word_hashes
 
 CONTAINED, SHINGLE = 0.8, 5

@@ -2,37 +2,42 @@
 
 One hash function gives every shingle a number; a document's sketch is its ``K``
 least. Documents with equal shingle sets are one class from the start. Inverted
-lists of retained values then bring classes together: a list's key is a run of
-three values that are neighbours in a sketch. Two sets with a Jaccard similarity of
-0.8 share four of five values on average, so some run of three is common to both
-sketches: always if the sets aren't larger than the sketch (those of up to five
-shingles also have runs of two; those of up to three are only like themselves), and
-but for 1 in 10**10 pairs else. A single value would be as common as its shingle,
-and its list grow with the square of the corpus; runs of three are rare unless
-documents share much of their text.
-
-Lists aren't expanded into pairs. Tasks get bounded blocks of members with their
-sketches, count the values that two of them share for all pairs of the block by one
-matrix product, and return few of those that the count and the sizes of the sets
-don't exclude; full shingle sets decide these. In turn:
-
-1. each member's nearest few within blocks of two of its lists; links make components;
-2. lists that hold several components: members outside a list's largest component
-   ("outsiders") against that whole component, the nearest few again;
-3. the same for outsiders that are left, and outsiders of a list against each other.
-   A first pass names the members that have a pair which sizes and counts don't
-   exclude. A second one has only those in its blocks, with full shingle sets; such
-   pairs are counted in full, and of each member and component the best pair is
-   returned if it is a link.
+lists (retained value -> classes) bring classes together. All classes rank values in
+one order, the rarest first, and a class is posted only in the lists of its first few:
+two classes that share at least s of m retained values share one of the first
+m - s + 1 of either. For sets that a sketch holds whole, with all their possible
+partners, s is exact. For larger ones s is half the sketch, which a pair at the
+threshold misses by six standard deviations. So the lists of common word pairs,
+which grow with the square of the corpus, stay empty of all that have rarer values.
+Lists of the same members are one list.
+
+Lists aren't expanded into pairs. A list of two members is a pair. Longer ones go to
+tasks in blocks (see ``blocks``), twice:
+
+1. with sketches: the overlap of two members is the number of retained values that
+   they share; overlaps and the union-sketch estimate (the share of common values
+   among the K least of both sketches) exclude pairs, and only members with a pair
+   left go on. The margin of the estimate is six standard deviations, too;
+2. with full shingle sets of these: all links of a block are decided, and as many are
+   returned as hold the block's components together. They are confirmed on the
+   shingles themselves.
+
+A list of up to ``SHORT`` members is one block. Of its longer lists, a member goes with
+two, in blocks of ``CHUNK``: the longest, and one that its likes choose, too. Links make
+components. Then, in long lists with several components, members outside the largest
+("outsiders") are compared with the members of that component once, whatever number
+of lists they share, and with the other outsiders of their list; both as above.
 
 So every pair that shares a list is decided on full sets, excluded by sizes or by six
-standard deviations of the estimate, or already within one component; and a large
-cloud of copies that are alike through others only returns few pairs a member.
+standard deviations, or already within one component. A group of copies costs rows
+in proportion to its members; only outsiders beyond ``CHUNK`` of one component multiply
+the blocks in which its members are.
 
 Defined results: no words or a null text is an empty set, linked with nothing;
-rows that share an id are one vertex with the links of all its texts; a row without an
-id is linked with nothing and kept; an empty table gives an empty result. Only id and
-text are read.
+rows that share an id are one vertex with the links of all its texts, and of classes that
+it is in; a row without an id is linked with nothing and kept; an empty table gives an
+empty result. A very long text is held by one task at a time, as its words and 8 bytes a
+shingle. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -40,22 +45,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.blocks import PERCENT, block_links, chunk_of, chunks_of, each_of, full_sets, in_blocks, labelled, ordered, semi, shared_values, sides, verified
 from docspark.llm.common import attach_class, let, pieces, settle, unsettle
 from docspark.llm.components import components
-from docspark.llm.shingles import jaccard, shingle_hashes, shingle_set
+from docspark.llm.shingles import shingle_hashes
 
-K, BEST = 64, 3
-#: Members of a list or component that a task compares at once, and values in one matrix product.
-CHUNK, COLUMNS = 1024, 2048
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 80
+K, SHORT = 64, 128
 #: Six standard deviations of the estimate from K values.
 MARGIN = 0.3
-#: Ids that may be broadcast.
-BROADCAST_IDS = 1_000_000
+LEAST = PERCENT / 100 - MARGIN
+#: Pairs of sketches merged at once.
+MERGED = 20_000
 
 
 def sketches(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,15 +81,33 @@ def sketches(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text"
     return settle(rows.mapInArrow(build, "doc_id long, n long, fp string, sketch array<long>"), "sketches")
 
 
-def run_keys(n: Column, sketch: Column) -> Column:
-    """Keys of the inverted lists that a document is in."""
+def posted_values(n: Column, m: Column) -> Column:
+    """How many of its m retained values, the rarest first, a set of n shingles is posted with.
 
-    def runs(length: int) -> Column:
-        at = F.sequence(F.lit(0), F.size(sketch) - length)
-        return F.transform(at, lambda i: F.xxhash64(F.lit(length), *[F.get(sketch, i + j) for j in range(length)]))
-
-    none = F.array().cast("array<bigint>")
-    return F.concat(F.when(n > 3, runs(3)).otherwise(none), F.when((n > 3) & (n <= 5), runs(2)).otherwise(none))
+    Sets of up to PERCENT * K / 100 shingles are whole in their sketches, as are all that they can be linked with.
+    """
+    exact = F.floor((n * PERCENT + 99) / 100)
+    return (m - F.when(n <= PERCENT * K // 100, exact).otherwise(int(LEAST * K)) + 1).cast("int")
+
+
+def inverted_lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists of two members as (a, b), whose sizes fit, and longer ones as (key, v, c); c: how many. Both settled."""
+    each = classes.select("v", "fp", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    counts = settle(each.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "value-counts")
+    # Values that no other class has come first, and their lists are no use.
+    known = each.join(counts, "value").groupBy("v", "fp", "n", "m").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("shared"))
+    few = F.greatest(F.lit(0), posted_values(F.col("n"), F.col("m")) - (F.col("m") - F.size("shared")))
+    posted = settle(known.select("v", "n", F.explode(F.transform(F.slice("shared", F.lit(1), few), lambda x: x["value"])).alias("value")), "posted")
+    of_value = posted.groupBy("value").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min(F.struct("v", "n")).alias("a"), F.max(F.struct("v", "n")).alias("b")
+    )
+    lists = settle(of_value.where("c > 1 AND a.v <> b.v"), "inverted-lists")
+    fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * PERCENT
+    twos = settle(lists.where("c = 2").where(fits).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), "list-pairs")
+    long = lists.where("c > 2").select("value", F.xxhash64("c", "x", "a.v", "b.v").alias("key"), "c")
+    many = settle(posted.join(long, "value").select("key", "v", "c").distinct(), "lists")
+    unsettle(counts, posted, lists)
+    return twos, many
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -99,308 +120,156 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that size and estimate don't exclude, with the estimate."""
-    side = classes.select("v", "n", "sketch")
-    out = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-    out = out.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    out = out.select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("like"))
-    return out.where(F.col("like") >= PERCENT / 100 - MARGIN)
-
-
-def semi(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join to settled ids, which are broadcast if they are at most BROADCAST_IDS."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, how)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(a, b, linked) of settled pairs, decided on full shingle sets. docs: doc_id, text (binary). Settled."""
-    ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    texts = settle(semi(docs, ids, "doc_id"), "pair-texts")
-    joined = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-
-    def exact(batches):
-        last, kept = None, set()
-        for batch in pieces(batches):
-            linked = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if tb != last:
-                    last, kept = tb, shingle_set(tb, k)
-                both, union = jaccard(shingle_set(ta, k), kept)
-                linked.append(100 * both >= PERCENT * union > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    out = joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long, linked boolean")
-    out = settle(out.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
-    unsettle(texts, ids)
+    """Pairs (a, b) that the estimate doesn't exclude."""
+    side = classes.select("v", "sketch")
+    out = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
+    return out.where(estimate(F.col("sa"), F.col("sb")) >= LEAST).select("a", "b").distinct()
+
+
+def union_estimates(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The estimate for pairs of sketches."""
+    out = np.zeros(len(a))
+    for first in range(0, len(a), MERGED):
+        both = np.full((min(MERGED, len(a) - first), 2 * K), np.iinfo(np.int64).max)
+        for row, x, y in zip(both, a[first : first + MERGED], b[first : first + MERGED]):
+            row[: len(x)] = x
+            row[K : K + len(y)] = y
+        both.sort(axis=1)
+        again = both[:, 1:] == both[:, :-1]
+        padded = both[:, 1:] == np.iinfo(np.int64).max
+        rank = 1 + np.cumsum(~again & ~padded, axis=1)
+        least = np.minimum(rank.max(axis=1), K)
+        out[first : first + MERGED] = (again & ~padded & (rank <= K)).sum(axis=1) / least
     return out
 
 
-def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def shared_values(sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many values each of the sketches ``left`` shares with each of ``right``."""
-    values = np.concatenate(sketches)
-    row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    common = count > 1
-    number = np.cumsum(common) - 1
-    row, column = row[common[column]], number[column[common[column]]]
-    out = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for first in range(0, int(common.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (first, first + COLUMNS))
-        part = np.zeros((len(sketches), COLUMNS), np.float32)
-        part[row[a:b], column[a:b] - first] = 1
-        out += part[left] @ part[right].T
-    return out
-
-
-def fitting(v, n, label, side, sets):
-    """Left and right members of a block, shares of values of their pairs, and which pairs may be links between components.
-
-    Left members have side 0, right ones side 1; if there is no right, left ones are compared with each other.
-    """
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(right):
-        right = left
+def touched(v, n, label, side, sets):
+    """Members with a pair, between different labels, that sizes, overlaps and the estimate don't exclude: v, label and side."""
+    none = v[:0], v[:0], np.zeros(0)
+    left, right = sides(side)
     if not len(left) or len(v) < 2:
-        return left[:0], right[:0], np.zeros((0, 0)), np.zeros((0, 0), bool)
-    length = np.minimum([len(s) for s in sets], K)
-    shared = shared_values([s[:K] for s in sets], left, right) / np.minimum(length[left][:, None], length[right][None, :])
+        return none
+    length = np.array([len(s) for s in sets])
+    overlap = shared_values(sets, left, right)
+    union = length[left][:, None] + length[right][None, :] - overlap
     nl, nr = n[left][:, None], n[right][None, :]
-    fits = (shared >= PERCENT / 100 - MARGIN) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * PERCENT)
-    fits &= label[left][:, None] != label[right][None, :]
-    return left, right, shared, fits
-
-
-def touched(v, n, label, side, sets):
-    """Members that have a pair which isn't excluded; twice, and a zero, to be of the form of pairs."""
-    left, right, _, fits = fitting(v, n, label, side, sets)
-    some = np.unique(np.concatenate([v[left[fits.any(1)]], v[right[fits.any(0)]]])) if fits.size else v[:0]
-    return some, some, np.zeros(len(some))
-
+    fits = (label[left][:, None] != label[right][None, :]) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * PERCENT)
+    needed = LEAST * np.minimum(union, K)
+    fits &= overlap >= needed
+    # As many common values as there are beyond the K least of the union can be beyond them at most.
+    sure = fits & (overlap - np.maximum(union - K, 0) >= needed)
+    some = np.zeros(len(v), bool)
+    some[left[sure.any(1)]] = True
+    some[right[sure.any(0)]] = True
+    for matrix, shared, rows, columns in ((fits, overlap, left, right), (fits.T, overlap.T, right, left)):
+        # The pair with the largest overlap of each member that isn't sure; then all others of those that this leaves.
+        open_rows = np.flatnonzero(matrix.any(1) & ~some[rows])
+        if not len(open_rows):
+            continue
+        best = np.where(matrix[open_rows], shared[open_rows], -1).argmax(1)
+        first = union_estimates([sets[rows[i]] for i in open_rows], [sets[columns[j]] for j in best]) >= LEAST
+        some[rows[open_rows[first]]] = True
+        for i in open_rows[~first]:
+            others = columns[np.flatnonzero(matrix[i])]
+            some[rows[i]] = (union_estimates([sets[rows[i]]] * len(others), [sets[j] for j in others]) >= LEAST).any()
+        if left is right:
+            break
+    kept = np.flatnonzero(some)
+    return v[kept], label[kept], side[kept].astype(np.float64)
+
+
+def links_in_blocks(blocks: DataFrame, thin: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(a, b) of links that make the components of all links in the blocks (key, block, side, v, label). Settled."""
+    found = in_blocks(blocks.join(thin, "v"), touched)
+    some = settle(found.select("key", "block", F.col("a").alias("v"), F.col("b").alias("label"), F.col("like").cast("int").alias("side")), "touched-members")
+    ids = settle(some.select(F.col("v").alias("doc_id")).distinct(), "touched-ids")
+    full = full_sets(ids, docs, k)
+    links = settle(ordered(in_blocks(some.join(full, "v"), block_links), "a", "b"), "block-links")
+    unsettle(some, ids, full)
+    return links
 
-def near_pairs(v, n, label, side, sets, top: int | None):
-    """Arrays v, v and share of values, for pairs of a block in different components.
 
-    With ``top``, sets are sketches, and of each left member the best are returned. Else they are full, and of
-    each left member and component the best is returned, if it is a link.
-    """
-    left, right, shared, fits = fitting(v, n, label, side, sets)
-    if not fits.any():
-        return v[:0], v[:0], np.zeros(0)
-    if top is not None:
-        if shared.shape[1] > top:
-            best = np.argpartition(np.where(fits, -shared, 1), top - 1, axis=1)[:, :top]
-            chosen = np.zeros_like(fits)
-            np.put_along_axis(chosen, best, True, axis=1)
-            fits &= chosen
-        i, j = np.nonzero(fits)
-        return v[left[i]], v[right[j]], shared[i, j].astype(np.float64)
-    some, others = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
-    left, right = left[some], right[others]
-    used = np.unique(np.concatenate([left, right]))
-    both = shared_values([sets[k] for k in used], np.searchsorted(used, left), np.searchsorted(used, right))
-    like = both / (n[left][:, None] + n[right][None, :] - both)
-    linked = fits[np.ix_(some, others)] & (100 * both >= PERCENT * (n[left][:, None] + n[right][None, :] - both))
-    i, j = np.nonzero(linked)
-    order = np.lexsort((-like[i, j], label[right[j]], i))
-    i, j = i[order], j[order]
-    first = np.ones(len(i), bool)
-    first[1:] = (i[1:] != i[:-1]) | (label[right[j[1:]]] != label[right[j[:-1]]])
-    i, j = i[first], j[first]
-    return v[left[i]], v[right[j]], like[i, j].astype(np.float64)
-
-
-def in_blocks(rows: DataFrame, compare) -> DataFrame:
-    """key, block, a, b, like: what ``compare`` returns of each block (key, block) of rows key, block, side, v, n, label, sketch."""
-
-    def run(batches):
-        ready: list = []
-
-        def block_done(at, held) -> bool:
-            """Whether enough is ready to be sent."""
-            columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
-            pairs = compare(*columns, [s for h in held for s in h[4]])
-            if n := len(pairs[0]):
-                ready.append((np.full(n, at[0]), np.full(n, at[1]), *pairs))
-            return sum(len(x[0]) for x in ready) > 20_000 or len(ready) > 2000
-
-        def send():
-            columns = [pa.array(np.concatenate(x)) for x in zip(*ready)]
-            ready.clear()
-            return pa.RecordBatch.from_arrays(columns, ["key", "block", "a", "b", "like"])
-
-        held, at = [], None
-        for b in batches:
-            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-            v, n, label, side = (b.column(c).to_numpy() for c in (3, 4, 5, 2))
-            sets = [np.frombuffer(s, ">i8") for s in b.column(6).to_pylist()]
-            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            cuts = [0, *new.tolist(), b.num_rows]
-            for i, j in zip(cuts, cuts[1:]):
-                if i == j:
-                    continue
-                here = (key[i], block[i])
-                if held and here != at:
-                    if block_done(at, held):
-                        yield send()
-                    held = []
-                at = here
-                held.append((v[i:j], n[i:j], label[i:j], side[i:j], sets[i:j]))
-        if held:
-            block_done(at, held)
-        if ready:
-            yield send()
-
-    dealt = rows.select("key", "block", F.col("side").cast("int").alias("side"), "v", "n", "label", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    return dealt.mapInArrow(run, "key long, block long, a long, b long, like double")
-
-
-def _screened(rows: DataFrame, top: int | None) -> DataFrame:
-    """near_pairs of each block, as (a, b, like)."""
-    pairs = in_blocks(rows, lambda *block: near_pairs(*block, top))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "like").groupBy("a", "b").agg(F.max("like").alias("like"))
-
-
-def _chunk(v: str, chunks: Column) -> Column:
-    return F.pmod(F.xxhash64(v), chunks).cast("long")
-
-
-def _chunks(count: str) -> Column:
-    return F.ceil(F.col(count) / CHUNK).cast("long")
-
-
-def _each(n: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-
-
-def _labelled(rows: DataFrame, labels: DataFrame | None, v: str, name: str) -> DataFrame:
-    if labels is None:
-        return rows.withColumn(name, F.col(v))
-    return rows.join(labels.select(F.col("v").alias(v), F.col("label").alias("__l")), v, "left").withColumn(name, F.coalesce("__l", v)).drop("__l")
-
-
-def _within_lists(lists: DataFrame, classes: DataFrame, top: int) -> DataFrame:
-    """The nearest of each member, in two of its lists: the longest, and one that its likes choose, too."""
-    per_doc = lists.groupBy("v").agg(F.max(F.struct("c", "key")).alias("x"), F.min(F.struct(F.xxhash64("key"), "key", "c")).alias("y"))
-    chosen = per_doc.select("v", F.inline(F.array_distinct(F.array(F.struct("x.key", "x.c"), F.struct("y.key", "y.c")))))
-    rows = chosen.join(classes, "v").withColumns({"block": _chunk("v", _chunks("c")), "side": F.lit(0), "label": F.col("v")})
-    return _screened(rows, top)
-
-
-def _against_components(outsiders: DataFrame, members: DataFrame) -> DataFrame:
-    """Blocks (key, block, side, v, label) of outsiders (v, label, key) and the members (v, label) of the component that is their key."""
-    out = outsiders.groupBy("key").agg(F.count(F.lit(1)).alias("no"))
-    sizes = members.groupBy(F.col("label").alias("key")).agg(F.count(F.lit(1)).alias("nm")).join(out, "key")
-    sizes = settle(sizes.select("key", _chunks("no").alias("co"), _chunks("nm").alias("cm")), "component-sizes")
-    left = outsiders.join(sizes, "key").withColumn("own", _chunk("v", F.col("co"))).withColumn("k", _each(F.col("cm")))
-    left = left.select("key", (F.col("own") * F.col("cm") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
-    right = members.withColumn("key", F.col("label")).join(sizes, "key").withColumn("own", _chunk("v", F.col("cm"))).withColumn("k", _each(F.col("co")))
-    return left.unionByName(right.select("key", (F.col("k") * F.col("cm") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label"))
-
-
-def _among_outsiders(outsiders: DataFrame) -> DataFrame:
-    """Blocks of outsiders (key: a list, v, label) of a list against each other."""
-    sizes = settle(outsiders.groupBy("key").agg(F.count(F.lit(1)).alias("no")).where("no > 1").select("key", _chunks("no").alias("co")), "outsider-counts")
-    rows = outsiders.join(sizes, "key").withColumn("own", _chunk("v", F.col("co")))
-    few = rows.where("co = 1").select("key", F.col("own").alias("block"), F.lit(0).alias("side"), "v", "label")
-    many = rows.where("co > 1").withColumn("k", _each(F.col("co")))
-    left = many.select("key", (F.col("own") * F.col("co") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
-    right = many.select("key", (F.col("k") * F.col("co") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label")
-    return few.unionByName(left).unionByName(right)
+def first_blocks(lists: DataFrame) -> DataFrame:
+    """Blocks (key, block, side, v, label) of short lists, and of two long lists of each member."""
+    long = lists.where(F.col("c") > SHORT).groupBy("v").agg(F.max(F.struct("c", "key")).alias("x"), F.min(F.struct(F.xxhash64("key"), "key", "c")).alias("y"))
+    two = long.select("v", F.inline(F.array_distinct(F.array(F.struct("x.key", "x.c"), F.struct("y.key", "y.c")))))
+    rows = lists.where(F.col("c") <= SHORT).select("key", "v", F.lit(0).cast("long").alias("block"))
+    rows = rows.unionByName(two.select("key", "v", chunk_of("v", chunks_of("c")).alias("block")))
+    return rows.withColumns({"side": F.lit(0), "label": F.col("v")})
 
 
-def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of lists with several components, outside the largest: key, v, label, top. Settled."""
-    placed = settle(_labelled(lists.select("key", "v"), labels, "v", "label"), "placed-lists")
+def outsiders(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lists (key, v) with several components: members (key, v, label, top) outside the largest, top, and those (v, label) in it. Both settled."""
+    placed = settle(labelled(lists.select("key", "v"), labels, "v", "label"), "placed-lists")
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     of_list = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    out = settle(placed.join(of_list.where("parts > 1").select("key", F.col("top.label").alias("top")), "key").where("label <> top"), "outsiders")
-    unsettle(placed)
-    return out
-
-
-def _best(pairs: DataFrame, top: int) -> DataFrame:
-    """Of each vertex, its ``top`` likeliest pairs. Settled."""
-    sides = pairs.select("a", "b", "like", F.explode(F.array("a", "b")).alias("v"))
-    order = Window.partitionBy("v").orderBy(F.desc("like"), "a", "b")
-    return settle(sides.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).select("a", "b").distinct(), "best-pairs")
-
-
-def _full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """v, n and full set (hashes) of settled ids (doc_id). Settled."""
-
-    def build(batches):
-        for b in pieces(batches):
-            sets = [shingle_hashes(t, k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["v", "n", "sketch"]
-            )
-
-    return settle(semi(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(build, "v long, n long, sketch binary").distinct(), "full-sets")
-
-
-def _linksin_blocks(blocks: DataFrame, thin: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(a, b, like) of links found in settled blocks, on full sets of the members that have a pair which isn't excluded."""
-    some = settle(in_blocks(blocks.join(thin, "v"), touched).select("key", "block", F.col("a").alias("v")).distinct(), "touched-members")
-    ids = settle(some.select(F.col("v").alias("doc_id")).distinct(), "touched-ids")
-    full = _full_sets(ids, docs, k)
-    return _screened(blocks.join(some, ["key", "block", "v"], "left_semi").join(full, "v"), None)
+    several = settle(of_list.where("parts > 1").select("key", F.col("top.label").alias("top")), "open-lists")
+    rows = placed.join(several, "key")
+    out = settle(rows.where("label <> top"), "outsiders")
+    inside = settle(rows.where("label = top").select("v", "label").distinct(), "insiders")
+    unsettle(placed, several)
+    return out, inside
+
+
+def last_blocks(out: DataFrame, inside: DataFrame) -> DataFrame:
+    """Blocks of outsiders against the largest component of their lists, and against the other outsiders of a list."""
+    against = out.select("v", "label", "top").distinct()
+    sizes = inside.groupBy(F.col("label").alias("top")).agg(F.count(F.lit(1)).alias("ni")).join(against.groupBy("top").agg(F.count(F.lit(1)).alias("no")), "top")
+    sizes = settle(sizes.select("top", chunks_of("no").alias("co"), chunks_of("ni").alias("ci")), "component-sizes")
+    key = F.xxhash64(F.lit("component"), "top").alias("key")
+    left = against.join(sizes, "top").withColumn("own", chunk_of("v", F.col("co"))).withColumn("k", each_of(F.col("ci")))
+    left = left.select(key, (F.col("own") * F.col("ci") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
+    right = inside.withColumn("top", F.col("label")).join(sizes, "top").withColumn("own", chunk_of("v", F.col("ci"))).withColumn("k", each_of(F.col("co")))
+    right = right.select(key, (F.col("k") * F.col("ci") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label")
+    counts = settle(out.groupBy("key").agg(F.count(F.lit(1)).alias("no")).where("no > 1").select("key", chunks_of("no").alias("co")), "outsider-counts")
+    rows = out.join(counts, "key").withColumn("own", chunk_of("v", F.col("co")))
+    few = rows.where("co = 1").select("key", F.col("own").alias("block"), F.lit(0).alias("side"), "v", "label")
+    many = rows.where("co > 1").withColumn("k", each_of(F.col("co")))
+    first = many.select("key", (F.col("own") * F.col("co") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
+    second = many.select("key", (F.col("k") * F.col("co") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label")
+    return left.unionByName(right).unionByName(few).unionByName(first).unionByName(second)
 
 
-def linked_classes(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
-    """(v, label) of the vertices that have links. classes: v, n, sketch; docs: doc_id, text (binary)."""
-    keyed = classes.select("v", F.explode(run_keys(F.col("n"), F.col("sketch"))).alias("key"))
-    counts = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b")).where("c > 1 AND a <> b"), "list-counts")
-    twos = settle(estimated(ordered(counts.where("c = 2"), "a", "b"), classes), "list-pairs")
-    lists = settle(keyed.join(counts.where("c > 2").select("key", "c"), "key").distinct(), "lists")
-    unsettle(counts)
+def linked_classes(classes: DataFrame, docs: DataFrame, k: int, more: DataFrame | None = None) -> DataFrame:
+    """(v, label) of the vertices that have links. classes: v, fp, n, sketch; docs: doc_id, text (binary); more: links (a, b) besides."""
+    twos, lists = inverted_lists(classes)
     packed = F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    members = lists.select("v").distinct()
-    thin = settle(classes.join(members, "v", "left_semi").select("v", "n", packed.alias("sketch")), "list-sketches")
-
-    pairs = _best(_within_lists(lists, thin, BEST).unionByName(twos), BEST)
-    tested = verified(pairs, docs, k)
-    links = tested.where("linked").select("a", "b")
+    thin = settle(classes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "n", packed.alias("sketch")), "list-sketches")
+    found = links_in_blocks(first_blocks(lists), thin, docs, k)
+    pairs = settle(estimated(twos, classes).unionByName(found).distinct(), "candidate-pairs")
+    links = verified(pairs, docs, k).where("linked").select("a", "b")
+    if more is not None:
+        links = links.unionByName(more)
     labels = components(links)
-    for top in (BEST, None):
-        outsiders = _open(lists, labels)
-        members = _labelled(thin.select("v"), labels, "v", "label")
-        blocks = _against_components(outsiders.select("v", "label", F.col("top").alias("key")).distinct(), members)
-        if top is not None:
-            found = _screened(blocks.join(thin, "v"), top)
-        else:
-            blocks = settle(blocks.unionByName(_among_outsiders(outsiders.select("key", "v", "label"))), "blocks")
-            apart = _labelled(_labelled(twos, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
-            found = _linksin_blocks(blocks, thin, docs, k).unionByName(apart.select("a", "b", "like"))
-        new = settle(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "new-pairs")
-        unsettle(outsiders)
-        if not new.limit(1).count():
-            continue
-        checked = verified(new, docs, k)
-        if checked.where("linked").limit(1).count():
-            links = links.unionByName(checked.where("linked").select("a", "b"))
-            labels = components(links)
-        tested = tested.unionByName(checked)
-    unsettle(lists, twos, thin)
+    out, inside = outsiders(lists.where(F.col("c") > SHORT), labels)
+    if out.limit(1).count():
+        blocks = settle(last_blocks(out, inside), "blocks")
+        found = links_in_blocks(blocks, thin, docs, k)
+        if found.limit(1).count():
+            labels = components(links.unionByName(verified(found, docs, k).where("linked").select("a", "b")))
+        unsettle(blocks)
+    unsettle(twos, lists, thin, pairs, out, inside)
     return labels
 
 
+def id_links(each: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): an id with several texts, and the vertices of the classes that they are in. Settled."""
+    rows = each.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    several = rows.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
+    several = settle(several.select("doc_id"), "ids-of-several-texts")
+    return settle(ordered(semi(rows, several, "doc_id").select("doc_id", "fp").distinct().join(classes.select("fp", "v"), "fp"), "doc_id", "v"), "id-links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``. k: words in a shingle."""
     each = sketches(docs, k, doc_id, text)
     grouped = each.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("fp")
     classes = settle(grouped.agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows")), "classes")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    labels = linked_classes(classes, plain, k)
-    named = _labelled(classes.select("fp", "v", "rows"), labels, "v", "component")
+    labels = linked_classes(classes, plain, k, id_links(each, classes))
+    named = labelled(classes.select("fp", "v", "rows"), labels, "v", "component")
     named = settle(named.where("rows > 1 OR component <> v").select("fp", "component", "rows"), "named-classes")
-    unsettle(classes)
+    unsettle(classes, labels)
     out = attach_class(each.select("doc_id", "n", "fp"), named, "fp", "rows", F.xxhash64("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
@@ -409,14 +278,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
 
 
 def deduplicated(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, and one of rows that repeat an id. Rows without an id stay."""
+    """The rows of ``docs`` that stay: one document of each group.
+
+    Rows without an id stay. Of rows that repeat an id and a text one stays; other texts of an id that is kept stay, too.
+    """
     found = settle(near_duplicates(docs, k, doc_id, text).where("doc_id IS NOT NULL"), "near-duplicates")
     gone = settle(found.where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct(), "removed-ids")
     stay = semi(docs, gone, doc_id, "left_anti")
     again = settle(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id)), "repeated-ids")
     if not again.limit(1).count():
         return stay
-    return semi(stay, again, doc_id, "left_anti").unionByName(semi(stay, again, doc_id).dropDuplicates([doc_id]))
+    return semi(stay, again, doc_id, "left_anti").unionByName(semi(stay, again, doc_id).dropDuplicates([doc_id, text]))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

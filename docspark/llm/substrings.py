@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.blocks import block_links, chunk_of, chunks_of, each_of, in_blocks, labelled, ordered, semi, verified
 from docspark.llm.common import attach_class, pieces, settle, unsettle
 from docspark.llm.components import components
-from docspark.llm.neardup import PERCENT, _chunk, _chunks, _each, _labelled, _open, in_blocks, ordered, semi, shared_values, verified
+from docspark.llm.neardup import outsiders
 from docspark.llm.shingles import P, mixed, shingle_hashes, windows, word_hashes, words
 
 SPAN, PLACES, SHINGLE = 25, 26, 5
@@ -202,58 +203,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, text binary")
 
 
-def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Few of the pairs (row, column) of a matrix of links that hold together whatever all of them do."""
-    across = np.ascontiguousarray(linked.T)
-    left, right = [], []
-    rows, columns = np.zeros(len(linked), bool), np.zeros(len(across), bool)
-    for first in np.flatnonzero(linked.any(1)):
-        if rows[first]:
-            continue
-        rows[first] = True
-        ready = [first]
-        while ready:
-            i = ready.pop()
-            new = np.flatnonzero(linked[i] & ~columns)
-            columns[new] = True
-            left.append(np.full(len(new), i))
-            right.append(new)
-            for j in new:
-                more = np.flatnonzero(across[j] & ~rows)
-                rows[more] = True
-                left.append(more)
-                right.append(np.full(len(more), j))
-                ready.extend(more)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def block_links(v, n, label, side, sets):
-    """Links of a block that make the components which all its links between members with different labels make.
-
-    Every pair is counted on full sets. Left and right are as in ``fitting``.
-    """
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(right):
-        right = left
-    if not len(left) or len(v) < 2:
-        return v[:0], v[:0], np.zeros(0)
-    both = shared_values(sets, left, right)
-    union = n[left][:, None] + n[right][None, :] - both
-    i, j = forest((100 * both >= PERCENT * union) & (both > 0) & (label[left][:, None] != label[right][None, :]))
-    return v[left[i]], v[right[j]], (both[i, j] / union[i, j]).astype(np.float64)
-
-
 def across_blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks (key, block, side, v, label) of each list's members outside its largest component against all its members."""
-    placed = settle(_labelled(lists, labels, "v", "label"), "placed-paragraphs")
-    outside = _open(lists, labels).select("key", "v", "label")
+    placed = settle(labelled(lists, labels, "v", "label"), "placed-paragraphs")
+    outside = outsiders(lists, labels)[0].select("key", "v", "label")
     counts = outside.groupBy("key").agg(F.count(F.lit(1)).alias("no"))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("nm")).join(counts, "key")
-    sizes = settle(sizes.select("key", _chunks("no").alias("co"), _chunks("nm").alias("cm")), "list-sizes")
-    left = outside.join(sizes, "key").withColumn("own", _chunk("v", F.col("co"))).withColumn("k", _each(F.col("cm")))
+    sizes = settle(sizes.select("key", chunks_of("no").alias("co"), chunks_of("nm").alias("cm")), "list-sizes")
+    left = outside.join(sizes, "key").withColumn("own", chunk_of("v", F.col("co"))).withColumn("k", each_of(F.col("cm")))
     left = left.select("key", (F.col("own") * F.col("cm") + F.col("k")).alias("block"), F.lit(0).alias("side"), "v", "label")
-    right = placed.join(sizes, "key").withColumn("own", _chunk("v", F.col("cm"))).withColumn("k", _each(F.col("co")))
+    right = placed.join(sizes, "key").withColumn("own", chunk_of("v", F.col("cm"))).withColumn("k", each_of(F.col("co")))
     return left.unionByName(right.select("key", (F.col("k") * F.col("cm") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label"))
 
 
@@ -269,11 +228,11 @@ def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
             )
 
     sets = texts.mapInArrow(build, "v long, n long, sketch binary")
-    rows = lists.join(sets, "v").withColumns({"block": _chunk("v", _chunks("c")), "side": F.lit(0), "label": F.col("v")})
+    rows = lists.join(sets, "v").withColumns({"block": chunk_of("v", chunks_of("c")), "side": F.lit(0), "label": F.col("v")})
     pairs = settle(ordered(in_blocks(rows, block_links), "a", "b"), "near-paragraphs")
     links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
     labels = components(links)
-    long = settle(lists.where(_chunks("c") > 1).select("key", "v"), "long-lists")
+    long = settle(lists.where(chunks_of("c") > 1).select("key", "v"), "long-lists")
     if long.limit(1).count():
         blocks = settle(across_blocks(long, labels), "blocks")
         more = settle(ordered(in_blocks(blocks.join(sets, "v"), block_links), "a", "b"), "far-paragraphs")

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docspark.llm import blocks, neardup
 from docspark.llm import components as module
-from docspark.llm import neardup
 from docspark.llm.components import components
 from docspark.llm.shingles import shingle_hashes, shingle_set
 
@@ -41,7 +41,8 @@ def test_components_equal_brute_force(docs, wide, rows, k):
 
 def test_a_large_cloud_of_near_copies(spark, monkeypatch):
     """Many blocks a list, and copies that are alike only through others."""
-    monkeypatch.setattr(neardup, "CHUNK", 16)
+    monkeypatch.setattr(blocks, "CHUNK", 16)
+    monkeypatch.setattr(neardup, "SHORT", 8)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -67,6 +68,28 @@ def test_small_sets(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_rows_that_share_an_id_are_one_vertex(spark):
+    rows = [(5, "a b c d"), (5, "p q r s"), (3, "a b c d"), (4, "p q r s"), (9, "u v w"), (9, "x y z"), (8, "x y z")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (4, 3, False), (5, 3, False), (8, 8, True), (9, 8, False)}
+
+
+def test_other_texts_of_a_kept_id_stay(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "p q r s t u v"), (2, "a b c d e f g"), (3, "x")]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d e f g"), (1, "p q r s t u v"), (3, "x")]
+
+
+def test_estimates_of_pairs(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, n))[: neardup.K] for n in (3, 40, 60, 200, 400, 400)]
+    pairs = [(a, b) for a in sets for b in sets]
+    got = neardup.union_estimates([a for a, _ in pairs], [b for _, b in pairs])
+    for (a, b), e in zip(pairs, got):
+        least = np.union1d(a, b)[: neardup.K]
+        assert e == pytest.approx(np.isin(least, np.intersect1d(a, b)).sum() / len(least))
+
+
 def test_nothing_and_null_ids(spark, empty):
     assert neardup.near_duplicates(empty, 2).count() == 0
     got = neardup.near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string"), 2).collect()
@@ -84,7 +107,7 @@ def test_shared_values_and_block_pairs():
     rng = np.random.default_rng(1)
     sketches = [np.unique(rng.integers(0, 400, 64)) for _ in range(40)]
     left, right = np.arange(0, 25), np.arange(25, 40)
-    got = neardup.shared_values(sketches, left, right)
+    got = blocks.shared_values(sketches, left, right)
     assert all(got[i, j] == len(np.intersect1d(sketches[a], sketches[b])) for i, a in enumerate(left) for j, b in enumerate(right))
 
 
@@ -94,9 +117,10 @@ def test_estimate(spark):
     assert df.select(neardup.estimate(F.col("a"), F.col("b"))).first()[0] == pytest.approx(7 / 9)
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(module, "FEW_EDGES", few)
+@pytest.mark.parametrize("share", [1024, 4])
+def test_components(spark, monkeypatch, share):
+    """With all vertices hubs, and with few."""
+    monkeypatch.setattr(module, "HOT_SHARE", share)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
     got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
