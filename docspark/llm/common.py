@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 
@@ -34,12 +33,28 @@ def work_root(spark: SparkSession) -> str:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docspark"
         spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark takes it from, so that tasks take it from the same."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString().rstrip("/")
+
+
+def session_dir(spark: SparkSession) -> str:
+    return f"{work_root(spark)}/docspark-{spark.sparkContext.applicationId}"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Removes what operators have left in the shared folder, for when no result of theirs is read any more."""
+    drop_dir(spark, session_dir(spark))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -53,11 +68,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Remove a work folder through the file system that Spark uses for it."""
-    if "://" not in path and not path.startswith("file:"):
-        shutil.rmtree(path, ignore_errors=True)
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
@@ -113,6 +124,20 @@ def attach_class(rows: DataFrame, classes: DataFrame, key: str, count: str, spre
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in others])
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator needs, and whole rows as one column: no column that it makes can meet one of theirs."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("__row"), *[F.col(quoted(c)) for c in needed])
+
+
+def restored(rows: DataFrame, df: DataFrame, **changed: Column) -> DataFrame:
+    """Rows that were ``carried``, with the columns of ``df``; ``changed``: new values of some."""
+    return rows.select(*[(changed[c] if c in changed else F.col(f"__row.{quoted(c)}")).alias(c) for c in df.columns])
+
+
 def pieces(batches, rows: int = 400):
     """Arrow batches cut small, so that a task holds few texts as Python objects at once."""
     for b in batches:

@@ -43,3 +43,16 @@ def components(edges: DataFrame) -> DataFrame:
         if done:
             unsettle(both, hubs)
             return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (v, label) with more edges (a, b): only the components that these join are worked on. Settled."""
+    ends = labels.withColumnRenamed("label", "top")
+    named = edges.select("a", "b").join(ends.select(F.col("v").alias("a"), F.col("top").alias("ta")), "a", "left").join(ends.select(F.col("v").alias("b"), F.col("top").alias("tb")), "b", "left")
+    tops = components(named.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")))
+    every = labels.select("v", "label").unionByName(tops.select("v", F.col("v").alias("label"))).distinct()
+    rows = settle(every.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).join(tops.select(F.col("v").alias("label"), F.col("label").alias("top")), "label"), "joined-labels")
+    out = attach_class(every, rows, "label", "rows", F.xxhash64("v"))
+    out = settle(out.select("v", F.coalesce("top", "label").alias("label")), "labels")
+    unsettle(tops, rows)
+    return out

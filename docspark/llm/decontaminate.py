@@ -10,15 +10,19 @@ missed, however long it is. (Banded signatures of whole documents would need
 thousands of hash functions for documents that are hundreds of times as long as an
 item, and still miss some.) Candidates are verified on the shingles themselves.
 
-Items go through in blocks of at most ``BLOCK_WORDS`` words, each block one
-pass over the documents; so what tasks hold doesn't grow with the benchmark, and
-the documents are never shuffled.
+The items' sketches are a table (value, item, class), made in tasks. One pass over the
+documents sends on those hashes of theirs that a sieve of ``SIEVE_BITS`` bits lets through,
+which is all of the benchmark that every task holds; a join with the table gives candidates.
+Only candidates' texts are read again, with the texts of their items. The benchmark is
+never at the driver, and documents without a candidate are never shuffled.
 
 Words are runs of letters, digits and underscores in lower case. Defined results:
-items of fewer than five words have no shingle and are never found, being too
-general to prove a leak; null texts have no words; items with null ids are found
-and keep the null; rows with repeated ids are searched each by itself; empty tables
-give an empty result. Other columns are ignored by the search.
+items of fewer than five words have no shingle and are found only if ``least`` allows for
+as few words; then the item is one shingle, so its words in a row are its leak. By
+default they aren't, being too general to prove a leak. Null texts have no words; items
+with null ids are found and keep the null; repeated rows, of items or documents, are
+searched each by itself; empty tables give an empty result; a very long text is held by
+one task at a time, as its words and their hashes. Other columns are ignored by the search.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import pieces, settle
 from docspark.llm.blocks import semi
+from docspark.llm.common import BROADCAST_ROWS, pieces, settle, unsettle
 from docspark.llm.shingles import windows, word_hashes
 
 CONTAINED, SHINGLE = 0.8, 5
-BLOCK_WORDS = 200_000
-SIEVE_BITS = 18
+#: Bits of the sieve, and tasks that make it.
+SIEVE_BITS, SIEVE_TASKS = 20, 16
 
 _words = re.compile(r"\w+").findall
 
@@ -45,82 +49,117 @@ def item_words(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
-def grams(words: list[str]) -> set:
-    return set(zip(*(words[i:] for i in range(SHINGLE))))
-
-
-class ItemIndex:
-    """A block of items: sketch values with the items that have them, and the items' shingles."""
-
-    def __init__(self, items: list[tuple]):
-        self.ids, self.sets, values, owners = [], [], [], []
-        for item_id, words in items:
-            if len(words) < SHINGLE:
-                continue
-            k, own = len(self.ids), grams(words)
-            self.ids.append(item_id)
-            self.sets.append(own)
-            bound = 1 << (len(own) - 1).bit_length()
-            sketch = np.unique(windows(word_hashes(words), SHINGLE))[: int((1 - CONTAINED) * bound + 1e-9) + 1]
-            values += sketch.tolist()
-            owners += [k] * len(sketch)
-        order = np.argsort(np.array(values, np.uint64), kind="stable")
-        self.values, self.owners = np.array(values, np.uint64)[order], np.array(owners, np.int64)[order]
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self._slot(self.values)] = True
-
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return h >> np.uint64(63 - SIEVE_BITS)
-
-    def found(self, text: str | None) -> list[tuple]:
-        """(item, its shingles, those in the text) for each item that the text contains."""
-        words = item_words(text)
-        if len(words) < SHINGLE or not self.ids:
-            return []
-        h = windows(word_hashes(words), SHINGLE)
-        h = np.unique(h[self.sieve[self._slot(h)]])
-        low, high = np.searchsorted(self.values, h, "left"), np.searchsorted(self.values, h, "right")
-        hits = {k for a, b in zip(low.tolist(), high.tolist()) for k in self.owners[a:b].tolist()}
-        if not hits:
-            return []
-        whole = grams(words)
-        counts = ((k, len(self.sets[k]), len(self.sets[k] & whole)) for k in sorted(hits))
-        return [(self.ids[k], n, both) for k, n, both in counts if both >= CONTAINED * n - 1e-9]
-
-
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
-    """Items of the benchmark, in lists of bounded size."""
-    held, n = [], 0
-    for row in benchmark.select(item_id, text).toLocalIterator():
-        words = item_words(row[1])
-        held.append((row[0], words))
-        n += len(words) + 1
-        if n >= BLOCK_WORDS:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def grams(words: list[str], n: int = SHINGLE) -> set:
+    return set(zip(*(words[i:] for i in range(n))))
+
+
+def size_class(n: int) -> int:
+    """The most shingles of items in the class of n: a power of two."""
+    return 1 << (n - 1).bit_length()
+
+
+def item_sketch(words: list[str], least: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """Class and sketch of an item; nothing for one of fewer than ``least`` words."""
+    if len(words) < max(least, 1):
+        return 0, np.zeros(0, np.uint64)
+    h = np.unique(windows(word_hashes(words), SHINGLE))
+    bound = size_class(len(h))
+    return bound, h[: int((1 - CONTAINED) * bound + 1e-9) + 1]
+
+
+def sketch_table(items: DataFrame, least: int) -> DataFrame:
+    """(value, r, class, words) of items (r, text): words is 0, or how many an item of fewer than SHINGLE has. Settled."""
+    names = ["value", "r", "class", "words"]
+
+    def build(batches):
+        for b in pieces(batches):
+            rows = []
+            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = item_words(t)
+                bound, sketch = item_sketch(w, least)
+                rows += [(x, r, bound, len(w) if len(w) < SHINGLE else 0) for x in sketch.view(np.int64).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(4)], names)
+
+    return settle(items.select("r", "text").mapInArrow(build, "value long, r long, class long, words long"), "item-sketches")
+
+
+def sieve_of(table: DataFrame) -> np.ndarray:
+    """Which leading bits some sketch value has. Its size is the same for any benchmark."""
+
+    def build(batches):
+        bits = np.zeros(1 << SIEVE_BITS, bool)
+        for b in batches:
+            bits[_slot(b.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
+    for row in table.select("value").coalesce(SIEVE_TASKS).mapInArrow(build, "bits binary").collect():
+        out |= np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return h.view(np.uint64) >> np.uint64(63 - SIEVE_BITS)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+          least: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared_shingles), a row for each item that a document contains."""
     schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
+    items = benchmark.select(F.monotonically_increasing_id().alias("r"), F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    items = settle(items, "benchmark-items")
+    table = sketch_table(items, least)
+    size = table.count()
+    if not size:
+        return docs.sparkSession.createDataFrame([], schema)
+    sieve = sieve_of(table)
+    short = [r["words"] for r in table.where("words > 0").select("words").distinct().collect()]  # SHINGLE - 1 rows at most
+
+    def hits(batches):
+        for b in pieces(batches):
+            keys, values = [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = item_words(t)
+                if not w:
+                    continue
+                h = word_hashes(w)
+                found = [windows(h, n) for n in (SHINGLE, *short) if len(w) >= n]
+                found = np.concatenate([np.zeros(0, np.uint64), *found])
+                found = np.unique(found[sieve[_slot(found)]])
+                keys.append(np.full(len(found), key))
+                values.append(found.view(np.int64))
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *keys])), pa.array(np.concatenate([none, *values]))], ["key", "value"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    side = table.select("value", "r")
+    candidates = rows.select("key", "text").mapInArrow(hits, "key long, value long").join(F.broadcast(side) if size <= BROADCAST_ROWS else side, "value")
+    candidates = settle(candidates.select("key", "r").distinct(), "leak-candidates")
+    of_doc = candidates.join(items, "r").groupBy("key").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    of_doc = settle(of_doc, "candidate-items")
+    unsettle(table, candidates)
     types = pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")])
-    rows, out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), None
-    for block in blocks(benchmark):
-        index = rows.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches, index=index):
-            items = ItemIndex(index.value)
-            for b in pieces(batches):
-                found = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in items.found(t)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=types)
-
-        part = rows.mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+
+    def verify(batches):
+        for b in pieces(batches, 50):
+            found = []
+            for d, t, several in zip(*(c.to_pylist() for c in b.columns)):
+                w = item_words(t)
+                own = {}
+                for item in several:
+                    words = item_words(item["text"])
+                    n = min(SHINGLE, len(words))
+                    if n not in own:
+                        own[n] = grams(w, n)
+                    wanted = grams(words, n)
+                    both = len(wanted & own[n])
+                    if both >= CONTAINED * len(wanted) - 1e-9:
+                        found.append((d, item["item_id"], len(wanted), both))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=types)
+
+    texts = semi(rows, of_doc.select("key"), "key").join(of_doc, "key")
+    return texts.select("doc_id", "text", "items").mapInArrow(verify, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

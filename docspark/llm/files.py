@@ -1,6 +1,7 @@
 """Plain files in the shared folder, read and written by tasks.
 
-A task writes under a name of its own and reports that name in a row; rows of
+Paths come with the scheme of the file system that Spark takes them from (see
+``common.qualified``). A task writes under a name of its own and reports that name in a row; rows of
 failed or repeated attempts never arrive, so their files are never read.
 """
 

@@ -9,8 +9,11 @@ only templates of such sizes are compared, and of them only those that share a b
 parameter; tasks hold them all, and documents are never shuffled.
 
 Defined results: one row for each row of the input; license and template are null and
-dice is 0 if no template is as like; of equally like templates the first by name wins;
-null texts match nothing; an empty table gives an empty result. Only id and text are read.
+dice is 0 if no template is as like; of several that are, that wins with which the
+document shares most bigrams, then the most like one, then the first by name: a whole
+licence says more than its first sentence, which others may have, too. Null texts match
+nothing; an empty table gives an empty result; a very long text is held by one task at a
+time, as its words. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from docspark.llm.common import pieces
 
 LIKE = 0.85
 
-#: Licence ids with the wordings of their notices, and some full texts.
+#: Licence ids with the wordings of their notices, and full texts of short licences without their copyright lines.
 TEMPLATES = [
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -35,7 +38,7 @@ TEMPLATES = [
     ("MIT", "grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("ISC", "grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-3-Clause", "notice", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("GPL-3.0", "notice", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
@@ -48,6 +51,45 @@ TEMPLATES = [
     ("CC-BY-4.0", "long", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "notice", "This is free and unencumbered software released into the public domain."),
+    (
+        "MIT", "text",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    (
+        "ISC", "text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
+    (
+        "BSD-2-Clause", "text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "BSD-3-Clause", "text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "Zlib", "text",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense", "text",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
     ("proprietary", "notice", "All rights reserved."),
 ]
 
@@ -86,8 +128,8 @@ class Templates:
         self.least, self.most = min(b[0] for b in self.bounds), max(b[1] for b in self.bounds)
 
     def best(self, text: str | None) -> tuple:
-        """(dice, template, licence) of the most alike unit and template."""
-        top = (0.0, None, None)
+        """(dice, template, licence) of the unit and template with most common bigrams, of those that are like enough."""
+        top, order = (0.0, None, None), None
         for unit in units(text.lower()) if text else ():
             w = _words(unit)
             if len(w) - 1 < self.least:
@@ -104,8 +146,8 @@ class Templates:
                 dice = 2 * both / (len(pairs) + len(self.sets[k]))
                 if low <= len(pairs) <= high and dice >= self.like:
                     name, lic = self.names[k]
-                    if top[1] is None or (-dice, name) < (-top[0], top[1]):
-                        top = (dice, name, lic)
+                    if order is None or (-both, -dice, name) < order:
+                        top, order = (dice, name, lic), (-both, -dice, name)
         return top
 
     def _all(self, w: list[str]) -> set:
@@ -158,7 +200,7 @@ uw AS (SELECT rid, row_number() OVER () AS k, regexp_extract_all(unit, '[\p{L}\p
 ug AS (SELECT DISTINCT rid, k, w[p] || ' ' || w[p + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS p FROM uw)),
 un AS (SELECT k, count(*) AS n FROM ug GROUP BY 1),
 m AS (SELECT rid, k, template, license, count(*) AS s FROM ug JOIN tg USING (g) GROUP BY ALL),
-b AS (SELECT rid, template, license, 2 * s / (un.n + tn.n) AS dice, row_number() OVER (PARTITION BY rid ORDER BY 2 * s / (un.n + tn.n) DESC, template) AS r
+b AS (SELECT rid, template, license, 2 * s / (un.n + tn.n) AS dice, row_number() OVER (PARTITION BY rid ORDER BY s DESC, 2 * s / (un.n + tn.n) DESC, template) AS r
   FROM m JOIN un USING (k) JOIN tn USING (template) WHERE 2 * s / (un.n + tn.n) >= 0.85)
 SELECT d.doc_id, b.license, b.template, coalesce(b.dice, 0.0)::DOUBLE AS dice FROM d LEFT JOIN b ON b.rid = d.rid AND b.r = 1
 """

@@ -22,7 +22,8 @@ ordered last; sources without words have target 0, and documents of size 0 add n
 words, but are taken as often as others of their source; an id that repeats has as
 many rows as in the input, each taken on its own; an empty table gives an empty
 result. The offset and the order depend on ids, source and seed alone, so reruns
-agree. Other columns are carried along, and replaced if an output column has their name.
+agree. A very long text is only counted. Other columns are carried along; ``mix`` replaces
+those that an output column has the name of, ``mixed`` returns all as they were.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import whole_text, word_count
+from docspark.llm.common import carried, restored, whole_text, word_count
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2.0, "mix"
 
@@ -110,10 +111,10 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return docs.select(doc_id, source, word_count(whole_text(text)).alias("size"))
 
 
-def mixed(df: DataFrame, **more) -> DataFrame:
-    """The rows themselves, each as often as it is taken."""
-    out = mix(df, **more)
-    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+def mixed(df: DataFrame, narrow: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """The rows themselves, each as often as it is taken. Columns of any name come out as they are."""
+    out = mix(carried(df, doc_id, text, source), doc_id, text, source, narrow, **more)
+    return restored(out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), df)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.blocks import PERCENT, block_links, chunk_of, chunks_of, each_of, full_sets, in_blocks, labelled, ordered, semi, shared_values, sides, verified
 from docspark.llm.common import attach_class, let, pieces, settle, unsettle
-from docspark.llm.components import components
+from docspark.llm.components import components, extended
 from docspark.llm.shingles import shingle_hashes
 
 K, SHORT = 64, 128
@@ -241,14 +241,15 @@ def linked_classes(classes: DataFrame, docs: DataFrame, k: int, more: DataFrame
     if more is not None:
         links = links.unionByName(more)
     labels = components(links)
-    out, inside = outsiders(lists.where(F.col("c") > SHORT), labels)
-    if out.limit(1).count():
+    long = lists.where(F.col("c") > SHORT)
+    if long.limit(1).count():
+        out, inside = outsiders(long, labels)
         blocks = settle(last_blocks(out, inside), "blocks")
         found = links_in_blocks(blocks, thin, docs, k)
         if found.limit(1).count():
-            labels = components(links.unionByName(verified(found, docs, k).where("linked").select("a", "b")))
-        unsettle(blocks)
-    unsettle(twos, lists, thin, pairs, out, inside)
+            labels = extended(labels, verified(found, docs, k).where("linked"))
+        unsettle(out, inside, blocks, found)
+    unsettle(twos, lists, thin, pairs)
     return labels
 
 

@@ -18,7 +18,9 @@ its documents have lines on average; their table is broadcast if it has at most
 
 Defined results: a null text has no words and fails the base rules; a null source is
 a host of its own; ids may be null or repeat, each row is judged by itself; an empty
-table gives an empty result. Only the named columns are read.
+table gives an empty result. A very long text is judged by one task at a time, as arrays of
+its words and lines. ``judged`` reads only the named columns and replaces those that an
+output column has the name of; ``cleaned`` returns all as they were.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import WORD, let, settle, whole_text, words_of
+from docspark.llm.common import WORD, carried, let, quoted, restored, settle, whole_text, words_of
 
 LINE_DOCS, LINE_SHARE, KEEP_SHARE = 20, 0.1, 0.5
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
@@ -105,15 +107,15 @@ def common_lines(docs: DataFrame, text: str = "text", source: str = "source", sh
 
 def with_common_lines(docs: DataFrame, common: DataFrame, source: str = "source") -> DataFrame:
     """Adds __common: the hashes of the host's lines over the limit. ``common`` must be settled."""
-    by_host = common.groupBy("host").agg(F.collect_set("line").alias("__common"))
-    rows = docs.withColumn("host", host_of(source))
+    by_host = common.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__common"))
+    rows = docs.withColumn("__host", host_of(source))
     if common.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        out = rows.join(F.broadcast(by_host), "host", "left")
+        out = rows.join(F.broadcast(by_host), "__host", "left")
     else:
         salt = F.pmod(F.xxhash64(*[c for c in docs.columns if c != source]), F.lit(SALTS))
         copies = by_host.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        out = rows.withColumn("__salt", salt).join(copies, ["host", "__salt"], "left").drop("__salt")
-    return out.withColumn("__common", F.coalesce("__common", F.array().cast("array<bigint>")))
+        out = rows.withColumn("__salt", salt).join(copies, ["__host", "__salt"], "left").drop("__salt")
+    return out.drop("__host").withColumn("__common", F.coalesce("__common", F.array().cast("array<bigint>")))
 
 
 def judged(docs: DataFrame, common: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -130,10 +132,21 @@ def judged(docs: DataFrame, common: DataFrame, text: str = "text", source: str =
         rows.withColumns({"n_words": n, "n_repeat_words": r})
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("kept_words") >= n * KEEP_SHARE))
-        .drop("__stats", "__common", "host")
+        .drop("__stats", "__common")
     )
 
 
+def cleaned(docs: DataFrame, common: DataFrame, text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
+    """The documents that the rules keep, without the common lines; ``n_chars`` follows. Columns of any other name come out as they are."""
+    good = judged(carried(docs, text, source), common, text, source).where("kept")
+    changed = F.col("kept_text") != F.col(text)
+    new = {text: F.when(changed, F.col("kept_text")).otherwise(F.col(text))}
+    if n_chars in docs.columns:
+        was = F.col(f"__row.{quoted(n_chars)}")
+        new[n_chars] = F.when(changed, F.length("kept_text").cast(docs.schema[n_chars].dataType)).otherwise(was)
+    return restored(good, docs, **new)
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     common = settle(common_lines(docs), "common-lines")

@@ -1,16 +1,19 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are coded in blocks. A block starts with a fresh model and coder and has a
-checksum, so each can be decoded alone. Many blocks are coded in lockstep: every
-variable of model and coder is an array with an element a block (a lane), and the
-arithmetic is of integers only, so any machine decodes what another has encoded.
-
-The model has three predictors. Order 2 and order 1 predict the id that last
-followed the last two ids, or the last one; order 0 predicts the block's leading
-id. Each is believed by its confidence, which grows when it is right, and by a weight
-that follows its success; the weighted probabilities are mixed, and the rest is
-shared equally by all 2**16 ids. The coder narrows its range to the part of the
-mixed distribution that belongs to the id; a carry goes into digits already written.
+Ids are coded in blocks. Before them stands a start: how often each id is found in all
+of them, and what mostly follows it. A block begins with a fresh coder and a model
+reset to the start, and has a checksum; so with the start each can be decoded alone. Many
+blocks are coded in lockstep: every variable of model and coder is an array with an
+element a block (a lane), and the arithmetic is of integers only, so any machine decodes
+what another has encoded.
+
+The model mixes orders 0 to 2. Order 2 predicts the id that last followed the last two
+in the block, and is believed by its confidence, which grows when it is right. Order 1
+predicts what mostly follows the last id, by the start, and is believed by how often it
+does. Both beliefs are multiplied by weights that the block learns from the errors; what
+order 2 leaves goes to order 1, and what this leaves to order 0, which shares it among all ids
+by the start's counts. The coder narrows its range to the part of the mixed
+distribution that belongs to the id; a carry goes into digits already written.
 """
 
 from __future__ import annotations
@@ -22,30 +25,91 @@ import numpy as np
 
 #: Ids in a block, and blocks in lockstep.
 BLOCK, LANES = 1024, 4096
-ID_BITS = 16
-ORDER1, ORDER2 = 128, 256
+#: Order 0 shares 2**COUNT_BITS among the ids.
+ID_BITS, COUNT_BITS = 16, 18
+ORDER2 = 256
 ONE = 1 << 12
 U = np.uint64
 LOW, FIRST_RANGE = U(1 << 32), U((1 << 64) - 1)
-SHIFT, DIGIT = U(12 + ID_BITS), U(32)
-HEAD = struct.Struct("<III")
-#: Probability of being right, in parts of ONE, by confidence 0 to 7.
-BELIEF = np.array([400, 1700, 2500, 3000, 3300, 3500, 3650, 3800], np.int32)
-LEAST_WEIGHT, MOST, UNIT = 64, 7 << ID_BITS, 1 << ID_BITS
-SHARE = ((1 << 24) // np.maximum(np.arange(3 * ONE + 1), 1)).astype(np.int32)
+SHIFT, DIGIT = U(12 + COUNT_BITS), U(32)
+HEAD, START = struct.Struct("<III"), struct.Struct("<II")
+#: Probability of being right, in parts of ONE, of an entry by its confidence 0 (empty) to 7.
+BELIEF = np.array([0, 1000, 2000, 2600, 2900, 3050, 3050, 3050], np.int32)
+#: Weights are in parts of ONE, too, and follow errors by 1 / 2**RATE.
+LEAST_WEIGHT, MOST_WEIGHT, RATE = 64, 5200, 5
+MOST, UNIT = 7 << ID_BITS, 1 << ID_BITS
+#: What follows an id less often isn't said in the start, and none is believed more.
+LEAST_TIMES, MOST_LEVEL = 3, 3000
+
+
+class Start:
+    """What a part's blocks begin with: order 0's shares of the ids, and what mostly follows an id.
+
+    ``low`` and ``size`` are an id's part of order 0's 2**COUNT_BITS, ``owner`` the id of each of these places, and
+    ``next`` the id that mostly follows an id, and how often it does, in parts of ONE, above the id's 16 bits.
+    """
+
+    def __init__(self, found: np.ndarray, shares: np.ndarray, led: np.ndarray, follow: np.ndarray, level: np.ndarray):
+        self.fields = found, shares, led, follow, level
+        self.size = np.zeros(1 << ID_BITS, np.int32)
+        self.size[found] = shares
+        self.low = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.owner = np.repeat(found, shares).astype(np.int32)
+        self.next = np.zeros(1 << ID_BITS, np.int32)
+        self.next[led] = follow.astype(np.int32) + (level.astype(np.int32) << ID_BITS)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Start:
+        found, counts = np.unique(ids, return_counts=True)
+        total = 1 << COUNT_BITS
+        shares = 1 + (counts * (total - len(found))) // max(len(ids), 1)
+        if len(found):
+            shares[counts.argmax()] += total - shares.sum()
+        pairs, times = np.unique(ids[:-1].astype(np.uint32) << np.uint32(ID_BITS) | ids[1:], return_counts=True)
+        led, follow = (pairs >> np.uint32(ID_BITS)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64)
+        order = np.lexsort((follow, -times, led))
+        led, follow, times = led[order], follow[order], times[order]
+        first = np.ones(len(led), bool)
+        first[1:] = led[1:] != led[:-1]
+        led, follow, times = led[first], follow[first], times[first]
+        all_of = np.zeros(1 << ID_BITS, np.int64)
+        all_of[found] = counts
+        level = np.minimum(times * ONE // np.maximum(all_of[led], 1), MOST_LEVEL)
+        some = (times >= LEAST_TIMES) & (level > 0)
+        return cls(found, shares, led[some], follow[some], level[some])
+
+    def pack(self) -> bytes:
+        found, shares, led, follow, level = self.fields
+        columns = (np.diff(found, prepend=0), shares), (np.diff(led, prepend=0), follow, level)
+        data = zlib.compress(b"".join(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns for x in c))
+        return START.pack(len(found), len(led)) + struct.pack("<II", len(data), zlib.crc32(data)) + data
+
+    @classmethod
+    def unpack(cls, data: bytes) -> tuple[Start, int]:
+        """The start, and how many bytes it took."""
+        n, m = START.unpack_from(data)
+        size, crc = struct.unpack_from("<II", data, START.size)
+        body = data[START.size + 8 : START.size + 8 + size]
+        if len(body) != size or zlib.crc32(body) != crc:
+            raise Damaged("the start has another checksum")
+        raw, at, columns = zlib.decompress(body), 0, []
+        for k in (n, n, m, m, m):
+            planes = np.frombuffer(raw, np.uint8, 4 * k, at).reshape(4, k)
+            columns.append(np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64))
+            at += 4 * k
+        columns[0], columns[2] = np.cumsum(columns[0]), np.cumsum(columns[2])
+        return cls(*columns), START.size + 8 + size
 
 
 class Model:
-    """Predictions of ``lanes`` blocks at the same place. A table's entry is id + (confidence << 16)."""
+    """Predictions of ``lanes`` blocks at the same place. An entry of order 2 is id + (confidence << 16)."""
 
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.base1 = np.arange(lanes, dtype=np.int32) * ORDER1
+    def __init__(self, lanes: int, start: Start):
+        self.n, self.next = lanes, start.next
         self.base2 = np.arange(lanes, dtype=np.int32) * ORDER2
-        self.t1 = np.zeros(lanes * ORDER1, np.int32)
         self.t2 = np.zeros(lanes * ORDER2, np.int32)
-        self.t0 = np.zeros(lanes, np.int32)
-        self.weight = [np.full(lanes, ONE // 2, np.int32) for _ in range(3)]
+        self.weight = [np.full(lanes, ONE, np.int32) for _ in range(2)]
+        self.last = np.zeros(lanes, np.int32)
         self.h1 = np.zeros(lanes, np.int32)
         self.h2 = np.zeros(lanes, np.int32)
 
@@ -53,33 +117,30 @@ class Model:
         """Goes on with the first n lanes."""
         if n != self.n:
             self.n = n
-            self.base1, self.base2, self.t0, self.h1, self.h2 = (x[:n] for x in (self.base1, self.base2, self.t0, self.h1, self.h2))
+            self.base2, self.last, self.h1, self.h2 = (x[:n] for x in (self.base2, self.last, self.h1, self.h2))
             self.weight = [w[:n] for w in self.weight]
 
     def predict(self):
-        """Ids of the three predictors, and the parts of ONE that each has."""
-        self.i1 = self.base1 + ((self.h1 >> 9) & (ORDER1 - 1))
-        self.i2 = self.base2 + (((self.h1 ^ (self.h2 >> 3)) >> 6) & (ORDER2 - 1))
-        self.packed = (self.t2.take(self.i2), self.t1.take(self.i1), self.t0)
-        w = self.weight
-        unit = SHARE.take(w[0] + w[1] + w[2])
-        a, b, c = (BELIEF.take(p >> ID_BITS) * (v * unit >> 12) >> 12 for p, v in zip(self.packed, w))
-        self.ids = [p & 0xFFFF for p in self.packed]
-        both = b * (self.ids[1] == self.ids[0])  # predictors that agree add up
-        return self.ids, (a + both, b - both, c)
+        """Ids of orders 2 and 1, and the parts of ONE that each has."""
+        self.at = self.base2 + (((self.h1 ^ (self.h2 >> 3)) >> 6) & (ORDER2 - 1))
+        self.held = self.t2.take(self.at)
+        led = self.next.take(self.last)
+        self.id2, self.id1 = self.held & 0xFFFF, led & 0xFFFF
+        self.a = BELIEF.take(self.held >> ID_BITS) * self.weight[0] >> 12
+        self.b = (ONE - self.a) * ((led >> ID_BITS) * self.weight[1] >> 12) >> 12
+        return self.id2, self.id1, self.a, self.b
 
     def update(self, x: np.ndarray) -> None:
-        new = []
-        for k in range(3):
-            p, hit = self.packed[k], self.ids[k] == x
+        hit2, hit1 = self.id2 == x, self.id1 == x
+        for k, (hit, part) in enumerate(((hit2, self.a), (hit1, self.b))):
             w = self.weight[k]
-            w += ((hit * np.int32(ONE)) - w) >> 5
-            np.maximum(w, LEAST_WEIGHT, out=w)
-            right = p + (p < MOST) * np.int32(UNIT)
-            wrong = np.where(p >= 2 * UNIT, p - np.int32(UNIT), x)
-            new.append(np.where(hit, right, wrong))
-        self.t2[self.i2], self.t1[self.i1], self.t0 = new
-        self.h2, self.h1 = self.h1, x * np.int32(40503)
+            w += (hit * np.int32(ONE) - part) >> RATE
+            np.clip(w, LEAST_WEIGHT, MOST_WEIGHT, out=w)
+        p = self.held
+        right = p + (p < MOST) * np.int32(UNIT)
+        wrong = np.where(p >= 3 * UNIT, p - np.int32(UNIT), x + np.int32(UNIT))
+        self.t2[self.at] = np.where(hit2, right, wrong)
+        self.h2, self.h1, self.last = self.h1, x * np.int32(40503), x
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
@@ -87,21 +148,22 @@ def _lengths(n: int, block: int) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Blocks of at most ``block`` ids each, with their heads. ids: uint16."""
-    out: list[bytes] = []
-    for start in range(0, len(ids), block * LANES):
-        out += _encode(ids[start : start + block * LANES], block)
+    """A start, and blocks of at most ``block`` ids each, with their heads. ids: uint16."""
+    start = Start.of(ids)
+    out = [start.pack()]
+    for first in range(0, len(ids), block * LANES):
+        out += _encode(ids[first : first + block * LANES], block, start)
     return out
 
 
-def _encode(ids: np.ndarray, block: int) -> list[bytes]:
+def _encode(ids: np.ndarray, block: int, start: Start) -> list[bytes]:
     lengths = _lengths(len(ids), block)
     lanes = len(lengths)
     steps = int(lengths[0])
     table = np.zeros(lanes * steps, np.int32)
     table[: len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
-    model = Model(lanes)
+    model = Model(lanes, start)
     low, span = np.zeros(lanes, U), np.full(lanes, FIRST_RANGE)
     digits = np.zeros((lanes, steps + 3), np.uint32)
     place = np.zeros(lanes, np.int64)
@@ -114,14 +176,14 @@ def _encode(ids: np.ndarray, block: int) -> list[bytes]:
             model.narrow(n)
             low, span = low[:n], span[:n]
         x = table[t, :n]
-        (i2, i1, i0), (a, b, c) = model.predict()
-        ab, abc = a + b, a + b + c
-        rest = ONE - abc
-        begin, size = (abc << ID_BITS) + x * rest, rest
-        for ident, part, before in ((i0, c, ab), (i1, b, a), (i2, a, None)):
-            hit = (ident == x) & (part > 0)
-            begin = np.where(hit, 0 if before is None else before << ID_BITS, begin)
-            size = np.where(hit, part << ID_BITS, size)
+        i2, i1, a, b = model.predict()
+        ab = a + b
+        rest = ONE - ab
+        begin, size = (ab << COUNT_BITS) + start.low.take(x) * rest, start.size.take(x) * rest
+        at = np.flatnonzero((i1 == x) & (b > 0))
+        begin[at], size[at] = a[at] << COUNT_BITS, b[at] << COUNT_BITS
+        at = np.flatnonzero((i2 == x) & (a >= b) & (a > 0))
+        begin[at], size[at] = 0, a[at] << COUNT_BITS
         unit = span >> SHIFT
         new = low + unit * begin.astype(U)
         _carry(digits, place, np.flatnonzero(new < low))
@@ -162,18 +224,20 @@ class Damaged(ValueError):
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of the blocks that ``data`` holds one after the other."""
-    heads, at = [], 0
+    if not data:
+        return np.zeros(0, np.uint16)
+    start, at = Start.unpack(data)
+    heads, parts = [], []
     while at < len(data):
         n, size, crc = HEAD.unpack_from(data, at)
         heads.append((n, at + HEAD.size, size, crc))
         at += HEAD.size + size
-    parts = []
-    for start in range(0, len(heads), LANES):
-        parts += _decode(data, heads[start : start + LANES])
+    for first in range(0, len(heads), LANES):
+        parts += _decode(data, heads[first : first + LANES], start)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _decode(data: bytes, heads: list) -> list[np.ndarray]:
+def _decode(data: bytes, heads: list, start: Start) -> list[np.ndarray]:
     order = sorted(range(len(heads)), key=lambda k: -heads[k][0])
     lengths = np.array([heads[k][0] for k in order])
     lanes, steps = len(heads), int(lengths[0])
@@ -184,7 +248,7 @@ def _decode(data: bytes, heads: list) -> list[np.ndarray]:
     for _ in range(2):
         code = (code << DIGIT) | flat[place]
         place += 1
-    model = Model(lanes)
+    model = Model(lanes, start)
     span = np.full(lanes, FIRST_RANGE)
     table = np.zeros((steps, lanes), np.uint16)
 
@@ -194,18 +258,22 @@ def _decode(data: bytes, heads: list) -> list[np.ndarray]:
             n = int(np.searchsorted(-lengths, -t, side="left"))
             model.narrow(n)
             span, code, place = span[:n], code[:n], place[:n]
-        (i2, i1, i0), (a, b, c) = model.predict()
-        ab, abc = a + b, a + b + c
-        rest = ONE - abc
+        i2, i1, a, b = model.predict()
+        ab = a + b
+        rest = ONE - ab
         unit = span >> SHIFT
-        v = np.minimum(code // unit, U((1 << 28) - 1)).astype(np.int32)
-        slot = v >> ID_BITS
-        begin = abc << ID_BITS
-        other = ((v - begin) / rest).astype(np.int32)  # exact: both are far below 2**53
-        in_a, in_b, in_c = slot < a, slot < ab, slot < abc
-        x = np.where(in_a, i2, np.where(in_b, i1, np.where(in_c, i0, other)))
-        begin = np.where(in_a, 0, np.where(in_b, a << ID_BITS, np.where(in_c, ab << ID_BITS, begin + other * rest)))
-        size = np.where(in_a, a << ID_BITS, np.where(in_b, b << ID_BITS, np.where(in_c, c << ID_BITS, rest)))
+        v = np.minimum(code // unit, U((1 << 12 + COUNT_BITS) - 1)).astype(np.int32)
+        begin = ab << COUNT_BITS
+        x = start.owner.take(np.maximum(v - begin, 0) // rest)
+        begin += start.low.take(x) * rest
+        size = start.size.take(x) * rest
+        slot = v >> COUNT_BITS
+        at = np.flatnonzero(slot < ab)
+        if len(at):
+            in_a = slot[at] < a[at]
+            x[at] = np.where(in_a, i2[at], i1[at])
+            begin[at] = np.where(in_a, 0, a[at] << COUNT_BITS)
+            size[at] = np.where(in_a, a[at], b[at]) << COUNT_BITS
         code -= unit * begin.astype(U)
         span = unit * size.astype(U)
         at = np.flatnonzero(span < LOW)

@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from docspark.llm.blocks import block_links, chunk_of, chunks_of, each_of, in_blocks, labelled, ordered, semi, verified
 from docspark.llm.common import attach_class, pieces, settle, unsettle
-from docspark.llm.components import components
+from docspark.llm.components import components, extended
 from docspark.llm.neardup import outsiders
 from docspark.llm.shingles import P, mixed, shingle_hashes, windows, word_hashes, words
 
 SPAN, PLACES, SHINGLE = 25, 26, 5
 ROWS, LIKE, PARAGRAPHS, MISSED = 3, 0.8, 1, 0.001
-#: Band keys go to so many buckets, and leave a task when it has so many.
-BUCKETS, READY = 1024, 1 << 18
+#: Band keys go to so many buckets at least, and to more if one would hold more keys than FULL; they leave a task when it has READY.
+BUCKETS, FULL, READY = 1024, 1 << 18, 1 << 18
 PAIR = np.dtype([("k", "<u4"), ("v", "<i8")])
 #: Odd multipliers that make four and more hash functions of one.
 FACTORS = np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
@@ -91,11 +91,15 @@ def paragraphs_of(texts: list, bands: int) -> tuple[np.ndarray, np.ndarray, np.n
     return owner, start, spelled(w, here, SPAN), keys
 
 
-def packed(v: list, keys: list) -> pa.RecordBatch:
+def buckets_for(paragraphs: int, bands: int) -> int:
+    return max(BUCKETS, 1 << (paragraphs * bands // FULL).bit_length())
+
+
+def packed(v: list, keys: list, buckets: int = BUCKETS) -> pa.RecordBatch:
     """Rows bucket, packed: the distinct (low half of a band key, v) of each bucket as bytes."""
     v, once = np.unique(np.concatenate(v), return_index=True)
     keys = np.concatenate(keys)[once]
-    bucket = (keys >> np.uint64(32)).astype(np.int64) % BUCKETS
+    bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
     order = np.argsort(bucket.ravel(), kind="stable")
     pairs = np.empty(len(order), PAIR)
     pairs["k"] = keys.ravel()[order].astype(np.uint32)
@@ -118,9 +122,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return settle(docs.mapInArrow(build, "doc_id long, start long, v long"), "paragraphs")
 
 
-def band_keys(docs: DataFrame) -> DataFrame:
+def band_keys(docs: DataFrame, paragraphs: int) -> DataFrame:
     """Rows bucket, packed of the paragraphs of docs (doc_id, text (binary)). Made anew, as texts are smaller than keys."""
     bands = tuned_bands(rows=ROWS)
+    buckets = buckets_for(paragraphs, bands)
 
     def build(batches):
         held_v, held_keys = [], []
@@ -131,10 +136,10 @@ def band_keys(docs: DataFrame) -> DataFrame:
             held_v.append(v)
             held_keys.append(keys)
             if sum(map(len, held_v)) * bands > READY:
-                yield packed(held_v, held_keys)
+                yield packed(held_v, held_keys, buckets)
                 held_v, held_keys = [], []
         if held_v:
-            yield packed(held_v, held_keys)
+            yield packed(held_v, held_keys, buckets)
 
     return docs.mapInArrow(build, "bucket long, packed binary")
 
@@ -237,7 +242,7 @@ def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
         blocks = settle(across_blocks(long, labels), "blocks")
         more = settle(ordered(in_blocks(blocks.join(sets, "v"), block_links), "a", "b"), "far-paragraphs")
         if more.limit(1).count():
-            labels = components(links.unionByName(verified(more, texts, SHINGLE).where("linked").select("a", "b")))
+            labels = extended(labels, verified(more, texts, SHINGLE).where("linked"))
         unsettle(blocks, more)
     unsettle(texts, pairs, long)
     return labels
@@ -247,7 +252,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, start, n_words, cluster_id, keeper_doc_id and removed of paragraphs that are in several documents."""
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     units = paragraphs(plain)
-    lists = shared_lists(band_keys(plain))
+    lists = shared_lists(band_keys(plain, units.count()))
     listed = lists.select("v").distinct().withColumn("listed", F.lit(True))
     # Starts are those of the first document's; equal paragraphs have equal texts.
     classes = units.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"))

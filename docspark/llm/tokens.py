@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm import rangecoder
-from docspark.llm.common import pieces, settle, work_dir
+from docspark.llm.common import pieces, qualified, settle, work_dir
 from docspark.llm.files import create, new_name, open_file, open_stream
 
 VOCABULARY = "word_bpe_49k.json"
@@ -162,7 +162,7 @@ def _part(docs: list, ids: bytearray) -> bytes:
 def write_coded(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, end_id: int = END_ID,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A settled table of (path, first, docs, ids), a row each file; files by ascending ``first`` are in id order."""
-    folder = folder or work_dir(docs.sparkSession, "coded-ids")
+    folder = qualified(docs.sparkSession, folder) if folder else work_dir(docs.sparkSession, "coded-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("path", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
@@ -247,7 +247,7 @@ def op3_token_binary(spark, sf_dir: str) -> DataFrame:
 def write_flat(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY, end_id: int = FLAT_END,
                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A settled table of (path, number, doc_id): the number-th document of a file. No order is kept but that within files."""
-    folder = folder or work_dir(docs.sparkSession, "flat-ids")
+    folder = qualified(docs.sparkSession, folder) if folder else work_dir(docs.sparkSession, "flat-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     end = struct.pack("<H", end_id)
 

@@ -2,7 +2,14 @@
 
 Each record is a gzip member of its own. The reader decompresses a member
 incrementally, takes the block by its content length, checks the digests of block
-and payload, and goes on with the bytes behind the member. It holds one record.
+and payload, if there are any, and goes on with the bytes behind the member. It holds one
+record. It reads archives of others, too: all types of records, WARC/1.0 and 1.1, folded
+headers, digests in base32 or hex by any algorithm that Python has. The payload is what
+follows the HTTP header of an ``application/http`` block, and else the block.
+
+Record ids are ``<urn:page:ID#PART-NUMBER>``, so no two are the same; a revisit refers to
+``<urn:page:ID>``. It also says in a header of its own how long the payload is that it
+leaves out, because WARC has no field for that.
 
 Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, that with the largest
 id is written as a response and the others as revisits, which have HTTP headers but
@@ -17,7 +24,9 @@ an empty table gives no archive and an empty result. Other columns are not archi
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import attach_class, pieces, settle, work_dir
+from docspark.llm.common import attach_class, pieces, qualified, settle, work_dir
 from docspark.llm.files import create, new_name, open_stream
 
 MIN_REVISIT = 1000
-DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CHUNK = 1 << 16
 
@@ -43,15 +51,19 @@ def header_value(x: str) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in x)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One gzip member. ``digest``: SHA-1 of the payload in hex."""
+def now() -> str:
+    return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to, number: str = "0", date: str | None = None) -> bytes:
+    """One gzip member. ``digest``: SHA-1 of the payload in hex; ``number``: what tells this record from others of the page."""
     block = HTTP + (payload if kind == "response" else b"")
     ident = "null" if page_id is None else page_id
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{ident}>",
-        f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: <urn:page:{ident}#{number}>",
+        f"WARC-Date: {date or now()}",
         f"WARC-Block-Digest: {sha1_label(hashlib.sha1(block).digest())}",
         f"WARC-Payload-Digest: {sha1_label(bytes.fromhex(digest))}",
         f"X-Payload-Length: {len(payload)}",
@@ -71,12 +83,48 @@ class Damaged(ValueError):
     """An archive whose framing or digests don't hold."""
 
 
-def _page(x: str) -> int | None:
-    return None if x == "<urn:page:null>" else int(x[10:-1])
+_page_uri = re.compile(r"<?urn:page:(-?\d+)(?:#[^>]*)?>?").fullmatch
+
+
+def _page(x: str | None) -> int | None:
+    """The page of a record id; None for ids of others."""
+    found = _page_uri(x or "")
+    return int(found[1]) if found else None
+
+
+def digest_hex(label: str | None) -> tuple[str, str] | None:
+    """Algorithm and digest in hex of ``algorithm:digest``; None for one that can't be checked."""
+    name, _, value = (label or "").strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (name, raw.hex()) if len(raw) == size else None
+
+
+def header_fields(head: bytes) -> tuple[str, dict[str, str]]:
+    """First line and fields, by names in lower case. A line that begins with a blank goes on with the one before."""
+    first, *lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    fields, last = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return first.strip(), fields
 
 
 def read_records(stream) -> Iterator[dict]:
-    """Records of an archive, in order. ``stream``: anything with read(n)."""
+    """Records of an archive, in order. ``stream``: anything with read(n).
+
+    payload_digest is SHA-1 in hex, as the record says it or as counted; payload_bytes is null for a revisit that doesn't say it.
+    """
     left, offset = b"", 0
     while True:
         left = left or stream.read(CHUNK)
@@ -93,25 +141,29 @@ def read_records(stream) -> Iterator[dict]:
             left = unpack.unused_data
             if start is None and (end := data.find(b"\r\n\r\n")) >= 0:
                 start = end + 4
-                lines = data[:end].decode().split("\r\n")
-                fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-                if not lines[0].startswith("WARC/") or "content-length" not in fields:
+                first, fields = header_fields(bytes(data[:end]))
+                if not first.startswith("WARC/") or not fields.get("content-length", "").isdigit():
                     raise Damaged(f"the member at {offset} has no WARC header")
                 length = int(fields["content-length"])
         if start is None or len(data) != start + length + 4 or data[-4:] != b"\r\n\r\n":
             raise Damaged(f"the member at {offset} isn't as long as its header says")
         block = bytes(data[start : start + length])
-        if sha1_label(hashlib.sha1(block).digest()) != fields["warc-block-digest"]:
+        said = digest_hex(fields.get("warc-block-digest"))
+        if said and hashlib.new(said[0], block).hexdigest() != said[1]:
             raise Damaged(f"the block at {offset} has another digest")
-        payload = block[block.find(b"\r\n\r\n") + 4 :]
-        digest = base64.b32decode(fields["warc-payload-digest"][5:])
-        kind, size = fields["warc-type"], int(fields["x-payload-length"])
-        if kind == "response" and (hashlib.sha1(payload).digest() != digest or len(payload) != size):
+        kind = fields.get("warc-type", "").lower()
+        http = fields.get("content-type", "").lower().startswith("application/http")
+        payload = block[block.find(b"\r\n\r\n") + 4 :] if http and b"\r\n\r\n" in block else b"" if http else block
+        said, size = digest_hex(fields.get("warc-payload-digest")), fields.get("x-payload-length", "")
+        # A revisit may leave the payload out, and a segment has part of it.
+        whole = kind != "revisit" and "warc-segment-number" not in fields
+        if whole and (said and hashlib.new(said[0], payload).hexdigest() != said[1] or size and size != str(len(payload))):
             raise Damaged(f"the payload at {offset} has another digest")
+        sha1 = said[1] if said and said[0] == "sha1" else hashlib.sha1(payload).hexdigest() if whole else None
         yield {
-            "page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": kind, "payload": payload,
-            "payload_bytes": size, "payload_digest": digest.hex(), "offset": offset,
-            "refers_to": _page(fields["warc-refers-to"]) if kind == "revisit" else None,
+            "record_id": fields.get("warc-record-id"), "page_id": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind,
+            "date": fields.get("warc-date"), "payload": payload, "payload_bytes": len(payload) if whole else int(size) if size.isdigit() else None,
+            "payload_digest": sha1, "offset": offset, "refers_to": _page(fields.get("warc-refers-to")),
         }
         offset += taken
 
@@ -135,14 +187,15 @@ def classified(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Writes an archive for each partition; a settled table of (path, records)."""
     rows = classified(pages, **columns)
-    folder = folder or work_dir(pages.sparkSession, "warc")
+    folder, date = qualified(pages.sparkSession, folder) if folder else work_dir(pages.sparkSession, "warc"), now()
 
     def archive(batches):
         path, out, n = new_name(folder, "warc.gz"), None, 0
+        part = path.rpartition("/part-")[2].partition(".")[0]
         for b in pieces(batches, 50):
             for r in b.to_pylist():
                 out = out or create(path)
-                out.write(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"]))
+                out.write(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"], f"{part}-{n}", date))
                 n += 1
         if out:
             out.close()
@@ -153,7 +206,7 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
 
 def read(archives: DataFrame) -> DataFrame:
     """Records of the archives in the column ``path``; payloads are read and checked, but not returned."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, offset long"
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, archive string, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
     types = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in schema.split(", "))])
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docspark.llm import rangecoder, tokens, warc
+from tests.conftest import DATA
 from docspark.llm.files import open_stream
 
 PAGES = [
@@ -43,6 +44,7 @@ def test_warc_round_trip(spark, monkeypatch, broadcast):
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", top[h] if again else None))
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    assert len({r.record_id for r in got}) == len(got)
     payloads = {}
     for path in [r.path for r in files.collect()]:
         for r in warc.read_records(open_stream(path)):
@@ -67,15 +69,40 @@ def test_damaged_archives():
             list(warc.read_records(io.BytesIO(data)))
 
 
+def foreign(head: str, block: bytes) -> bytes:
+    packer = zlib.compressobj(6, 8, 31)
+    return packer.compress(head.replace("\n", "\r\n").encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def test_archives_of_others():
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\r\n\r\nmore"
+    payload = b"body\r\n\r\nmore"
+    data = foreign("WARC/1.0\nWARC-Type: warcinfo\nWARC-Record-ID: <urn:uuid:1>\nContent-Type: application/warc-fields\nContent-Length: 5", b"a: b\n")
+    data += foreign("WARC/1.0\nWARC-Type: request\nWARC-Record-ID: <urn:uuid:2>\nContent-Type: application/http;\n msgtype=request\nContent-Length: 18", b"GET / HTTP/1.0\r\n\r\n")
+    data += foreign(f"WARC/1.1\nwarc-type: response\nWARC-Record-ID: <urn:uuid:3>\nWARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\nContent-Type: application/http\nContent-Length: {len(http)}", http)
+    data += foreign("WARC/1.1\nWARC-Type: metadata\nWARC-Record-ID: <urn:uuid:4>\nWARC-Block-Digest: strange:xyz\nContent-Length: 3", b"x:y")
+    data += foreign(f"WARC/1.1\nWARC-Type: revisit\nWARC-Record-ID: <urn:uuid:5>\nWARC-Refers-To: <urn:uuid:3>\nWARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}\nContent-Length: 0", b"")
+    got = list(warc.read_records(io.BytesIO(data)))
+    sha1 = lambda x: hashlib.sha1(x).hexdigest()
+    assert [(r["record_type"], r["payload"], r["payload_bytes"], r["payload_digest"], r["page_id"], r["refers_to"]) for r in got] == [
+        ("warcinfo", b"a: b\n", 5, sha1(b"a: b\n"), None, None), ("request", b"", 0, sha1(b""), None, None), ("response", payload, len(payload), sha1(payload), None, None),
+        ("metadata", b"x:y", 3, sha1(b"x:y"), None, None), ("revisit", b"", None, sha1(payload), None, None),
+    ]
+    assert [r["record_id"] for r in got] == [f"<urn:uuid:{k}>" for k in range(1, 6)]
+    wrong = foreign(f"WARC/1.1\nWARC-Type: response\nWARC-Payload-Digest: sha256:{'0' * 64}\nContent-Type: application/http\nContent-Length: {len(http)}", http)
+    with pytest.raises(warc.Damaged):
+        list(warc.read_records(io.BytesIO(wrong)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 65535), st.integers(0, 3)), max_size=400), st.integers(1, 50))
 def test_range_coder_round_trip(ids, block):
     x = np.array(ids, np.uint16)
-    blocks = rangecoder.encode(x, block)
+    start, *blocks = rangecoder.encode(x, block)
     assert len(blocks) == -(-len(x) // block)
-    assert (rangecoder.decode(b"".join(blocks)) == x).all()
+    assert (rangecoder.decode(b"".join([start, *blocks])) == x).all()
     if len(blocks) > 1:
-        assert (rangecoder.decode(blocks[1]) == x[block : 2 * block]).all(), "a block stands alone"
+        assert (rangecoder.decode(start + blocks[1]) == x[block : 2 * block]).all(), "with the start, a block stands alone"
 
 
 def test_range_coder_learns_and_detects_damage():
@@ -92,6 +119,13 @@ def test_range_coder_learns_and_detects_damage():
             raise ValueError("unchanged ids: the byte wasn't needed")
 
 
+def test_range_coder_halves_the_ids_of_the_documents(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet".replace("sf0.001", "sf0.01")).collect()]
+    ids = np.concatenate([np.append(x, np.uint16(tokens.END_ID)) for x in tokens.encode_texts(texts)]).astype(np.uint16)
+    data = b"".join(rangecoder.encode(ids))
+    assert len(data) <= 0.5 * 2 * len(ids) and (rangecoder.decode(data) == ids).all()
+
+
 def reference(texts, special):
     from tokenizers import Tokenizer
 

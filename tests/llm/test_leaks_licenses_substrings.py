@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from docspark.llm import decontaminate, licenses, neardup, substrings
+from docspark.llm import blocks, decontaminate, licenses, substrings
 from docspark.llm.shingles import words
 
 
@@ -29,24 +29,29 @@ def leaky(bench):
     return [*rows, (200, None), (201, ""), (3, rows[5][1]), (300, "x " * 30000 + bench[9][1])]
 
 
-@pytest.mark.parametrize("block_words", [100, 10**6])
-def test_leaks_equal_brute_force(spark, monkeypatch, block_words):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
-    bench = items()
+@pytest.mark.parametrize("broadcast, bits, least", [(10**6, 20, 5), (0, 6, 1), (0, 20, 3)])
+def test_leaks_equal_brute_force(spark, monkeypatch, broadcast, bits, least):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
+    bench = [*items(), (70, "f1"), (71, "F2, f3"), (72, "f999 nowhere"), (73, "f4")]
     docs = leaky(bench)
-    sets = [(i, decontaminate.grams(decontaminate.item_words(t))) for i, t in bench]
     want = []
     for d, t in docs:
-        own = decontaminate.grams(decontaminate.item_words(t))
-        want += [(d, i, len(s), len(s & own)) for i, s in sets if s and len(s & own) >= 0.8 * len(s) - 1e-9]
-    df = spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], "doc_id long, text string, item_id string, shared_shingles int")
-    b = spark.createDataFrame(bench, "item_id long, text string")
+        for i, text in bench:
+            w = decontaminate.item_words(text)
+            n = min(5, len(w))
+            if len(w) >= max(1, least):
+                s, own = decontaminate.grams(w, n), decontaminate.grams(decontaminate.item_words(t), n)
+                want += [(d, i, len(s), len(s & own))] if len(s & own) >= 0.8 * len(s) - 1e-9 else []
+    df = spark.createDataFrame([(d, t, "clash", 1, "k", 2) for d, t in docs], "doc_id long, text string, item_id string, shared_shingles int, key string, value int")
+    b = spark.createDataFrame([(i, t, 1) for i, t in bench], "item_id long, text string, r int").repartition(3)
     key = lambda r: tuple(map(str, r))
     assert len(want) > 20
-    assert sorted(map(tuple, decontaminate.leaks(df, b).collect()), key=key) == sorted(want, key=key)
-    bad = {w[0] for w in want}
-    left = decontaminate.without_leaks(df, b)
-    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in bad)
+    assert sorted(map(tuple, decontaminate.leaks(df, b, least=least).collect()), key=key) == sorted(want, key=key)
+    if least == 5:
+        bad = {w[0] for w in want}
+        left = decontaminate.without_leaks(df, b)
+        assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in bad)
 
 
 def test_no_leaks(spark, docs, empty):
@@ -60,13 +65,14 @@ def test_no_leaks(spark, docs, empty):
 
 
 def naive(text):
-    best = (0.0, None, None)
+    best, order = (0.0, None, None), None
     for unit in licenses.units(text.lower()) if text else ():
         a = licenses.bigrams(unit)
         for lic, part, body in licenses.TEMPLATES:
             b = licenses.bigrams(body.lower())
             dice = 2 * len(a & b) / (len(a) + len(b)) if a else 0
-            if dice >= licenses.LIKE and (best[1] is None or (-dice, f"{lic}/{part}") < (-best[0], best[1])):
+            if dice >= licenses.LIKE and (order is None or (-len(a & b), -dice, f"{lic}/{part}") < order):
+                order = (-len(a & b), -dice, f"{lic}/{part}")
                 best = (dice, f"{lic}/{part}", lic)
     return best
 
@@ -86,6 +92,16 @@ def test_licenses_equal_all_comparisons(spark, docs, rows, wide, empty):
     assert licenses.scan(wide).count() == len(rows) and licenses.scan(empty).count() == 0
 
 
+def test_whole_licences_are_told_apart():
+    known = licenses.Templates()
+    bodies = {lic: body for lic, part, body in licenses.TEMPLATES if part == "text"}
+    for lic, body in bodies.items():
+        assert known.best(f"Copyright (c) 2020, Some One\n\n{body}")[2] == lic
+    two = bodies["BSD-2-Clause"]
+    assert known.best(f"{two[:150]}\nand other conditions that nobody has heard of before")[1] == "BSD/grant"
+    assert "neither the name" in bodies["BSD-3-Clause"].lower() and "neither the name" not in two.lower()
+
+
 # ---- substrings
 
 
@@ -152,12 +168,43 @@ def test_families_of_copies_are_bridged(spark):
 
 
 def test_blocks_of_a_long_list_are_bridged(spark, monkeypatch):
-    for module in (neardup, substrings):
-        monkeypatch.setattr(module, "CHUNK", 4, raising=False)
+    monkeypatch.setattr(blocks, "CHUNK", 4)
     got = substrings.repeated(spark.createDataFrame(variants([f"x y{k}" for k in range(28)], 2), "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == set(range(28)) and len({r.cluster_id for r in got}) == 1
 
 
+@pytest.mark.parametrize("chunk", [16, 1024])
+def test_groups_equal_all_comparisons(spark, monkeypatch, chunk):
+    """Texts of one paragraph with a word changed, each compared with all others."""
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    r = random.Random(6)
+    rows = []
+    for i in range(300):
+        w = [f"w{j}" for j in range(25)]
+        w[r.randrange(25)] = f"other{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(21)} for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                group[y] = x
+    want = defaultdict(set)
+    for i in range(len(rows)):
+        want[root(i)].add(i)
+    got = defaultdict(set)
+    for x in substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x.cluster_id].add(x.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def test_single_near_paragraphs_are_found(spark):
     """Pairs of texts of one paragraph with a Jaccard similarity of 19/23, alone with each other."""
     rows = [(2 * p + k, " ".join([*(f"t{p}-{j}" for j in range(23)), f"u{p}-{k}", f"w{p}-{k}"])) for p in range(300) for k in (0, 1)]

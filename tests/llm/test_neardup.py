@@ -123,7 +123,10 @@ def test_components(spark, monkeypatch, share):
     monkeypatch.setattr(module, "HOT_SHARE", share)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)]
-    got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = {r.v: r.label for r in components(table(edges)).collect()}
+    parts = module.extended(components(table(edges[::2])), table(edges[1::2]))
+    assert {r.v: r.label for r in parts.collect()} == got
     near = defaultdict(set)
     for a, b in edges:
         if a != b:

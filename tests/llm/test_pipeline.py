@@ -48,3 +48,50 @@ def test_stages(spark):
         elif name == "sharding":
             assert len(after) == len(before) and {r["shard"] for r in after} == set(range(16))
     assert len(corpus_pipeline.run(spark, DATA).collect()) == seen[-1][2]
+
+
+CLASHES = ["host", "kept", "n_words", "size", "taken", "copies", "target", "shard", "__row", "kept_text", "label", "v", "key", "a.b", "source_size", "component_id"]
+
+
+def odd_documents(spark, empty=False):
+    """Nulls, empties, ties, repeated rows, a long text, and columns named like those that stages make."""
+    import random
+
+    from tests.llm.conftest import DOCS, sentence
+
+    r = random.Random(8)
+    texts = [sentence(r, 80) for _ in range(30)]
+    rows = [(i, t, "en", r.choice(["a", "b", None]), len(t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i], "en", "a", len(texts[i])) for i in range(5)] + [rows[7], rows[7]]
+    rows += [(None, sentence(r, 70), "en", "a", 3), (200, None, None, None, None), (201, "", "en", "b", 0), (202, "a b", "en", "b", 3), (203, sentence(r, 30000), "en", "b", 9)]
+    rows += [(204, texts[3] + " more", None, None, None), (205, "\n".join([*[sentence(r, 9) for _ in range(9)], "", " "]), "en", "a", 1)]
+    df = spark.createDataFrame([] if empty else rows, DOCS)
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in CLASHES}).repartition(3)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_documents(spark, empty):
+    docs = odd_documents(spark, empty)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = stage(spark, docs, DATA).cache()
+        after = docs.collect()
+        assert empty == (not after)
+        if name != "sharding":
+            assert docs.columns == columns
+            for row in after:  # every column is as it was
+                assert all(row[c] == f"{c}-{'null' if row['doc_id'] is None else row['doc_id']}" for c in CLASHES)
+        if empty:
+            continue
+        ids = sorted(r["doc_id"] for r in after if r["doc_id"] is not None)
+        if name == "quality rules":
+            assert not {200, 201, 202} & set(ids) and {203, 204, 205, 7} <= set(ids) and ids.count(7) == 3 and len(after) == len(before) - 3
+        elif name == "near-duplicates":
+            assert ids == [*range(30), 203, 205] and len(after) == len(ids) + 1
+        elif name == "benchmark decontamination":
+            assert len(after) == len(before)
+        elif name == "sharding":
+            assert set(columns) <= set(docs.columns) and {r["shard"] for r in after} <= set(range(16))
