@@ -11,14 +11,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.errors import DuplicateKey
 from docspark.functions import modifiers
 from docspark.functions import values as V
 from docspark.functions.predicates import compile_variant_condition
 from docspark.operators import find as finding
-from docspark.operators import pipeline, sharding
+from docspark.operators import documents, pipeline, sharding
 from docspark.plans import explain as plans
 from docspark.plans import sql as front
 from docspark.sources import extjson
@@ -172,6 +173,97 @@ def variant_sort_group(spark, sf_dir):
     return keyed.select(F.col("key.json").cast("bigint").alias("k"), "n")
 
 
+def _events(spark, sf_dir) -> DataFrame:
+    """Documents of several shapes: {id, t, k, tags} with k a number, a text or missing, tags an array, a text or empty."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    fields = [
+        F.lit("id"), F.col("event_id").cast("variant"), F.lit("t"), F.col("event_type").cast("variant"),
+        F.lit("k"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("k"), k.cast("string")).cast("variant")).otherwise(k.cast("variant")),
+        F.lit("tags"), F.when(F.col("event_id") % 4 == 0, F.lit("none").cast("variant")).when(F.col("event_id") % 4 == 1, F.to_variant_object(F.array().cast("array<variant>"))).otherwise(
+            F.to_variant_object(F.array(F.lit(1).cast("variant"), F.col("event_type").cast("variant")))
+        ),
+    ]
+    doc = F.create_map(*fields)
+    return e.select(F.to_variant_object(F.when(F.col("event_id") % 7 == 0, F.map_filter(doc, lambda n, _: n != "k")).otherwise(doc)).alias("doc"))
+
+
+#: The same documents as columns: k as a number (kn) or a text (ks).
+EVENTS = """(SELECT event_id AS id, event_type AS t, CASE WHEN event_id % 7 <> 0 AND event_id % 5 <> 0 THEN CAST(props->>'k' AS BIGINT) END AS kn,
+  CASE WHEN event_id % 7 <> 0 AND event_id % 5 = 0 THEN 'k' || (props->>'k') END AS ks, event_id % 4 AS g FROM events)"""
+
+
+def _got(name: str, kind: str) -> Column:
+    return F.try_variant_get("doc", f"$.{name}", kind).alias(name)
+
+
+@query("variant_match_project", f"SELECT id, t FROM {EVENTS} WHERE ks IS NOT NULL OR kn > 50")
+def variant_match_project(spark, sf_dir):
+    out = documents.aggregate_documents(_events(spark, sf_dir), [{"$match": {"k": {"$gt": 50}}}, {"$project": {"id": 1, "t": 1}}])
+    return out.select(_got("id", "bigint"), _got("t", "string"))
+
+
+@query("variant_project_out", f"SELECT id, kn AS k, NULL::VARCHAR AS t FROM {EVENTS}")
+def variant_project_out(spark, sf_dir):
+    out = documents.aggregate_documents(_events(spark, sf_dir), [{"$project": {"t": 0, "tags": 0}}])
+    return out.select(_got("id", "bigint"), _got("k", "bigint"), _got("t", "string"))
+
+
+@query("variant_sort_limit", f"SELECT id FROM {EVENTS} ORDER BY CASE WHEN ks IS NOT NULL THEN 2 WHEN kn IS NOT NULL THEN 1 ELSE 0 END DESC, ks DESC, kn DESC, id LIMIT 30 OFFSET 5")
+def variant_sort_limit(spark, sf_dir):
+    out = documents.aggregate_documents(_events(spark, sf_dir), [{"$sort": {"k": -1, "id": 1}}, {"$skip": 5}, {"$limit": 30}])
+    return out.select(_got("id", "bigint"))
+
+
+@query("variant_count", f"SELECT count(*) AS total FROM {EVENTS} WHERE kn IS NOT NULL")
+def variant_count(spark, sf_dir):
+    out = documents.aggregate_documents(_events(spark, sf_dir), [{"$match": {"k": {"$lt": "", "$exists": True}}}, {"$count": "total"}])
+    return out.select(_got("total", "bigint"))
+
+
+@query("variant_unwind_group", f"SELECT tag, count(*) AS n FROM (SELECT 'none' AS tag FROM {EVENTS} WHERE g = 0 UNION ALL SELECT '1' FROM {EVENTS} WHERE g > 1 UNION ALL SELECT t FROM {EVENTS} WHERE g > 1) GROUP BY tag")
+def variant_unwind_group(spark, sf_dir):
+    out = documents.aggregate_documents(_events(spark, sf_dir), [{"$unwind": {"path": "$tags"}}, {"$group": {"_id": "$tags", "n": {"$sum": 1}}}])
+    return out.select(F.variant_get("doc", "$._id", "string").alias("tag"), _got("n", "bigint"))
+
+
+@query(
+    "variant_update",
+    f"SELECT id, CASE WHEN id % 2 = 0 THEN 'x' ELSE t END AS t, CASE WHEN id % 2 = 0 THEN coalesce(kn, 0) + 9007199254740993 ELSE kn END AS k, CASE WHEN id % 2 = 0 THEN 3 END AS deep, CASE WHEN g <> 0 OR id % 2 <> 0 THEN g <> 0 END AS tagged "
+    f"FROM {EVENTS} WHERE ks IS NULL",
+)
+def variant_update(spark, sf_dir):
+    """$set also through what isn't a document, $unset, and $inc of integers that no double holds."""
+    rows = _events(spark, sf_dir).where(~documents.is_text("k"))
+    even = rows.withColumn("even", F.variant_get("doc", "$.id", "bigint") % 2 == 0)
+    hit = documents.modify_documents(even.where("even").select("doc"), {"$set": {"t": "x", "t2.a.b": 3, "k2": None}, "$unset": {"k2": 1, "zz": 1}, "$inc": {"k": 9007199254740993}})
+    hit = documents.modify_documents(hit, {"$set": {"t2.a.b.c": 3}}, {"t2": {"$exists": True}})
+    out = hit.unionByName(even.where("NOT even").select("doc"))
+    tagged = F.when(F.try_variant_get("doc", "$.tags", "array<variant>").isNotNull(), True).when(F.variant_get("doc", "$.id", "bigint") % 2 != 0, False)
+    return out.select(_got("id", "bigint"), _got("t", "string"), _got("k", "bigint"), F.try_variant_get("doc", "$.t2.a.b.c", "bigint").alias("deep"), tagged.alias("tagged"))
+
+
+@query("variant_big_integers", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 > 3")
+def variant_big_integers(spark, sf_dir):
+    """Numbers that are the same double are told apart: 2**60 + key."""
+    big = F.lit(1 << 60) + F.col("o_orderkey") % 10
+    rows = table(spark, sf_dir, "orders").select(F.to_variant_object(F.create_map(F.lit("key"), F.col("o_orderkey").cast("long").cast("variant"), F.lit("big"), big.cast("variant"))).alias("doc"))
+    out = documents.find_documents(rows, {"big": {"$gt": (1 << 60) + 3, "$nin": [(1 << 60) + 3]}})
+    return out.select(F.variant_get("doc", "$.key", "bigint").cast(table(spark, sf_dir, "orders").schema["o_orderkey"].dataType).alias("o_orderkey"))
+
+
+@query("variant_date_binary_order", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20) UNION ALL SELECT o_orderkey FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1 ORDER BY encode(o_orderpriority), o_orderkey LIMIT 20)")
+def variant_date_binary_order(spark, sf_dir):
+    """Dates and binary values have their own order, dates above binary values."""
+    o = table(spark, sf_dir, "orders").withColumn("r", F.col("o_orderkey") % 3)
+    value = F.when(F.col("r") == 0, F.col("o_orderdate").cast("timestamp").cast("variant")).otherwise(F.col("o_orderpriority").cast("binary").cast("variant"))
+    rows = o.where("r < 2").select(F.to_variant_object(F.create_map(F.lit("key"), F.col("o_orderkey").cast("long").cast("variant"), F.lit("v"), value)).alias("doc"))
+    late = documents.find_documents(rows, order_by=[("v", -1), ("key", 1)], limit=20)
+    low = documents.find_documents(rows, order_by=[("v", 1), ("key", 1)], limit=20)
+    return late.unionByName(low).select(F.variant_get("doc", "$.key", "bigint").cast(o.schema["o_orderkey"].dataType).alias("o_orderkey"))
+
+
+
 # ---- selector, order, skip, limit, count
 
 finder("find_selector", "customer", "SELECT c_name, c_custkey FROM customer", selector={"c_name": 0, "c_custkey": 1, "nothing": 1})
@@ -367,6 +459,25 @@ def snapshot_collections(spark, sf_dir):
     return _nations(spark, sf_dir).snapshot("collections")
 
 
+@query("txn_abort_replay", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
+def txn_abort_replay(spark, sf_dir):
+    """What an aborted transaction did is in neither the collection nor the log; replay gives the collection."""
+    db = _nations(spark, sf_dir)
+    c = db["t.nation"]
+    c.create_index("key", {"n_nationkey": 1}, unique=True)
+    c.delete({"n_regionkey": 1})
+    try:
+        with db.transaction() as t:
+            t.insert("t.nation", {"n_nationkey": 100, "n_name": "new", "n_regionkey": 1})
+            t.delete("t.nation", {"n_regionkey": 2})
+            t.insert("t.nation", {"n_nationkey": 0, "n_name": "again", "n_regionkey": 1})
+    except DuplicateKey:
+        pass
+    state = changelog.replay(db.changes(), c._schema(), "t.nation", ["n_nationkey"])
+    same = state.exceptAll(c.df()).unionByName(c.df().exceptAll(state)).limit(1).count() == 0
+    return state if same else state.limit(0)
+
+
 # ---- change log
 
 LOG = """SELECT event_id AS lsn, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'insert' ELSE 'update' END AS op, user_id AS key, value FROM events"""
@@ -404,6 +515,32 @@ def oplog_replay(spark, sf_dir):
     return changelog.replay(db.changes(), c._schema(), "t.nation", ["n_nationkey"])
 
 
+@query("oplog_replay_moved_keys", "SELECT c_custkey::BIGINT + 1 AS c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
+def oplog_replay_moved_keys(spark, sf_dir):
+    """An update that gives every document the key of another, a deletion, and a collection of that name that was dropped before."""
+    db = Database(spark, scratch(spark, "db"))
+    db.create_collection_space("t")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal")
+    db.create_collection("t.c").insert(rows.withColumn("c_custkey", -F.col("c_custkey")))
+    db.drop_collection("t.c")
+    c = db.create_collection("t.c")
+    c.insert(rows)
+    c.update({}, {"$inc": {"c_custkey": 1}})
+    c.delete({"c_acctbal": {"$lt": 0}})
+    return changelog.replay(db.changes(), c._schema(), "t.c", ["c_custkey"])
+
+
+@query("oplog_lsns", "SELECT i AS lsn, greatest(i - 1, 0) AS prevLsn FROM range((SELECT count(*) + 2 + count(*) FILTER (WHERE o_custkey % 3 = 0) FROM orders)) t(i)")
+def oplog_lsns(spark, sf_dir):
+    """LSNs are dense over writes of several partitions."""
+    db = Database(spark, scratch(spark, "db"))
+    db.create_collection_space("t")
+    c = db.create_collection("t.orders")
+    c.insert(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("r")).repartition(5))
+    c.delete({"r": 0})
+    return db.changes().select("lsn", "prevLsn")
+
+
 @query("oplog_watch_stream", "SELECT op, count(*) AS n FROM (SELECT 'insert' AS op FROM nation) GROUP BY 1")
 def oplog_watch_stream(spark, sf_dir):
     db = _nations(spark, sf_dir)
@@ -459,10 +596,72 @@ def shard_info(spark, sf_dir):
     return sharding.shard_info(spark, BY_CUSTOMER)
 
 
+SPLIT = """WITH c AS (SELECT (o_custkey % 7 + 1)::INT AS group_id, count(*) AS n FROM orders GROUP BY 1),
+m AS (SELECT (SELECT group_id FROM c ORDER BY n DESC, group_id LIMIT 1) AS s, (SELECT group_id FROM c ORDER BY n, group_id LIMIT 1) AS t, (SELECT max(n) // 2 FROM c) AS k)
+SELECT group_id, (n - CASE WHEN group_id = s THEN k ELSE 0 END + CASE WHEN group_id = t THEN k ELSE 0 END)::BIGINT AS doc_count FROM c, m"""
+
+
+def _sharded(spark, sf_dir, spec) -> sharding.ShardedTable:
+    orders = table(spark, sf_dir, "orders")
+    out = sharding.ShardedTable.create(spark, scratch(spark, "sharded"), spec, orders.schema)
+    out.insert(orders)
+    return out
+
+
+@query("shard_split", SPLIT)
+def shard_split(spark, sf_dir):
+    t = _sharded(spark, sf_dir, BY_CUSTOMER)
+    t.split()
+    return t.chunks()
+
+
+@query("shard_split_read", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 8, 9, 10, 11, 12, 13)")
+def shard_split_read(spark, sf_dir):
+    """Documents of every group are found by their keys after some of them were moved."""
+    t = _sharded(spark, sf_dir, BY_CUSTOMER)
+    t.split()
+    parts = [t.df({"o_custkey": k}).select("o_orderkey", "o_custkey") for k in range(7, 14)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+BALANCE = """WITH c AS (SELECT CASE WHEN o_totalprice < 100000 THEN 1 WHEN o_totalprice < 250000 THEN 2 ELSE 3 END AS group_id, count(*) AS n FROM orders GROUP BY 1),
+e AS (SELECT i::INT AS group_id, coalesce(n, 0) AS n FROM range(1, 4) t(i) LEFT JOIN c ON c.group_id = i),
+m AS (SELECT (SELECT group_id FROM e ORDER BY n DESC, group_id LIMIT 1) AS s, (SELECT group_id FROM e ORDER BY n, group_id LIMIT 1) AS t,
+  (SELECT CASE WHEN max(n) - min(n) > max(n) // 5 AND max(n) - min(n) > 10 THEN (max(n) - min(n)) // 2 ELSE 0 END FROM e) AS k)
+SELECT group_id, (n - CASE WHEN group_id = s THEN k ELSE 0 END + CASE WHEN group_id = t THEN k ELSE 0 END)::BIGINT AS doc_count FROM e, m"""
+
+
+@query("shard_balance", BALANCE)
+def shard_balance(spark, sf_dir):
+    t = _sharded(spark, sf_dir, BY_PRICE)
+    t.balance()
+    return t.chunks()
+
+
+@query("shard_add_range", "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 2 WHEN o_totalprice >= 200000 THEN 3 ELSE 1 END AS group_id FROM orders")
+def shard_add_range(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    t = sharding.ShardedTable.create(spark, scratch(spark, "sharded"), sharding.ShardSpec("o_totalprice", 3, "range"), orders.schema)
+    t.add_range(2, up=50000)
+    t.add_range(3, low=200000)
+    t.insert(orders)
+    return t.df().select("o_orderkey", "group_id")
+
+
 # ---- plans, JSON, snapshots
 
 
-@query("index_explain")
+#: By the costs: a scan of n rows costs n, sorting 3 more a row; an index a seek of 10 and 0.4 a hit.
+EXPLAIN = """WITH n AS (SELECT count(*)::DOUBLE AS n FROM orders),
+p AS (SELECT 'table scan' AS path, n * 4.0 AS cost, 0 AS matched, 1.0::DOUBLE AS selectivity, false AS in_order FROM n
+UNION ALL SELECT 'by_cust', 10 + n * (1 / n) * 0.4 + n * (1 / n) * 3, 1, 1 / n, false FROM n UNION ALL SELECT 'by_price', 10 + n * RANGE * 0.4, 1, RANGE, true FROM n)
+SELECT path, cost::DOUBLE AS cost, matched::INT AS matched, selectivity::DOUBLE AS selectivity, in_order, row_number() OVER (ORDER BY cost) = 1 AS chosen FROM p""".replace("RANGE", str(plans.RANGE))
+
+
+@query("index_explain", EXPLAIN)
 def index_explain(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").count()
     return plans.explain(spark, rows, {"by_cust": {"o_custkey": 1}, "by_price": {"o_totalprice": -1}}, {"o_custkey": 7, "o_totalprice": {"$gt": 5}}, {"o_totalprice": 1})

@@ -66,7 +66,7 @@ class TypedField:
 
 
 def _order(c: Column, op: str, v: Column) -> Column:
-    return {"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v}[op]
+    return {"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v, "$eq": c == v}[op]
 
 
 class VariantField:
@@ -86,6 +86,19 @@ class VariantField:
     def _as(self, rank: int) -> Column:
         return F.try_variant_get(self.value, "$", self.casts[rank])
 
+    def _compare(self, op: str, rank: int, v) -> Column:
+        """Numbers compare as doubles, and exactly where doubles are equal."""
+        if rank != V.NUMBER:
+            return _order(self._as(rank), op, V.literal(v))
+        double, exact = self._as(rank), F.try_variant_get(self.value, "$", V.EXACT)
+        given = F.lit(float(v))
+        if isinstance(v, float) or abs(v) >= 10**28:
+            return _order(double, op, given)
+        tie = F.coalesce(_order(exact, op, F.lit(str(v)).cast(V.EXACT)), F.lit(False))
+        if op == "$eq":
+            return (double == given) & tie
+        return _order(double, op[:3], given) & (double != given) | (double == given) & tie
+
     def equal(self, v) -> Column:
         rank = V.value_rank(v)
         if rank == V.NULL:
@@ -94,7 +107,7 @@ class VariantField:
             import json
 
             return (self._rank() == rank) & (F.to_json(self.value) == F.to_json(F.parse_json(F.lit(json.dumps(v)))))
-        return (self._rank() == rank) & (self._as(rank) == V.literal(float(v) if rank == V.NUMBER else v))
+        return (self._rank() == rank) & self._compare("$eq", rank, v)
 
     def unequal(self, v) -> Column:
         return ~two_valued(self.equal(v))
@@ -106,7 +119,7 @@ class VariantField:
         rank, up = V.value_rank(v), op in ("$gt", "$gte")
         other = (self._rank() > rank) if up else (self._rank() < rank)
         if rank in self.casts:
-            same = _order(self._as(rank), op, V.literal(float(v) if rank == V.NUMBER else v))
+            same = self._compare(op, rank, v)
         else:
             same = F.lit(op in ("$gte", "$lte"))
         return other | ((self._rank() == rank) & two_valued(same))

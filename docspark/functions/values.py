@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.errors import InvalidArgument
+
 #: Order across types: a value of a lower rank is less than any of a higher one.
 NULL, NUMBER, STRING, DOCUMENT, ARRAY, BINARY, BOOLEAN, DATE, REGEX = 1, 2, 3, 4, 5, 6, 8, 9, 11
 
@@ -127,8 +129,16 @@ def equals(c: Column, kind: T.DataType, v) -> Column:
 # ---- schemaless mode
 
 
+def variant_step(name: str) -> str:
+    """A field of that literal name, as a step of a variant path."""
+    for quote in "'\"":
+        if name and quote not in name:
+            return f"[{quote}{name}{quote}]"
+    raise InvalidArgument(f"no path to a field of the name {name!r}")
+
+
 def variant_path(path: str) -> str:
-    return "$" + "".join(f"['{p}']" for p in path.split("."))
+    return "$" + "".join(map(variant_step, path.split(".")))
 
 
 def variant_rank(v: Column) -> Column:
@@ -147,13 +157,29 @@ def variant_rank(v: Column) -> Column:
     )
 
 
+#: Enough for all integers of 64 bits; larger numbers are told apart as doubles.
+EXACT = "decimal(38,10)"
+
+
+def number_key(v: Column) -> Column:
+    """Orders numbers of all types: as doubles, and exactly where doubles are equal."""
+    return F.struct(F.try_variant_get(v, "$", "double").alias("double"), F.try_variant_get(v, "$", EXACT).alias("exact"))
+
+
 def sort_key(v: Column) -> Column:
     """A key that puts variant values into the order across types, missing ones first."""
+    rank = variant_rank(v)
+
+    def of(kind: int, key: Column) -> Column:
+        return F.when(rank == kind, key)
+
     return F.struct(
-        variant_rank(v).alias("rank"),
-        F.try_variant_get(v, "$", "double").alias("number"),
-        F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("string"),
-        F.try_variant_get(v, "$", "boolean").alias("boolean"),
+        rank.alias("rank"),
+        of(NUMBER, number_key(v)).alias("number"),
+        of(STRING, F.try_variant_get(v, "$", "string")).alias("string"),
+        of(BINARY, F.try_variant_get(v, "$", "binary")).alias("binary"),
+        of(BOOLEAN, F.try_variant_get(v, "$", "boolean")).alias("boolean"),
+        of(DATE, F.try_variant_get(v, "$", "timestamp")).alias("date"),
     )
 
 

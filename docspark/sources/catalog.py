@@ -1,9 +1,15 @@
 """Databases of collections: spaces, versioned Parquet tables, indexes, writes, transactions.
 
-A collection is a folder with versions; a small file names the current one. A write
-makes a new version and then replaces that file in one rename, so a reader sees all
-of a write or nothing. Inserts add a folder of files to the version's list; updates and
-deletes write the collection anew. Each write appends rows to the change log.
+A collection is a folder with versions; a small file names the current one. Inserts add
+a folder of files to the version's list; updates and deletes write the collection anew.
+Each write appends rows to the change log.
+
+A write first makes the files of its new versions and of its log entries, which nobody
+reads yet. Then one small file with all that is to be published is put in place: from
+here on the write has happened. Publishing replaces the files that name the current
+versions, moves the log entries to the log and ends with the removal of that file; if it
+is interrupted, whoever opens the database next finishes it. So a write, or a transaction
+over several collections, and its log entries are there together or not at all.
 """
 
 from __future__ import annotations
@@ -50,6 +56,7 @@ class Database:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.storage, self.counters = Storage(spark), monitor.Counters()
+        self._finish()
 
     # -- names
 
@@ -72,11 +79,11 @@ class Database:
         if self.storage.exists(f"{self.root}/{space}/_space.json"):
             raise SpaceExists(space)
         self.storage.write_json(f"{self.root}/{space}/_space.json", {"name": space})
-        self._log("createCS", space, {"name": space})
+        self._publish({}, [self._entry("createCS", space, {"name": space})])
 
     def drop_collection_space(self, space: str) -> None:
         self.storage.delete(self._space(space))
-        self._log("dropCS", space, {"name": space})
+        self._publish({}, [self._entry("dropCS", space, {"name": space})])
 
     def create_collection(self, full: str, schema: T.StructType | str | None = None) -> Collection:
         space, name = split_name(full)
@@ -85,13 +92,13 @@ class Database:
             raise CollectionExists(full)
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
-        self.storage.write_json(f"{path}/_current.json", {"version": 0, "parts": [], "schema": (schema or T.StructType()).json(), "indexes": {}})
-        self._log("createCL", full, {"name": full})
+        state = {"version": 0, "parts": [], "schema": (schema or T.StructType()).json(), "indexes": {}}
+        self._publish({path: state}, [self._entry("createCL", full, {"name": full})])
         return self[full]
 
     def drop_collection(self, full: str) -> None:
         self.storage.delete(self._path(full))
-        self._log("dropCL", full, {"name": full})
+        self._publish({}, [self._entry("dropCL", full, {"name": full})])
 
     def collections(self) -> list[str]:
         out = []
@@ -116,26 +123,61 @@ class Database:
 
     @property
     def lsn(self) -> int:
-        """The LSN that the next entry has at least."""
+        """The LSN that the next entry has."""
         return self._end()["lsn"]
 
-    def _append(self, rows: DataFrame, txn: int = 0) -> None:
-        """rows: op, collection, data. LSNs ascend, with gaps."""
-        end = self._end()
-        base = end["lsn"]
-        numbered = rows.withColumn("lsn", F.monotonically_increasing_id() + F.lit(base))
-        part = f"{self.root}/_changes/staged-{uuid.uuid4().hex}"
-        numbered.select(
-            "lsn", F.lit(max(0, base - 1)).cast("long").alias("prevLsn"), F.lit(txn).cast("long").alias("txnId"), "op", "collection", "data"
-        ).write.parquet(part)
-        last = self.spark.read.parquet(part).agg(F.max("lsn")).first()[0]
-        changelog.read(self.spark, part).write.mode("append").parquet(self.log_path)
-        self.storage.delete(part)
-        if last is not None:
-            self.storage.write_json(f"{self.root}/_changes/end.json", {"lsn": last + 1, "txn": end["txn"]})
-
-    def _log(self, op: str, collection: str, data: dict, txn: int = 0) -> None:
-        self._append(self.spark.createDataFrame([(op, collection, json.dumps(data))], "op string, collection string, data string"), txn)
+    def _stage(self, rows: DataFrame, folder: str, base: int, txn: int) -> int:
+        """Writes log entries (op, collection, data) with dense LSNs from ``base`` on, and returns the next LSN.
+
+        Rows are kept while partitions are counted, so both passes see the same ones.
+        """
+        kept = rows.persist()
+        try:
+            placed = kept.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
+            starts, at = [], base
+            for r in sorted(placed.groupBy("__p").count().collect()):  # a row a partition
+                starts.append((r["__p"], at))
+                at += r["count"]
+            offsets = F.broadcast(self.spark.createDataFrame(starts, "__p int, __base long"))
+            lsn = F.col("__base") + F.col("__i")
+            placed.join(offsets, "__p").select(
+                lsn.alias("lsn"), F.greatest(lsn - 1, F.lit(0)).alias("prevLsn"), F.lit(txn).cast("long").alias("txnId"), "op", "collection", "data"
+            ).write.parquet(folder)
+        finally:
+            kept.unpersist()
+        return at
+
+    def _publish(self, states: dict[str, dict], entries: list[DataFrame], txn: int = 0) -> None:
+        """Makes new states of collections (by path) and log entries visible together."""
+        end, folder = self._end(), f"{self.root}/_changes/staged-{uuid.uuid4().hex}"
+        rows = entries[0]
+        for more in entries[1:]:
+            rows = rows.unionByName(more)
+        new = {"lsn": self._stage(rows, folder, end["lsn"], txn), "txn": max(end["txn"], txn)}
+        self.storage.write_json(self._pending, {"states": states, "staged": folder, "end": new})
+        self._finish()
+
+    @property
+    def _pending(self) -> str:
+        return f"{self.root}/_changes/pending.json"
+
+    def _finish(self) -> None:
+        """Publishes what a write has left to be published; any part of it may have been done before."""
+        if not self.storage.exists(self._pending):
+            return
+        todo = self.storage.read_json(self._pending)
+        for path, state in todo["states"].items():
+            self.storage.write_json(f"{path}/_current.json", state)
+        self.storage.mkdirs(self.log_path)
+        for name in self.storage.list(todo["staged"]):
+            if name.startswith("part-"):
+                self.storage.move(f"{todo['staged']}/{name}", f"{self.log_path}/{name}")
+        self.storage.write_json(f"{self.root}/_changes/end.json", todo["end"])
+        self.storage.delete(todo["staged"])
+        self.storage.delete(self._pending)
+
+    def _entry(self, op: str, collection: str, data: dict) -> DataFrame:
+        return self.spark.createDataFrame([(op, collection, json.dumps(data))], "op string, collection string, data string").coalesce(1)
 
     def changes(self, lsn: int = 0, collection: str | None = None) -> DataFrame:
         return changelog.scan_from(changelog.read(self.spark, self.log_path), lsn, collection)
@@ -167,12 +209,11 @@ class Collection:
     def _state(self) -> dict:
         return self.db.storage.read_json(f"{self.path}/_current.json")
 
-    def _commit(self, state: dict) -> None:
-        self.db.storage.write_json(f"{self.path}/_current.json", state | {"version": state["version"] + 1})
-
     def df(self) -> DataFrame:
         """The current version; later writes don't change what was read here."""
-        state = self._state()
+        return self._read(self._state())
+
+    def _read(self, state: dict) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(state["schema"]))
         if not state["parts"]:
             return self.db.spark.createDataFrame([], schema)
@@ -219,31 +260,31 @@ class Collection:
     def _schema(self) -> T.StructType:
         return T.StructType.fromJson(json.loads(self._state()["schema"]))
 
-    def insert(self, docs, txn: int = 0) -> None:
-        """A document, a list of them, or a DataFrame."""
-        new = self._frame([docs] if isinstance(docs, dict) else docs)
-        state, old = self._state(), self.df()
-        both = old.limit(0).unionByName(new, allowMissingColumns=True)
-        widened = any(f.name in old.columns and old.schema[f.name].dataType != f.dataType for f in both.schema)
-        part = f"v{state['version'] + 1:06d}-{uuid.uuid4().hex}"
-        both.write.parquet(f"{self.path}/{part}")
-        written = self.db.spark.read.schema(both.schema).parquet(f"{self.path}/{part}")
+    def _write(self, write: Callable[[_Draft], None]) -> None:
+        draft = _Draft(self)
         try:
-            for name, index in state["indexes"].items():
-                if index["unique"]:
-                    self._check_unique(name, list(index["key"]), written, old)
-        except DuplicateKey:
-            self.db.storage.delete(f"{self.path}/{part}")
+            write(draft)
+            state = draft.state_to_publish()
+            self.db._publish({self.path: state}, draft.entries)
+        except Exception:
+            draft.discard()
             raise
-        if widened:  # Parquet files keep their types: all is written with the wider ones
-            self._replace(old.unionByName(written, allowMissingColumns=True))
-        else:
-            self._commit(state | {"parts": [*state["parts"], part], "schema": both.schema.json()})
-        self._log_docs("insert", written.select(F.to_json(F.struct(F.lit(self.full).alias("c"), F.lit("I").alias("op"), F.struct("*").alias("doc"))).alias("data")), txn)
-        self.db.counters.add("inserts")
+        draft.tidy()
+
+    def insert(self, docs) -> None:
+        """A document, a list of them, or a DataFrame."""
+        self._write(lambda d: d.insert(docs))
 
     insert_many = insert_batch = insert
 
+    def update(self, condition, modifier: dict) -> None:
+        """Every matching document; there is no upsert."""
+        self._write(lambda d: d.update(condition, modifier))
+
+    def delete(self, condition=None) -> None:
+        """Every matching document."""
+        self._write(lambda d: d.delete(condition))
+
     def _check_unique(self, name: str, keys: list[str], new: DataFrame, old: DataFrame | None = None) -> None:
         if finding.unique_violations(new, keys).limit(1).count():
             raise DuplicateKey(name)
@@ -252,41 +293,6 @@ class Collection:
             if new.join(old, same, "left_semi").limit(1).count():
                 raise DuplicateKey(name)
 
-    def _replace(self, df: DataFrame) -> DataFrame:
-        state = self._state()
-        part = f"v{state['version'] + 1:06d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{part}")
-        self._commit(state | {"parts": [part], "schema": df.schema.json()})
-        return self.db.spark.read.schema(df.schema).parquet(f"{self.path}/{part}")
-
-    def _log_docs(self, op: str, data: DataFrame, txn: int) -> None:
-        self.db._append(data.select(F.lit(op).alias("op"), F.lit(self.full).alias("collection"), "data"), txn)
-
-    def update(self, condition, modifier: dict, txn: int = 0) -> None:
-        """Every matching document; there is no upsert."""
-        old = self.df()
-        hit = compile_condition(condition or {}, old.schema)
-        new = apply_modifier(old, modifier, hit)
-        for name, index in self._state()["indexes"].items():
-            if index["unique"]:
-                self._check_unique(name, list(index["key"]), new)
-        after = apply_modifier(old.withColumn("__old", F.when(hit, F.struct(*map(V.top, old.columns)))), modifier, hit)
-        data = after.where(F.col("__old").isNotNull()).select(
-            F.to_json(F.struct(F.lit(self.full).alias("c"), F.lit("U").alias("op"), F.col("__old").alias("old"), F.struct(*map(V.top, new.columns)).alias("new"))).alias("data")
-        )
-        self._log_docs("update", data, txn)
-        self._replace(new)
-        self.db.counters.add("updates")
-
-    def delete(self, condition=None, txn: int = 0) -> None:
-        """Every matching document."""
-        old = self.df()
-        hit = F.coalesce(compile_condition(condition or {}, old.schema), F.lit(False))
-        data = old.where(hit).select(F.to_json(F.struct(F.lit(self.full).alias("c"), F.lit("D").alias("op"), F.struct("*").alias("doc"))).alias("data"))
-        self._log_docs("delete", data, txn)
-        self._replace(old.where(~hit))
-        self.db.counters.add("deletes")
-
     # -- indexes: metadata, and uniqueness
 
     def indexes(self) -> dict[str, dict]:
@@ -300,62 +306,146 @@ class Collection:
             raise InvalidArgument("an index key has directions 1 or -1")
         if unique:
             self._check_unique(name, list(key), self.df())
-        self._commit(state | {"indexes": state["indexes"] | {name: {"key": key, "unique": unique}}})
-        self.db._log("createIndex", self.full, {"c": self.full, "name": name, "key": key})
+        new = state | {"indexes": state["indexes"] | {name: {"key": key, "unique": unique}}, "version": state["version"] + 1}
+        self.db._publish({self.path: new}, [self.db._entry("createIndex", self.full, {"c": self.full, "name": name, "key": key})])
 
     def drop_index(self, name: str) -> None:
         state = self._state()
         if name not in state["indexes"]:
             raise IndexNotFound(name)
-        self._commit(state | {"indexes": {k: v for k, v in state["indexes"].items() if k != name}})
-        self.db._log("dropIndex", self.full, {"c": self.full, "name": name})
+        new = state | {"indexes": {k: v for k, v in state["indexes"].items() if k != name}, "version": state["version"] + 1}
+        self.db._publish({self.path: new}, [self.db._entry("dropIndex", self.full, {"c": self.full, "name": name})])
 
     def watch(self, start_lsn: int | None = None) -> DataFrame:
         return self.db.watch(self.full, start_lsn)
 
 
+class _Draft:
+    """The next version of a collection: statements one after the other, rewritten once, with their log entries.
+
+    Inserts write a part at once; what updates and deletes leave stays a plan until it is published.
+    """
+
+    def __init__(self, collection: Collection):
+        self.of, self.state = collection, collection._state()
+        self.df, self.rewritten, self.parts, self.entries = collection._read(self.state), False, [], []
+
+    def _statement(self) -> str:
+        """Grows from statement to statement, also across writes."""
+        return f"{self.of.db.lsn:019d}-{len(self.entries):06d}"
+
+    def _log(self, op: str, letter: str, rows: DataFrame, **documents) -> None:
+        fields = [F.lit(self.of.full).alias("c"), F.lit(letter).alias("op"), F.lit(self._statement()).alias("s"), *[d.alias(n) for n, d in documents.items()]]
+        self.entries.append(rows.select(F.lit(op).alias("op"), F.lit(self.of.full).alias("collection"), F.to_json(F.struct(*fields)).alias("data")))
+
+    def _unique(self):
+        return ((name, list(index["key"])) for name, index in self.state["indexes"].items() if index["unique"])
+
+    def _part(self, df: DataFrame) -> str:
+        part = f"v{self.state['version'] + 1:06d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.of.path}/{part}")
+        self.parts.append(part)
+        return part
+
+    def insert(self, docs) -> None:
+        new = self.of._frame([docs] if isinstance(docs, dict) else docs)
+        both = self.df.limit(0).unionByName(new, allowMissingColumns=True)
+        widened = any(f.name in self.df.columns and self.df.schema[f.name].dataType != f.dataType for f in both.schema)
+        part = self._part(both)
+        written = self.of.db.spark.read.schema(both.schema).parquet(f"{self.of.path}/{part}")
+        for name, keys in self._unique():
+            self.of._check_unique(name, keys, written, self.df)
+        if widened or self.rewritten:  # Parquet files keep their types: all is written with the wider ones
+            self.rewritten, self.df = True, self.df.unionByName(written, allowMissingColumns=True)
+        else:
+            self.state = self.state | {"parts": [*self.state["parts"], part], "schema": both.schema.json()}
+            self.df = self.of._read(self.state)
+        self._log("insert", "I", written, doc=F.struct("*"))
+        self.of.db.counters.add("inserts")
+
+    def update(self, condition, modifier: dict) -> None:
+        hit = compile_condition(condition or {}, self.df.schema)
+        old = F.when(hit, F.struct(*map(V.top, self.df.columns)))
+        after = apply_modifier(self.df.withColumn("__old", old), modifier, hit)
+        new = after.drop("__old")
+        for name, keys in self._unique():
+            self.of._check_unique(name, keys, new)
+        self._log("update", "U", after.where(F.col("__old").isNotNull()), old=F.col("__old"), new=F.struct(*map(V.top, new.columns)))
+        self.df, self.rewritten = new, True
+        self.of.db.counters.add("updates")
+
+    def delete(self, condition=None) -> None:
+        hit = F.coalesce(compile_condition(condition or {}, self.df.schema), F.lit(False))
+        self._log("delete", "D", self.df.where(hit), doc=F.struct("*"))
+        self.df, self.rewritten = self.df.where(~hit), True
+        self.of.db.counters.add("deletes")
+
+    def state_to_publish(self) -> dict:
+        if self.rewritten:
+            self.state = self.state | {"parts": [self._part(self.df)] if self.df.columns else [], "schema": self.df.schema.json()}
+        return self.state | {"version": self.state["version"] + 1}
+
+    def _drop(self, parts: list[str]) -> None:
+        for part in parts:
+            self.of.db.storage.delete(f"{self.of.path}/{part}")
+
+    def discard(self) -> None:
+        """After a failure nobody needs what was written, unless it is to be published."""
+        if not self.of.db.storage.exists(self.of.db._pending):
+            self._drop(self.parts)
+
+    def tidy(self) -> None:
+        self._drop([p for p in self.parts if p not in self.state["parts"]])
+
+
 class Transaction:
     """Writes kept until commit; reads don't see them. Rolls back if its block raises.
 
-    Commit applies them in order. If one fails, the collections get back the
-    versions that they had before.
+    Commit applies them in order, each to what those before have made, writes each
+    collection once, and publishes all with one append to the log. If one fails, nothing of
+    it is published, and the log says only that the transaction began and was aborted.
     """
 
     def __init__(self, db: Database):
         self.db, self._writes, self._open = db, [], True
 
-    def _add(self, full: str, write: Callable[[Collection, int], None]) -> None:
+    def _add(self, full: str, write: Callable[[_Draft], None]) -> None:
         if not self._open:
             raise TransactionError("the transaction has ended")
         self._writes.append((full, write))
 
     def insert(self, full: str, docs) -> None:
-        self._add(full, lambda c, t: c.insert(docs, t))
+        self._add(full, lambda d: d.insert(docs))
 
     def update(self, full: str, condition, modifier: dict) -> None:
-        self._add(full, lambda c, t: c.update(condition, modifier, t))
+        self._add(full, lambda d: d.update(condition, modifier))
 
     def delete(self, full: str, condition=None) -> None:
-        self._add(full, lambda c, t: c.delete(condition, t))
+        self._add(full, lambda d: d.delete(condition))
 
     def commit(self) -> None:
         if not self._open:
             raise TransactionError("the transaction has ended")
         self._open = False
-        end = self.db._end()
-        txn = end["txn"] + 1
-        self.db.storage.write_json(f"{self.db.root}/_changes/end.json", end | {"txn": txn})
-        held = {full: self.db[full]._state() for full, _ in self._writes}
-        self.db._log("txnBegin", "", {}, txn)
+        txn = self.db._end()["txn"] + 1
+        began, drafts, entries = self.db._entry("txnBegin", "", {}), {}, []
         try:
             for full, write in self._writes:
-                write(self.db[full], txn)
+                if full not in drafts:
+                    drafts[full] = _Draft(self.db[full])
+                write(drafts[full])
+                entries.append(drafts[full].entries[-1])
+            states = {d.of.path: d.state_to_publish() for d in drafts.values()}
+            self.db._publish(states, [began, *entries, self.db._entry("txnCommit", "", {})], txn)
         except Exception:
-            for full, state in held.items():
-                self.db[full]._commit(state | {"version": self.db[full]._state()["version"]})
-            self.db._log("txnAbort", "", {}, txn)
+            if self.db.storage.exists(self.db._pending):  # it has happened, and the next who opens the database finishes it
+                raise
+            for d in drafts.values():
+                d.discard()
+            self.db._publish({}, [began, self.db._entry("txnAbort", "", {})], txn)
             raise
-        self.db._log("txnCommit", "", {}, txn)
+        for d in drafts.values():
+            d.tidy()
 
     def rollback(self) -> None:
         if not self._open:

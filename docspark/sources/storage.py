@@ -32,6 +32,13 @@ class Storage:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def move(self, path: str, to: str) -> None:
+        """Renames a file; one that has been moved before is left alone."""
+        fs, p = self._at(path)
+        _, target = self._at(to)
+        if fs.exists(p) and not fs.rename(p, target):
+            raise OSError(f"{path} can't be moved to {to}")
+
     def read_json(self, path: str):
         fs, p = self._at(path)
         stream = fs.open(p)

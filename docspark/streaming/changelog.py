@@ -6,10 +6,12 @@ scanned as a batch from an LSN, tailed as a stream, and replayed to the current
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.functions import values as V
+
 SCHEMA = T.StructType(
     [
         T.StructField("lsn", T.LongType()),
@@ -44,18 +46,34 @@ def watch(spark: SparkSession, path: str, start_lsn: int = 0, collection: str |
 
 
 def latest(log: DataFrame, key: str = "key") -> DataFrame:
-    """The last entry of each key that isn't a deletion: the state after all entries."""
-    last = Window.partitionBy(key).orderBy(F.col("lsn").desc())
-    return log.withColumn("__n", F.row_number().over(last)).where("__n = 1 AND op <> 'delete'").drop("__n")
+    """The last entry of each key that isn't a deletion: the state after all entries. Tasks keep one entry a key."""
+    last = log.groupBy(key).agg(F.max_by(F.struct(*log.columns), "lsn").alias("__last"))
+    return last.select("__last.*").where("op <> 'delete'")
 
 
 def replay(log: DataFrame, schema: T.StructType, collection: str, keys: list[str]) -> DataFrame:
-    """The documents of a collection, folded from its inserts, updates and deletes by key."""
-    rows = log.where((F.col("collection") == collection) & F.col("op").isin("insert", "update", "delete"))
-    doc = F.from_json(F.when(F.col("op") == "update", F.get_json_object("data", "$.new")).otherwise(F.get_json_object("data", "$.doc")), schema)
-    rows = rows.select("lsn", "op", doc.alias("doc"))
-    rows = rows.withColumn("__key", F.struct(*[F.col(f"doc.`{k}`") for k in keys]))
-    return latest(rows, "__key").select("doc.*")
+    """The documents of a collection, folded by key from what was written since it was created last.
+
+    An update that changes a key takes away the document with the old one. Within a statement, such removals come
+    before what it writes, so keys may be swapped. Writes of aborted transactions never reach the log.
+    """
+    space, mine = collection.partition(".")[0], F.col("collection") == collection
+    born = log.where((mine & F.col("op").isin("createCL", "dropCL")) | ((F.col("collection") == space) & (F.col("op") == "dropCS")))
+    born = F.broadcast(born.agg(F.coalesce(F.max("lsn"), F.lit(-1)).alias("__born")))  # one row
+    rows = log.where(mine & F.col("op").isin("insert", "update", "delete")).join(born, F.col("lsn") > F.col("__born"))
+
+    def document(name: str) -> Column:
+        return F.from_json(F.get_json_object("data", f"$.{name}"), schema)
+
+    after = F.when(F.col("op") == "update", document("new")).otherwise(document("doc"))
+    statement = F.coalesce(F.get_json_object("data", "$.s"), F.lpad(F.col("lsn").cast("string"), 19, "0"))
+    rows = rows.select("op", after.alias("doc"), F.when(F.col("op") == "update", document("old")).alias("old"), statement.alias("s"), "lsn")
+    key, was = (F.struct(*[F.col(f"{d}.{V.quoted(k)}").alias(f"k{i}") for i, k in enumerate(keys)]) for d in ("doc", "old"))
+    end = F.struct(key.alias("key"), F.struct(F.col("s"), (F.col("op") != "delete").alias("there"), F.col("lsn")).alias("at"), F.when(F.col("op") != "delete", F.col("doc")).alias("doc"))
+    gone = F.struct(was.alias("key"), F.struct(F.col("s"), F.lit(False).alias("there"), F.col("lsn")).alias("at"), F.lit(None).cast(schema).alias("doc"))
+    events = rows.select(F.inline(F.when((F.col("op") == "update") & ~key.eqNullSafe(was), F.array(gone, end)).otherwise(F.array(end))))
+    last = events.groupBy("key").agg(F.max_by("doc", "at").alias("doc"), F.max("at").alias("at"))
+    return last.where("at.there").select("doc.*")
 
 
 def replay_stream(stream: DataFrame, checkpoint: str, apply) -> object:

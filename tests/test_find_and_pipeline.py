@@ -7,8 +7,8 @@ from docspark.operators.pipeline import aggregate
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    return spark.createDataFrame([("alice", 30, "eng"), ("bob", 25, "eng"), ("carol", 35, "sales")], "name string, age int, dept string")
+def herons(spark):
+    return spark.createDataFrame([("mira", 30, "north"), ("tove", 25, "north"), ("ansel", 35, "south")], "name string, wing int, pond string")
 
 
 @pytest.fixture(scope="module")
@@ -20,53 +20,53 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_match_sort_project(people):
-    out = aggregate(people, [{"$match": {"dept": "eng"}}, {"$sort": {"age": 1}}, {"$project": {"age": 0}}])
-    assert rows(out) == [("bob", "eng"), ("alice", "eng")]
+def test_match_sort_project(herons):
+    out = aggregate(herons, [{"$match": {"pond": "north"}}, {"$sort": {"wing": 1}}, {"$project": {"wing": 0}}])
+    assert rows(out) == [("tove", "north"), ("mira", "north")]
 
 
-def test_sort_directions(people):
-    assert [r[0] for r in rows(aggregate(people, [{"$sort": {"age": -1}}]))] == ["carol", "alice", "bob"]
-    assert [r[0] for r in rows(aggregate(people, [{"$sort": {"age": -1.0}}]))] == ["bob", "alice", "carol"]
-    assert [r[0] for r in rows(find(people, order_by={"age": -1.0}))] == ["carol", "alice", "bob"]
-    assert aggregate(people, [{"$sort": {"nothing": 1}}]).count() == 3
+def test_sort_directions(herons):
+    assert [r[0] for r in rows(aggregate(herons, [{"$sort": {"wing": -1}}]))] == ["ansel", "mira", "tove"]
+    assert [r[0] for r in rows(aggregate(herons, [{"$sort": {"wing": -1.0}}]))] == ["tove", "mira", "ansel"]
+    assert [r[0] for r in rows(find(herons, order_by={"wing": -1.0}))] == ["ansel", "mira", "tove"]
+    assert aggregate(herons, [{"$sort": {"nothing": 1}}]).count() == 3
 
 
-def test_skip_limit_count(people):
-    assert rows(aggregate(people, [{"$sort": {"name": 1}}, {"$skip": 1}, {"$limit": 1}, {"$project": {"name": 1}}])) == [("bob",)]
-    assert rows(aggregate(people, [{"$match": {"dept": "eng"}}, {"$count": {"as": "total"}}])) == [(2,)]
-    assert aggregate(people, [{"$count": "n"}]).columns == ["n"]
-    assert rows(aggregate(people.limit(0), [{"$count": {}}])) == [(0,)]
-    assert aggregate(people, [{"$limit": 0}]).count() == 0
-    assert aggregate(people, [{"$limit": -1}]).count() == 3
-    assert aggregate(people, [{"$skip": -1}]).count() == 0
+def test_skip_limit_count(herons):
+    assert rows(aggregate(herons, [{"$sort": {"name": 1}}, {"$skip": 1}, {"$limit": 1}, {"$project": {"name": 1}}])) == [("tove",)]
+    assert rows(aggregate(herons, [{"$match": {"pond": "north"}}, {"$count": {"as": "total"}}])) == [(2,)]
+    assert aggregate(herons, [{"$count": "n"}]).columns == ["n"]
+    assert rows(aggregate(herons.limit(0), [{"$count": {}}])) == [(0,)]
+    assert aggregate(herons, [{"$limit": 0}]).count() == 0
+    assert aggregate(herons, [{"$limit": -1}]).count() == 3
+    assert aggregate(herons, [{"$skip": -1}]).count() == 0
     with pytest.raises(InvalidArgument):
-        aggregate(people, [{"$limit": 1.0}])
+        aggregate(herons, [{"$limit": 1.0}])
 
 
 def test_group(spark):
-    pay = spark.createDataFrame([("eng", 100), ("eng", 200), ("sales", 150), (None, 1)], "dept string, salary int")
-    out = aggregate(pay, [{"$group": {"_id": "$dept", "total": {"$sum": "$salary"}, "n": {"$sum": 1}, "zero": {"$sum": "$dept"}}}])
-    assert sorted(rows(out), key=str) == [("eng", 300, 2, 0), ("sales", 150, 1, 0), (None, 1, 1, 0)]
+    pay = spark.createDataFrame([("north", 100), ("north", 200), ("south", 150), (None, 1)], "pond string, weight int")
+    out = aggregate(pay, [{"$group": {"_id": "$pond", "total": {"$sum": "$weight"}, "n": {"$sum": 1}, "zero": {"$sum": "$pond"}}}])
+    assert sorted(rows(out), key=str) == [("north", 300, 2, 0), ("south", 150, 1, 0), (None, 1, 1, 0)]
     assert dict(out.dtypes)["total"] == "bigint"
-    for bad in ({"_id": None}, {"_id": "dept"}, {"total": {"$sum": 1}}, {"_id": "$dept", "x": {"$avg": "$salary"}}, {"_id": "$dept", "x": {"$sum": 1, "$max": 2}}):
+    for bad in ({"_id": None}, {"_id": "pond"}, {"total": {"$sum": 1}}, {"_id": "$pond", "x": {"$avg": "$weight"}}, {"_id": "$pond", "x": {"$sum": 1, "$max": 2}}):
         with pytest.raises(InvalidArgument):
             aggregate(pay, [{"$group": bad}])
-    assert rows(aggregate(pay, [{"$group": {"_id": None, "m": {"$max": "$salary"}}}], extensions=True)) == [(None, 200)]
+    assert rows(aggregate(pay, [{"$group": {"_id": None, "m": {"$max": "$weight"}}}], extensions=True)) == [(None, 200)]
 
 
 def test_unwind(spark):
-    df = spark.createDataFrame([("alice", ["a", "b"]), ("bob", []), ("carol", None)], "name string, tags array<string>")
-    assert sorted(rows(aggregate(df, [{"$unwind": {"path": "$tags"}}])), key=str) == [("alice", "a"), ("alice", "b"), ("carol", None)]
+    df = spark.createDataFrame([("mira", ["a", "b"]), ("tove", []), ("ansel", None)], "name string, tags array<string>")
+    assert sorted(rows(aggregate(df, [{"$unwind": {"path": "$tags"}}])), key=str) == [("mira", "a"), ("mira", "b"), ("ansel", None)]
     assert aggregate(df, [{"$unwind": {"path": "$name"}}]).count() == 3
     with pytest.raises(InvalidArgument):
         aggregate(df, [{"$unwind": "$tags"}])
 
 
 @pytest.mark.parametrize("stages", [[{"$nothing": 1}], [{}], {"$match": {}}, [{"$match": 3}], [{"$lookup": {}}]])
-def test_bad_stages(people, stages):
+def test_bad_stages(herons, stages):
     with pytest.raises(InvalidArgument):
-        aggregate(people, stages)
+        aggregate(herons, stages)
 
 
 def test_find_chain(chain):
@@ -74,10 +74,10 @@ def test_find_chain(chain):
     assert out.columns == ["a", "b"] and [r[1] for r in rows(out)] == [2, 3, 4, 5, 6]
 
 
-def test_find_edges(people):
-    assert find(people, limit=0).count() == 3 and find(people, limit=-5, skip=-2).count() == 3
-    assert find(people, selector={"dept": 0, "name": 1, "nothing": 1}).columns == ["dept", "name"]
-    assert rows(count(people, {"age": {"$gt": 26}})) == [(2,)]
+def test_find_edges(herons):
+    assert find(herons, limit=0).count() == 3 and find(herons, limit=-5, skip=-2).count() == 3
+    assert find(herons, selector={"pond": 0, "name": 1, "nothing": 1}).columns == ["pond", "name"]
+    assert rows(count(herons, {"wing": {"$gt": 26}})) == [(2,)]
 
 
 def test_top_k_is_one_operator(chain):

@@ -52,16 +52,16 @@ def test_bad_modifiers(spark, modifier):
 
 
 def test_collections(db):
-    c = db.create_collection("cs.people")
-    c.insert_many([{"name": "alice", "age": 30}, {"name": "bob", "age": 25}])
-    c.insert({"name": "carol", "city": "sf"})
-    assert c.count() == 3 and c.count({"age": {"$gte": 26}}) == 1
+    c = db.create_collection("cs.herons")
+    c.insert_many([{"name": "mira", "wing": 30}, {"name": "tove", "wing": 25}])
+    c.insert({"name": "ansel", "shore": "sf"})
+    assert c.count() == 3 and c.count({"wing": {"$gte": 26}}) == 1
     before = c.df()
-    c.update({"name": "bob"}, {"$inc": {"age": 1}})
-    assert c.find({"name": "bob"}, {"age": 1}).collect()[0].age == 26
-    assert before.where("name = 'bob'").collect()[0].age == 25, "a version that was read stays"
-    c.delete({"age": {"$exists": False}})
-    assert c.count() == 2 and db.collections() == ["cs.people"]
+    c.update({"name": "tove"}, {"$inc": {"wing": 1}})
+    assert c.find({"name": "tove"}, {"wing": 1}).collect()[0].wing == 26
+    assert before.where("name = 'tove'").collect()[0].wing == 25, "a version that was read stays"
+    c.delete({"wing": {"$exists": False}})
+    assert c.count() == 2 and db.collections() == ["cs.herons"]
     assert [len(x) for x in [list(c.cursor())]] == [2]
     assert c.aggregate([{"$count": {"as": "n"}}]).collect()[0].n == 2
 
@@ -132,21 +132,69 @@ def test_transactions(db):
     assert {r.op for r in db.changes().collect()} >= {"txnBegin", "txnCommit", "txnAbort", "insert", "update"}
 
 
+def test_an_aborted_transaction_leaves_no_entries(db):
+    c = db.create_collection("cs.t", "k int, v string")
+    c.create_index("k", {"k": 1}, unique=True)
+    c.insert_many([{"k": 1, "v": "a"}, {"k": 2, "v": "b"}])
+    with pytest.raises(DuplicateKey), db.transaction() as t:
+        t.insert("cs.t", {"k": 3, "v": "c"})
+        t.insert("cs.t", {"k": 1, "v": "d"})
+    with db.transaction() as t:
+        t.insert("cs.t", {"k": 4, "v": "e"})
+        t.update("cs.t", {"k": 4}, {"$set": {"v": "f"}, "$inc": {"k": 1}})
+        t.delete("cs.t", {"k": 2})
+    want = [(1, "a"), (5, "f")]
+    assert sorted(map(tuple, c.df().collect())) == want
+    assert sorted(map(tuple, changelog.replay(db.changes(), c._schema(), "cs.t", ["k"]).collect())) == want
+    log = db.changes().orderBy("lsn").collect()
+    assert [r.lsn for r in log] == list(range(len(log))) == list(range(db.lsn)) and [r.prevLsn for r in log[1:]] == list(range(len(log) - 1))
+    assert [r.op for r in log][-7:] == ["txnBegin", "txnAbort", "txnBegin", "insert", "update", "delete", "txnCommit"]
+    assert len({r.txnId for r in log[-5:]}) == 1
+
+
+def test_keys_may_be_swapped(db):
+    c = db.create_collection("cs.t")
+    c.insert_many([{"k": 1, "v": "a"}, {"k": -1, "v": "b"}])
+    c.update({"v": "a"}, {"$inc": {"k": -2}})
+    c.update({"v": "b"}, {"$inc": {"k": 2}})
+    assert sorted(map(tuple, changelog.replay(db.changes(), c._schema(), "cs.t", ["k"]).collect())) == [(1, "b")], "k = -1 was taken by a, then left by b"
+    c.update({}, {"$inc": {"k": 1}})
+    db.drop_collection("cs.t")
+    db.create_collection("cs.t").insert({"k": 9, "v": "z"})
+    assert list(map(tuple, changelog.replay(db.changes(), db["cs.t"]._schema(), "cs.t", ["k"]).collect())) == [(9, "z")]
+
+
+def test_an_interrupted_write_is_finished(spark, db, monkeypatch):
+    from docspark.sources.catalog import Database
+
+    c = db.create_collection("cs.t", "k int")
+    c.insert({"k": 1})
+    monkeypatch.setattr(Database, "_finish", lambda self: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        c.insert({"k": 2})
+    assert c.count() == 1, "nothing is seen before it is published"
+    monkeypatch.undo()
+    again = Database(spark, db.root)
+    assert again["cs.t"].count() == 2 and again.changes().where("op = 'insert'").count() == 2
+    again["cs.t"].insert({"k": 3})
+    assert sorted(r.lsn for r in again.changes().collect()) == list(range(again.lsn))
+
+
 def test_sql(db):
-    db.sql("CREATE TABLE cs.people (name VARCHAR(20) NOT NULL, age INT)")
-    db.sql("INSERT INTO cs.people (name, age) VALUES ('alice', 30), ('bob b', 25), ('c''d', -5)")
-    assert db.sql("SELECT * FROM cs.people").count() == 3
-    assert [r.name for r in db.sql("SELECT name FROM cs.people WHERE age > 0 ORDER BY age DESC LIMIT 1 OFFSET 1").collect()] == ["bob b"]
-    assert db.sql("SELECT name FROM cs.people WHERE age >= 25 AND name <> 'alice'", strict=True).count() == 1
-    assert db.sql("SELECT name FROM cs.people LIMIT 0").count() == 0
-    db.sql("UPDATE cs.people SET age = 26 WHERE name = 'bob b'")
-    db.sql("DELETE FROM cs.people WHERE age < 0")
-    assert sorted(r.age for r in db.sql("SELECT * FROM cs.people").collect()) == [26, 30]
-    assert db.sql("SELECT max(age) AS m FROM cs.people GROUP BY name IS NULL").collect()[0].m == 30
-    for bad in ("SELECT FROM cs.people", "UPDATE cs.people SET age = 1 WHERE age LIKE 3", "DELETE FROM cs.people WHERE", "EXPLODE", "INSERT INTO cs.people VALUES (1, 2, 3)"):
+    db.sql("CREATE TABLE cs.herons (name VARCHAR(20) NOT NULL, wing INT)")
+    db.sql("INSERT INTO cs.herons (name, wing) VALUES ('mira', 30), ('tove b', 25), ('c''d', -5)")
+    assert db.sql("SELECT * FROM cs.herons").count() == 3
+    assert [r.name for r in db.sql("SELECT name FROM cs.herons WHERE wing > 0 ORDER BY wing DESC LIMIT 1 OFFSET 1").collect()] == ["tove b"]
+    assert db.sql("SELECT name FROM cs.herons WHERE wing >= 25 AND name <> 'mira'", strict=True).count() == 1
+    assert db.sql("SELECT name FROM cs.herons LIMIT 0").count() == 0
+    db.sql("UPDATE cs.herons SET wing = 26 WHERE name = 'tove b'")
+    db.sql("DELETE FROM cs.herons WHERE wing < 0")
+    assert sorted(r.wing for r in db.sql("SELECT * FROM cs.herons").collect()) == [26, 30]
+    assert db.sql("SELECT max(wing) AS m FROM cs.herons GROUP BY name IS NULL").collect()[0].m == 30
+    for bad in ("SELECT FROM cs.herons", "UPDATE cs.herons SET wing = 1 WHERE wing LIKE 3", "DELETE FROM cs.herons WHERE", "EXPLODE", "INSERT INTO cs.herons VALUES (1, 2, 3)"):
         with pytest.raises(InvalidArgument):
             db.sql(bad, strict=True)
-    db.sql("DROP TABLE cs.people")
+    db.sql("DROP TABLE cs.herons")
     assert db.collections() == []
     db.sql("CREATE TABLE other.t (x INT)")
     assert db.collections() == ["other.t"]
