@@ -108,7 +108,7 @@ def sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right if len(right) else left
 
 
-def block_links(v, n, label, side, sets):
+def block_links(v, n, label, side, sets, *_):
     """Links of a block that make the components which all its links between members with different labels make.
 
     Every pair is counted on full sets. Left and right are as in ``sides``.
@@ -123,7 +123,10 @@ def block_links(v, n, label, side, sets):
 
 
 def in_blocks(rows: DataFrame, compare) -> DataFrame:
-    """key, block, a, b, like: what ``compare`` returns of each block (key, block) of rows key, block, side, v, n, label, sketch."""
+    """key, block, a, b, like: what ``compare`` returns of each block (key, block) of rows key, block, side, v, n, label, sketch, keys.
+
+    ``compare`` gets v, n, label and side as arrays, lists of sketches and keys as arrays, and (key, block).
+    """
 
     def run(batches):
         ready: list = []
@@ -131,7 +134,7 @@ def in_blocks(rows: DataFrame, compare) -> DataFrame:
         def block_done(at, held) -> bool:
             """Whether enough is ready to be sent."""
             columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
-            pairs = compare(*columns, [s for h in held for s in h[4]])
+            pairs = compare(*columns, [s for h in held for s in h[4]], [s for h in held for s in h[5]], at)
             if n := len(pairs[0]):
                 ready.append((np.full(n, at[0]), np.full(n, at[1]), *pairs))
             return sum(len(x[0]) for x in ready) > 20_000 or len(ready) > 2000
@@ -145,7 +148,7 @@ def in_blocks(rows: DataFrame, compare) -> DataFrame:
         for b in batches:
             key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
             v, n, label, side = (b.column(c).to_numpy() for c in (3, 4, 5, 2))
-            sets = [np.frombuffer(s, ">i8") for s in b.column(6).to_pylist()]
+            sets, keys = ([np.frombuffer(s, ">i8") for s in b.column(c).to_pylist()] for c in (6, 7))
             new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             cuts = [0, *new.tolist(), b.num_rows]
             for i, j in zip(cuts, cuts[1:]):
@@ -157,13 +160,13 @@ def in_blocks(rows: DataFrame, compare) -> DataFrame:
                         yield send()
                     held = []
                 at = here
-                held.append((v[i:j], n[i:j], label[i:j], side[i:j], sets[i:j]))
+                held.append((v[i:j], n[i:j], label[i:j], side[i:j], sets[i:j], keys[i:j]))
         if held:
             block_done(at, held)
         if ready:
             yield send()
 
-    dealt = rows.select("key", "block", F.col("side").cast("int").alias("side"), "v", "n", "label", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "side")
+    dealt = rows.select("key", "block", F.col("side").cast("int").alias("side"), "v", "n", "label", "sketch", "keys").repartition("key", "block").sortWithinPartitions("key", "block", "side")
     return dealt.mapInArrow(run, "key long, block long, a long, b long, like double")
 
 

@@ -9,7 +9,7 @@ m - s + 1 of either. For sets that a sketch holds whole, with all their possible
 partners, s is exact. For larger ones s is half the sketch, which a pair at the
 threshold misses by six standard deviations. So the lists of common word pairs,
 which grow with the square of the corpus, stay empty of all that have rarer values.
-Lists of the same members are one list.
+Lists are kept by sizes that fit, and those of the same members are one list.
 
 Lists aren't expanded into pairs. A list of two members is a pair. Longer ones go to
 tasks in blocks (see ``blocks``), twice:
@@ -18,9 +18,11 @@ tasks in blocks (see ``blocks``), twice:
    they share; overlaps and the union-sketch estimate (the share of common values
    among the K least of both sketches) exclude pairs, and only members with a pair
    left go on. The margin of the estimate is six standard deviations, too;
-2. with full shingle sets of these: all links of a block are decided, and as many are
-   returned as hold the block's components together. They are confirmed on the
-   shingles themselves.
+2. with full shingle sets of these, as hashes of 63 bits: exact Jaccard similarity decides all
+   links of a block, and as many are returned as hold the block's components together.
+
+A pair that shares several short lists is left to one of them. Pairs of lists of two go
+through the estimate and are verified on the shingles themselves.
 
 A list of up to ``SHORT`` members is one block. Of its longer lists, a member goes with
 two, in blocks of ``CHUNK``: the longest, and one that its likes choose, too. Links make
@@ -59,6 +61,8 @@ MARGIN = 0.3
 LEAST = PERCENT / 100 - MARGIN
 #: Pairs of sketches merged at once.
 MERGED = 20_000
+#: The block that a short list is.
+WHOLE = -1
 
 
 def sketches(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,21 +95,29 @@ def posted_values(n: Column, m: Column) -> Column:
 
 
 def inverted_lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists of two members as (a, b), whose sizes fit, and longer ones as (key, v, c); c: how many. Both settled."""
-    each = classes.select("v", "fp", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    """Lists of two members as (a, b), whose sizes fit, and longer ones as (key, v, c); c: how many. Both settled.
+
+    A list is of a value and a size bucket. Buckets grow by 100 / PERCENT, so sets that can be linked are in the same
+    bucket or in neighbouring ones: a set is in the list of its own bucket and visits that of the next.
+    """
+    each = classes.select("q", F.explode("sketch").alias("value"))
     counts = settle(each.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "value-counts")
     # Values that no other class has come first, and their lists are no use.
-    known = each.join(counts, "value").groupBy("v", "fp", "n", "m").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("shared"))
+    known = each.join(counts, "value").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("shared"))
+    sized = classes.select("q", "v", "n", F.size("sketch").alias("m"))
     few = F.greatest(F.lit(0), posted_values(F.col("n"), F.col("m")) - (F.col("m") - F.size("shared")))
-    posted = settle(known.select("v", "n", F.explode(F.transform(F.slice("shared", F.lit(1), few), lambda x: x["value"])).alias("value")), "posted")
-    of_value = posted.groupBy("value").agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min(F.struct("v", "n")).alias("a"), F.max(F.struct("v", "n")).alias("b")
+    own = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    posted = known.join(sized, "q").select("v", "n", own.alias("own"), F.explode(F.transform(F.slice("shared", F.lit(1), few), lambda x: x["value"])).alias("value"))
+    posted = settle(posted, "posted")
+    placed = posted.select("v", "n", "value", F.inline(F.array(F.struct(F.col("own").alias("bucket"), F.lit(1).alias("here")), F.struct((F.col("own") + 1).alias("bucket"), F.lit(0).alias("here")))))
+    of_list = placed.groupBy("value", "bucket").agg(
+        F.count(F.lit(1)).alias("c"), F.max("here").alias("here"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min(F.struct("v", "n")).alias("a"), F.max(F.struct("v", "n")).alias("b")
     )
-    lists = settle(of_value.where("c > 1 AND a.v <> b.v"), "inverted-lists")
+    lists = settle(of_list.where("c > 1 AND here = 1 AND a.v <> b.v").drop("here"), "inverted-lists")
     fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * PERCENT
     twos = settle(lists.where("c = 2").where(fits).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), "list-pairs")
-    long = lists.where("c > 2").select("value", F.xxhash64("c", "x", "a.v", "b.v").alias("key"), "c")
-    many = settle(posted.join(long, "value").select("key", "v", "c").distinct(), "lists")
+    long = lists.where("c > 2").select("value", "bucket", F.xxhash64("c", "x", "a.v", "b.v").alias("key"), "c")
+    many = settle(placed.join(long, ["value", "bucket"]).select("key", "v", "c").distinct(), "lists")
     unsettle(counts, posted, lists)
     return twos, many
 
@@ -143,8 +155,12 @@ def union_estimates(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def touched(v, n, label, side, sets):
-    """Members with a pair, between different labels, that sizes, overlaps and the estimate don't exclude: v, label and side."""
+def touched(v, n, label, side, sets, keys, at):
+    """Members with a pair, between different labels, that sizes, overlaps and the estimate don't exclude: v, label and side.
+
+    A pair is left to the first short list that both members are in (``keys``). ``at``: key and block, which is
+    WHOLE for short lists.
+    """
     none = v[:0], v[:0], np.zeros(0)
     left, right = sides(side)
     if not len(left) or len(v) < 2:
@@ -156,6 +172,8 @@ def touched(v, n, label, side, sets):
     fits = (label[left][:, None] != label[right][None, :]) & (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * PERCENT)
     needed = LEAST * np.minimum(union, K)
     fits &= overlap >= needed
+    before = [k[k < at[0]] for k in keys] if at[1] == WHOLE else keys
+    fits &= shared_values(before, left, right) == 0
     # As many common values as there are beyond the K least of the union can be beyond them at most.
     sure = fits & (overlap - np.maximum(union - K, 0) >= needed)
     some = np.zeros(len(v), bool)
@@ -183,7 +201,7 @@ def links_in_blocks(blocks: DataFrame, thin: DataFrame, docs: DataFrame, k: int)
     found = in_blocks(blocks.join(thin, "v"), touched)
     some = settle(found.select("key", "block", F.col("a").alias("v"), F.col("b").alias("label"), F.col("like").cast("int").alias("side")), "touched-members")
     ids = settle(some.select(F.col("v").alias("doc_id")).distinct(), "touched-ids")
-    full = full_sets(ids, docs, k)
+    full = full_sets(ids, docs, k).withColumn("keys", F.lit(b""))
     links = settle(ordered(in_blocks(some.join(full, "v"), block_links), "a", "b"), "block-links")
     unsettle(some, ids, full)
     return links
@@ -193,7 +211,7 @@ def first_blocks(lists: DataFrame) -> DataFrame:
     """Blocks (key, block, side, v, label) of short lists, and of two long lists of each member."""
     long = lists.where(F.col("c") > SHORT).groupBy("v").agg(F.max(F.struct("c", "key")).alias("x"), F.min(F.struct(F.xxhash64("key"), "key", "c")).alias("y"))
     two = long.select("v", F.inline(F.array_distinct(F.array(F.struct("x.key", "x.c"), F.struct("y.key", "y.c")))))
-    rows = lists.where(F.col("c") <= SHORT).select("key", "v", F.lit(0).cast("long").alias("block"))
+    rows = lists.where(F.col("c") <= SHORT).select("key", "v", F.lit(WHOLE).cast("long").alias("block"))
     rows = rows.unionByName(two.select("key", "v", chunk_of("v", chunks_of("c")).alias("block")))
     return rows.withColumns({"side": F.lit(0), "label": F.col("v")})
 
@@ -231,13 +249,16 @@ def last_blocks(out: DataFrame, inside: DataFrame) -> DataFrame:
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, k: int, more: DataFrame | None = None) -> DataFrame:
-    """(v, label) of the vertices that have links. classes: v, fp, n, sketch; docs: doc_id, text (binary); more: links (a, b) besides."""
+    """(v, label) of the vertices that have links. classes: q (a number of its own), v, n, sketch; docs: doc_id, text (binary); more: links (a, b) besides."""
     twos, lists = inverted_lists(classes)
-    packed = F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    thin = settle(classes.join(lists.select("v").distinct(), "v", "left_semi").select("v", "n", packed.alias("sketch")), "list-sketches")
+    def packed(values):
+        return F.coalesce(F.unhex(F.array_join(F.transform(values, lambda x: F.lpad(F.hex(x), 16, "0")), "")), F.lit(b""))
+
+    members = lists.groupBy("v").agg(packed(F.collect_list(F.when(F.col("c") <= SHORT, F.col("key")))).alias("keys"))
+    thin = settle(classes.select("v", "n", packed("sketch").alias("sketch")).join(members, "v"), "list-sketches")
     found = links_in_blocks(first_blocks(lists), thin, docs, k)
-    pairs = settle(estimated(twos, classes).unionByName(found).distinct(), "candidate-pairs")
-    links = verified(pairs, docs, k).where("linked").select("a", "b")
+    alike = settle(estimated(twos, classes), "candidate-pairs")
+    links = found.unionByName(verified(alike, docs, k).where("linked").select("a", "b"))
     if more is not None:
         links = links.unionByName(more)
     labels = components(links)
@@ -247,9 +268,9 @@ def linked_classes(classes: DataFrame, docs: DataFrame, k: int, more: DataFrame
         blocks = settle(last_blocks(out, inside), "blocks")
         found = links_in_blocks(blocks, thin, docs, k)
         if found.limit(1).count():
-            labels = extended(labels, verified(found, docs, k).where("linked"))
+            labels = extended(labels, found)
         unsettle(out, inside, blocks, found)
-    unsettle(twos, lists, thin, pairs)
+    unsettle(twos, lists, thin, alike)
     return labels
 
 
@@ -265,7 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
     """doc_id, n_shingles, component_id and kept for each row of ``docs``. k: words in a shingle."""
     each = sketches(docs, k, doc_id, text)
     grouped = each.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("fp")
-    classes = settle(grouped.agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows")), "classes")
+    classes = grouped.agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
+    classes = settle(classes.withColumn("q", F.xxhash64("fp")), "classes")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     labels = linked_classes(classes, plain, k, id_links(each, classes))
     named = labelled(classes.select("fp", "v", "rows"), labels, "v", "component")

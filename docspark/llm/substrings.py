@@ -232,7 +232,7 @@ def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["v", "n", "sketch"]
             )
 
-    sets = texts.mapInArrow(build, "v long, n long, sketch binary")
+    sets = texts.mapInArrow(build, "v long, n long, sketch binary").withColumn("keys", F.lit(b""))
     rows = lists.join(sets, "v").withColumns({"block": chunk_of("v", chunks_of("c")), "side": F.lit(0), "label": F.col("v")})
     pairs = settle(ordered(in_blocks(rows, block_links), "a", "b"), "near-paragraphs")
     links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
