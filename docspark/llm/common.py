@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -79,6 +80,12 @@ def unsettle(*tables: DataFrame) -> None:
             drop_dir(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is settled by now: it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often body names it.
 

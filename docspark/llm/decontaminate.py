@@ -86,20 +86,22 @@ def sketch_table(items: DataFrame, least: int) -> DataFrame:
 def sieve_of(table: DataFrame) -> np.ndarray:
     """Which leading bits some sketch value has. Its size is the same for any benchmark."""
 
+    places = 1 << SIEVE_BITS
+
     def build(batches):
-        bits = np.zeros(1 << SIEVE_BITS, bool)
+        bits = np.zeros(places, bool)
         for b in batches:
-            bits[_slot(b.column(0).to_numpy())] = True
+            bits[_slot(b.column(0).to_numpy(), places)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
-    out = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
+    out = np.zeros(places // 8, np.uint8)
     for row in table.select("value").coalesce(SIEVE_TASKS).mapInArrow(build, "bits binary").collect():
         out |= np.frombuffer(row["bits"], np.uint8)
     return np.unpackbits(out).astype(bool)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return h.view(np.uint64) >> np.uint64(63 - SIEVE_BITS)
+def _slot(h: np.ndarray, places: int) -> np.ndarray:
+    return h.view(np.uint64) >> np.uint64(64 - places.bit_length())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -125,7 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
                 h = word_hashes(w)
                 found = [windows(h, n) for n in (SHINGLE, *short) if len(w) >= n]
                 found = np.concatenate([np.zeros(0, np.uint64), *found])
-                found = np.unique(found[sieve[_slot(found)]])
+                found = np.unique(found[sieve[_slot(found, len(sieve))]])
                 keys.append(np.full(len(found), key))
                 values.append(found.view(np.int64))
             none = np.zeros(0, np.int64)

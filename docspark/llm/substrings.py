@@ -7,23 +7,29 @@ lines break around it; any common passage of SPAN + PLACES - 1 = 50 words holds
 least one whole common paragraph. (Lines would not do: a passage copied into the
 middle of a line shares no line.)
 
-MinHash values of a paragraph's 5-word shingles are banded: ``ROWS`` values a band,
-``tuned_bands(rows=ROWS)`` bands, the fewest by which a paragraph with a Jaccard similarity of
-0.8 is missed once in a thousand. Keys travel packed with their class, so that a row
-of Spark holds those of a bucket; lists of the same members are compared once. Paragraphs of different
-documents that share a band collide. Equal ones are one class. Classes that share a
-band are compared in bounded blocks inside tasks, all pairs of a block; of those with
-a Jaccard similarity of 0.8 as many as hold the block's components together are
-verified on the words. Links make components. In lists of several blocks, members
-outside the largest component are then compared with all others of the list, in pairs
-of blocks; so no list holds linked members of different components. In each component,
-paragraphs of the document that has the first one stay, and those of other documents
-are removed.
+A paragraph's 5-word shingles are kept as ``TINY``-bit hashes beside it. Their MinHash
+values are banded: ``ROWS`` values a band, ``tuned_bands(rows=ROWS)`` bands, the fewest by which
+a paragraph with a Jaccard similarity of 0.8 is missed once in a thousand. Keys travel
+packed with their class, so that a row of Spark holds those of a bucket; lists of the same
+members are compared once. Paragraphs of different documents that share a band collide.
+Equal ones are one class.
+
+In lists of up to ``FEW`` classes, all pairs are compared at once on the small hashes. Hashes
+that meet by chance can only add to what two sets share, and what a set loses by two of its
+own that meet is allowed for; so no pair at 0.8 is lost. Those left are verified on the
+words. Members of longer lists are compared on full sets in bounded blocks inside
+tasks, all pairs of a block; of those with a Jaccard similarity of 0.8 as many as hold the
+block's components together are verified on the words. Links make components. In lists of
+several blocks, members outside the largest component are then compared with all others
+of the list, in pairs of blocks; so no list holds linked members of different
+components. In each component, paragraphs of the document that has the first one stay,
+and those of other documents are removed.
 
 Defined results: a row for each paragraph whose component is in several documents;
 texts of under SPAN words, empty and null ones have no paragraph; rows with null ids
 are left out, and rows that share an id are one document; an empty table gives an
-empty result. Words are as in near-duplicates: A-Z in lower case, split at white space.
+empty result; a very long text is held by one task at a time, as its words and their
+hashes. Words are as in near-duplicates: A-Z in lower case, split at white space.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.blocks import block_links, chunk_of, chunks_of, each_of, in_blocks, labelled, ordered, semi, verified
-from docspark.llm.common import attach_class, pieces, settle, unsettle
+from docspark.llm.blocks import PERCENT, block_links, chunk_of, chunks_of, each_of, in_blocks, labelled, ordered, semi, verified
+from docspark.llm.common import attach_class, pieces, release, settle, unsettle
 from docspark.llm.components import components, extended
 from docspark.llm.neardup import outsiders
 from docspark.llm.shingles import P, mixed, shingle_hashes, windows, word_hashes, words
@@ -43,6 +49,12 @@ SPAN, PLACES, SHINGLE = 25, 26, 5
 ROWS, LIKE, PARAGRAPHS, MISSED = 3, 0.8, 1, 0.001
 #: Band keys go to so many buckets at least, and to more if one would hold more keys than FULL; they leave a task when it has READY.
 BUCKETS, FULL, READY = 1024, 1 << 18, 1 << 18
+#: Bits of a small hash, small hashes in a number of 64 bits, and numbers a paragraph: its hashes, and behind them how many
+#: distinct shingles and how many distinct small hashes it has.
+TINY, EACH, NUMBERS = 16, 4, 6
+COLUMNS = [f"t{k}" for k in range(NUMBERS)]
+#: Classes of a list that is compared on small hashes, and pairs compared at once.
+FEW, AT_ONCE = 8, 50_000
 PAIR = np.dtype([("k", "<u4"), ("v", "<i8")])
 #: Odd multipliers that make four and more hash functions of one.
 FACTORS = np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
@@ -69,26 +81,37 @@ def spelled(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mixed(mixed(w[at[:, None] + np.arange(n)] + np.arange(n, dtype=np.uint64) * P).sum(1, dtype=np.uint64) + np.uint64(n)).view(np.int64)
 
 
-def paragraphs_of(texts: list, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the text, first word, hash (v) and band keys of each paragraph."""
+def paragraphs_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, first word, hash (v) and small hashes (as NUMBERS numbers) of each paragraph."""
     found = [word_hashes(words(t)) for t in texts]
     first = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
     w = np.concatenate([np.zeros(0, np.uint64), *found])
     if len(w) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, NUMBERS), np.int64)
     five = windows(w, SHINGLE)  # those across two texts are in no paragraph
     at = [places(five[i : j - SPAN + 1]) if j - i >= SPAN else np.zeros(0, np.int64) for i, j in zip(first, first[1:])]
     owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
     start = np.concatenate(at)
     here = start + first[owner]
-    inside = here[:, None] + np.arange(SPAN - SHINGLE + 1)
-    keys = np.empty((len(here), bands), np.uint64)
+    inside = np.sort(five[here[:, None] + np.arange(SPAN - SHINGLE + 1)], axis=1)
+    tiny = np.zeros((len(here), NUMBERS * EACH), np.uint16)
+    n = inside.shape[1]
+    tiny[:, :n] = inside >> np.uint64(63 - TINY)  # in order, too
+    tiny[:, n] = 1 + (inside[:, 1:] != inside[:, :-1]).sum(1)
+    tiny[:, n + 1] = 1 + (tiny[:, 1:n] != tiny[:, : n - 1]).sum(1)
+    return owner, start, spelled(w, here, SPAN), tiny.view(np.int64)
+
+
+def band_keys_of(tiny: np.ndarray, bands: int) -> np.ndarray:
+    """Band keys of paragraphs by their small hashes."""
+    hashes = tiny.view(np.uint16)[:, : SPAN - SHINGLE + 1].astype(np.uint64) + np.uint64(1)
+    keys = np.empty((len(tiny), bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(here), b, np.uint64)
+        key = np.full(len(tiny), b, np.uint64)
         for r in range(ROWS):
-            key = mixed(key * FACTORS[31] + mixed(five * FACTORS[b * ROWS + r])[inside].min(1))
+            key = mixed(key * FACTORS[31] + mixed(hashes * FACTORS[b * ROWS + r]).min(1))
         keys[:, b] = key
-    return owner, start, spelled(w, here, SPAN), keys
+    return keys
 
 
 def buckets_for(paragraphs: int, bands: int) -> int:
@@ -111,37 +134,39 @@ def packed(v: list, keys: list, buckets: int = BUCKETS) -> pa.RecordBatch:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, start (number of the first word) and v of each paragraph. docs: doc_id, text (binary). Settled."""
+    """doc_id, start (number of the first word), v and small hashes (COLUMNS) of each paragraph. docs: doc_id, text (binary). Settled."""
+    names = ["doc_id", "start", "v", *COLUMNS]
 
     def build(batches):
         for b in pieces(batches):
-            owner, start, v, _ = paragraphs_of(b.column(1).to_pylist(), 0)
+            owner, start, v, tiny = paragraphs_of(b.column(1).to_pylist())
             own = np.array(b.column(0).to_pylist(), np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(start), pa.array(v)], ["doc_id", "start", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, start, v, *np.ascontiguousarray(tiny.T))], names)
 
-    return settle(docs.mapInArrow(build, "doc_id long, start long, v long"), "paragraphs")
+    return settle(docs.mapInArrow(build, ", ".join(f"{n} long" for n in names)), "paragraphs")
 
 
-def band_keys(docs: DataFrame, paragraphs: int) -> DataFrame:
-    """Rows bucket, packed of the paragraphs of docs (doc_id, text (binary)). Made anew, as texts are smaller than keys."""
+def tiny_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([batch.column(first + k).to_numpy() for k in range(NUMBERS)], axis=1)
+
+
+def band_keys(units: DataFrame) -> DataFrame:
+    """Rows bucket, packed of paragraphs."""
     bands = tuned_bands(rows=ROWS)
-    buckets = buckets_for(paragraphs, bands)
+    buckets = buckets_for(units.count(), bands)
 
     def build(batches):
         held_v, held_keys = [], []
-        for b in pieces(batches):
-            _, _, v, keys = paragraphs_of(b.column(1).to_pylist(), bands)
-            if not len(v):
-                continue
-            held_v.append(v)
-            held_keys.append(keys)
+        for b in pieces(batches, 10_000):
+            held_v.append(b.column(0).to_numpy())
+            held_keys.append(band_keys_of(tiny_of(b, 1), bands))
             if sum(map(len, held_v)) * bands > READY:
                 yield packed(held_v, held_keys, buckets)
                 held_v, held_keys = [], []
         if held_v:
             yield packed(held_v, held_keys, buckets)
 
-    return docs.mapInArrow(build, "bucket long, packed binary")
+    return units.select("v", *COLUMNS).mapInArrow(build, "bucket long, packed binary")
 
 
 def shared_lists(keys: DataFrame) -> DataFrame:
@@ -187,23 +212,85 @@ def shared_lists(keys: DataFrame) -> DataFrame:
     return settle(dealt.mapInArrow(run, "key long, v long, c long").distinct(), "lists")
 
 
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of paragraphs their small hashes don't exclude. a, b: rows of NUMBERS numbers."""
+    n = SPAN - SHINGLE + 1
+    out = np.zeros(len(a), bool)
+    for first in range(0, len(a), AT_ONCE):
+        x, y = (z[first : first + AT_ONCE].view(np.uint16).astype(np.int32) for z in (a, b))
+        both = np.empty((len(x), 2 * n), np.int32)
+        for z, part, other in ((x, both[:, :n], -1), (y, both[:, n:], -1 - n)):
+            part[:] = z[:, :n]
+            again = np.zeros((len(z), n), bool)
+            again[:, 1:] = z[:, 1:n] == z[:, : n - 1]
+            part[again] = np.broadcast_to(other - np.arange(n), again.shape)[again]  # unlike anything
+        both.sort(axis=1)
+        shared = (both[:, 1:] == both[:, :-1]).sum(1)
+        na, nb = x[:, n], y[:, n]
+        shared = np.minimum(shared + np.maximum(na - x[:, n + 1], nb - y[:, n + 1]), np.minimum(na, nb))
+        out[first : first + AT_ONCE] = 100 * shared >= PERCENT * (na + nb - shared)
+    return out
+
+
+def close_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of members of lists (key, v) of up to FEW that small hashes don't exclude. classes: v, COLUMNS. Settled."""
+
+    def pairs_of(key: np.ndarray, v: np.ndarray, tiny: np.ndarray) -> pa.RecordBatch | None:
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff([*starts, len(key)])
+        left, right = [], []
+        for size in np.unique(sizes[sizes > 1]):
+            at = starts[sizes == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    left.append(at + i)
+                    right.append(at + j)
+        if not left:
+            return None
+        i, j = np.concatenate(left), np.concatenate(right)
+        some = close(tiny[i], tiny[j])
+        a, b = v[i[some]], v[j[some]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), tiny_of(batch, 2)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # keys ascend, and the last list may go on
+            held = [x[cut:] for x in now]
+            if cut and (out := pairs_of(*(x[:cut] for x in now))) is not None:
+                yield out
+        if held is not None and (out := pairs_of(*held)) is not None:
+            yield out
+
+    rows = lists.where(F.col("c") <= FEW).join(classes.select("v", *COLUMNS), "v").select("key", "v", *COLUMNS)
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    return settle(dealt.mapInArrow(run, "a long, b long").distinct(), "close-paragraphs")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id: v, text) of paragraphs. wanted: v, doc_id, start; settled."""
     by_doc = settle(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "v")).alias("spans")), "wanted-paragraphs")
-    rows = semi(docs, by_doc.select("doc_id"), "doc_id").join(by_doc, "doc_id").select("text", "spans")
+    rows = semi(docs, by_doc.select("doc_id"), "doc_id").join(by_doc, "doc_id").select("text", "spans.start", "spans.v")
 
     def cut(batches):
         for b in pieces(batches):
-            v, text = [], []
-            for t, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found, text = [np.zeros(0, np.int64)], []
+            for t, start, v in zip(*(c.to_pylist() for c in b.columns)):
                 w = words(t)
-                h = word_hashes(w)
-                for s in spans:
-                    at = np.array([s["start"]])
-                    if at[0] + SPAN <= len(w) and spelled(h, at, SPAN)[0] == s["v"]:  # not of another row with the id
-                        v.append(s["v"])
-                        text.append(b" ".join(w[s["start"] : s["start"] + SPAN]))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(text, pa.binary())], ["doc_id", "text"])
+                start, v = np.array(start, np.int64), np.array(v, np.int64)
+                inside = start + SPAN <= len(w)
+                start, v = start[inside], v[inside]
+                if not len(v):
+                    continue
+                same = spelled(word_hashes(w), start, SPAN) == v  # not of another row with the id
+                found.append(v[same])
+                text += [b" ".join(w[k : k + SPAN]) for k in start[same].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(text, pa.binary())], ["doc_id", "text"])
 
     return rows.mapInArrow(cut, "doc_id long, text binary")
 
@@ -222,8 +309,11 @@ def across_blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(v, label) of classes that are alike, by ``components``. lists: (key, v, c), settled; classes: v, doc_id, start; docs: doc_id, text (binary)."""
-    texts = settle(_texts(docs, classes), "paragraph-texts")
+    """(v, label) of classes that are alike, by ``components``. lists: (key, v, c), settled; classes: v, doc_id, start, COLUMNS; docs: doc_id, text (binary)."""
+    pairs = close_pairs(lists, classes)
+    large = settle(lists.where(F.col("c") > FEW), "large-lists")
+    wanted = settle(large.select("v").unionByName(pairs.select(F.col("a").alias("v"))).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "wanted")
+    texts = settle(_texts(docs, classes.select("v", "doc_id", "start").join(wanted, "v", "left_semi")), "paragraph-texts")
 
     def build(batches):
         for b in pieces(batches):
@@ -232,19 +322,21 @@ def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(">i8").tobytes() for s in sets], pa.binary())], ["v", "n", "sketch"]
             )
 
-    sets = texts.mapInArrow(build, "v long, n long, sketch binary").withColumn("keys", F.lit(b""))
-    rows = lists.join(sets, "v").withColumns({"block": chunk_of("v", chunks_of("c")), "side": F.lit(0), "label": F.col("v")})
-    pairs = settle(ordered(in_blocks(rows, block_links), "a", "b"), "near-paragraphs")
-    links = verified(pairs, texts, SHINGLE).where("linked").select("a", "b")
-    labels = components(links)
-    long = settle(lists.where(chunks_of("c") > 1).select("key", "v"), "long-lists")
+    def with_sets(rows: DataFrame) -> DataFrame:
+        own = semi(texts, settle(rows.select(F.col("v").alias("doc_id")).distinct(), "set-ids"), "doc_id")
+        return rows.join(own.mapInArrow(build, "v long, n long, sketch binary").withColumn("keys", F.lit(b"")), "v")
+
+    rows = with_sets(large).withColumns({"block": chunk_of("v", chunks_of("c")), "side": F.lit(0), "label": F.col("v")})
+    pairs = settle(pairs.unionByName(ordered(in_blocks(rows, block_links), "a", "b")).distinct(), "near-paragraphs")
+    labels = components(verified(pairs, texts, SHINGLE).where("linked"))
+    long = settle(large.where(chunks_of("c") > 1).select("key", "v"), "long-lists")
     if long.limit(1).count():
         blocks = settle(across_blocks(long, labels), "blocks")
-        more = settle(ordered(in_blocks(blocks.join(sets, "v"), block_links), "a", "b"), "far-paragraphs")
+        more = settle(ordered(in_blocks(with_sets(blocks), block_links), "a", "b"), "far-paragraphs")
         if more.limit(1).count():
             labels = extended(labels, verified(more, texts, SHINGLE).where("linked"))
         unsettle(blocks, more)
-    unsettle(texts, pairs, long)
+    unsettle(texts, pairs, long, large, wanted)
     return labels
 
 
@@ -252,12 +344,17 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, start, n_words, cluster_id, keeper_doc_id and removed of paragraphs that are in several documents."""
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     units = paragraphs(plain)
-    lists = shared_lists(band_keys(plain, units.count()))
+    lists = shared_lists(band_keys(units))
+    release(docs.sparkSession)
     listed = lists.select("v").distinct().withColumn("listed", F.lit(True))
     # Starts are those of the first document's; equal paragraphs have equal texts.
-    classes = units.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"))
-    classes = settle(classes.join(listed, "v", "left").where("listed OR first <> last"), "paragraph-classes")
-    labels = near_labels(lists, classes.where("listed").select("v", F.col("first").alias("doc_id"), "start"), plain)
+    grouped = units.groupBy("v").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "start")).alias("place"), F.max("doc_id").alias("last"), *[F.max(t).alias(t) for t in COLUMNS]
+    )
+    classes = settle(grouped.join(listed, "v", "left").where("listed OR first <> last"), "paragraph-classes")
+    classes = classes.select("*", F.col("place.start").alias("start"))
+    release(docs.sparkSession)
+    labels = near_labels(lists, classes.where("listed").select("v", F.col("first").alias("doc_id"), "start", *COLUMNS), plain)
     named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
     clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper <> end")
     named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper").alias("keeper_doc_id")), "paragraph-clusters")

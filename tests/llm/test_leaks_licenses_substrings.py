@@ -224,6 +224,28 @@ def test_removal_cuts_only_what_others_keep(spark):
         assert new[d].split() == [w for k, w in enumerate(t.split()) if k not in gone[d]]
 
 
+def test_small_hashes_exclude_no_alike_pair(monkeypatch):
+    """Few bits, so that hashes meet by chance, and words that repeat, so that shingles do."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(400):
+        w = [f"a{x}" for x in rng.integers(0, rng.choice([2, 3, 50]), 25)]
+        texts.append(" ".join(w).encode())
+        w[int(rng.integers(0, 3)) if k % 2 else 24] = "other"
+        texts.append(" ".join(w).encode())
+    exact = [set(zip(*(words(t)[i:] for i in range(5)))) for t in texts]
+    tiny = substrings.paragraphs_of(texts)[3].view(np.uint16).copy()
+    assert len(tiny) == len(texts) and [int(x) for x in tiny[:, 21]] == [len(s) for s in exact]
+    for bits in (16, 5):
+        few = tiny.copy()
+        few[:, :21] >>= 16 - bits
+        few[:, 22] = 1 + (few[:, 1:21] != few[:, :20]).sum(1)
+        i, j = np.triu_indices(len(texts), 1)
+        got = substrings.close(few.view(np.int64)[i], few.view(np.int64)[j])
+        want = np.array([100 * len(exact[a] & exact[b]) >= 80 * len(exact[a] | exact[b]) for a, b in zip(i, j)])
+        assert want.sum() > 100 and got[want].all() and (bits < 16 or (got & ~want).sum() < 0.01 * len(i))
+
+
 def test_no_paragraphs(spark, empty):
     assert substrings.repeated(empty).count() == 0
     assert substrings.tuned_bands(paragraphs=1, missed=0.001) == 7
