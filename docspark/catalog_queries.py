@@ -591,6 +591,29 @@ def shard_pruned_read(spark, sf_dir):
     return sharding.read_sharded(spark, path, BY_CUSTOMER, {"o_custkey": 8}).select("o_orderkey")
 
 
+@query("schemaless_collection", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE o_orderstatus END AS status FROM orders WHERE o_custkey % 3 <> 0")
+def schemaless_collection(spark, sf_dir):
+    """Documents whose field has a number here and a text there, updated and deleted."""
+    db = Database(spark, scratch(spark, "db"))
+    db.create_collection_space("t")
+    c = db.create_collection("t.orders", schemaless=True)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    c.insert(o.where("o_custkey % 2 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 3).alias("r")))
+    c.insert(o.where("o_custkey % 2 = 0").select("o_orderkey", F.col("o_custkey").alias("status"), (F.col("o_custkey") % 3).alias("r")))
+    with db.transaction() as t:
+        t.update("t.orders", {"status": {"$lt": ""}}, {"$set": {"status": "even"}})
+        t.delete("t.orders", {"r": 0})
+    kind = o.schema["o_orderkey"].dataType
+    return c.find().select(F.variant_get("doc", "$.o_orderkey", "bigint").cast(kind).alias("o_orderkey"), F.variant_get("doc", "$.status", "string").alias("status"))
+
+
+@query("listing_shards", "SELECT * FROM (VALUES ('t.nation', 'n_nationkey', 3, 'hash')) v(\"Collection\", \"ShardKey\", \"NumGroups\", \"ShardType\")")
+def listing_shards(spark, sf_dir):
+    db = _nations(spark, sf_dir)
+    db["t.nation"].enable_sharding("n_nationkey", 3)
+    return db.listing("shards")
+
+
 @query("shard_info", "SELECT true AS \"Sharded\", 'o_custkey' AS \"ShardKey\", 7 AS \"NumGroups\", 'hash' AS \"ShardType\"")
 def shard_info(spark, sf_dir):
     return sharding.shard_info(spark, BY_CUSTOMER)

@@ -6,9 +6,10 @@ any shape, and a field may have another type in each. All are lazy column expres
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.errors import InvalidArgument
@@ -85,6 +86,20 @@ def group_documents(df: DataFrame, by: str, sums: dict[str, object], doc: str =
     return grouped.select(F.parse_json(F.col("__key.json")).alias("_id"), *sums)
 
 
+def from_values(spark: SparkSession, docs: list[dict], doc: str = "doc") -> DataFrame:
+    """Documents given as values of Python. Those that JSON can say come as JSON, others as literals."""
+    texts, others = [], []
+    for d in docs:
+        try:
+            texts.append((json.dumps(d, allow_nan=False),))
+        except (TypeError, ValueError):
+            others.append(d)
+    out = spark.createDataFrame(texts, "j string").select(F.parse_json("j").alias(doc))
+    for d in others:
+        out = out.unionByName(spark.range(1).select(literal(d).alias(doc)))
+    return out
+
+
 def _with(known: Column, path: list[str], v: Column) -> Column:
     """Fields with v at a path. What is in the way and isn't a document is overwritten by one."""
     name, rest = path[0], path[1:]

@@ -17,8 +17,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +36,12 @@ from docspark.errors import (
 )
 from docspark.functions import values as V
 from docspark.functions.modifiers import apply_modifier
-from docspark.functions.predicates import compile_condition
+from docspark.functions.predicates import compile_condition, compile_variant_condition
+from docspark.operators import documents, monitor
 from docspark.operators import find as finding
-from docspark.operators import monitor
 from docspark.operators import pipeline as pipelines
 from docspark.operators.cursor import BATCH, Cursor
+from docspark.operators.sharding import ShardedTable, ShardSpec, shard_info
 from docspark.sources.storage import Storage
 from docspark.streaming import changelog
 
@@ -52,6 +54,10 @@ def split_name(full: str) -> tuple[str, str]:
     return space, name
 
 
+#: The column of a schemaless collection.
+DOC = "doc"
+
+
 class Database:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -85,14 +91,22 @@ class Database:
         self.storage.delete(self._space(space))
         self._publish({}, [self._entry("dropCS", space, {"name": space})])
 
-    def create_collection(self, full: str, schema: T.StructType | str | None = None) -> Collection:
+    def space(self, name: str) -> Space:
+        self._space(name)
+        return Space(self, name)
+
+    def create_collection(self, full: str, schema: T.StructType | str | None = None, schemaless: bool = False) -> Collection:
+        """A collection with a column a field, or, if ``schemaless``, of documents of any shape in a VARIANT column ``doc``."""
         space, name = split_name(full)
         path = f"{self._space(space)}/{name}"
         if self.storage.exists(f"{path}/_current.json"):
             raise CollectionExists(full)
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)
-        state = {"version": 0, "parts": [], "schema": (schema or T.StructType()).json(), "indexes": {}}
+        if schemaless and schema is not None:
+            raise InvalidArgument("a schemaless collection has no schema")
+        schema = T.StructType([T.StructField(DOC, T.VariantType())]) if schemaless else schema or T.StructType()
+        state = {"version": 0, "parts": [], "schema": schema.json(), "indexes": {}, "schemaless": schemaless}
         self._publish({path: state}, [self._entry("createCL", full, {"name": full})])
         return self[full]
 
@@ -107,6 +121,19 @@ class Database:
                 out += [f"{space}.{c}" for c in self.storage.list(f"{self.root}/{space}") if self.storage.exists(f"{self.root}/{space}/{c}/_current.json")]
         return out
 
+    def listing(self, kind: str) -> DataFrame:
+        """Kinds: collections, and shards and groups of sharded ones."""
+        if kind == "collections":
+            return self.spark.createDataFrame([(c,) for c in sorted(self.collections())], "Name string")
+        shards = [(c, self[c].shard_spec()) for c in sorted(self.collections())]
+        shards = [(c, spec) for c, spec in shards if spec]
+        if kind == "shards":
+            return self.spark.createDataFrame([(c, x.key, x.groups, x.kind) for c, x in shards], "Collection string, ShardKey string, NumGroups int, ShardType string")
+        if kind == "groups":
+            most = max((x.groups for _, x in shards), default=0)
+            return self.spark.range(1, most + 1).select(F.col("id").cast("int").alias("GroupId"))
+        raise InvalidArgument(f"unknown listing {kind}")
+
     def __getitem__(self, full: str) -> Collection:
         self._path(full)
         return Collection(self, full)
@@ -201,10 +228,30 @@ class Database:
         return monitor.snapshot(self.spark, kind, self.counters, self.collections())
 
 
+class Space:
+    """A collection space; collections by their own names."""
+
+    def __init__(self, db: Database, name: str):
+        self.db, self.name = db, name
+
+    def create_collection(self, name: str, schema: T.StructType | str | None = None, schemaless: bool = False) -> Collection:
+        return self.db.create_collection(f"{self.name}.{name}", schema, schemaless)
+
+    def drop_collection(self, name: str) -> None:
+        self.db.drop_collection(f"{self.name}.{name}")
+
+    def collections(self) -> list[str]:
+        return [c.partition(".")[2] for c in self.db.collections() if c.partition(".")[0] == self.name]
+
+    def __getitem__(self, name: str) -> Collection:
+        return self.db[f"{self.name}.{name}"]
+
+
 class Collection:
     def __init__(self, db: Database, full: str):
         self.db, self.full = db, full
         self.path = db._path(full)
+        self.schemaless = bool(self._state().get("schemaless"))
 
     def _state(self) -> dict:
         return self.db.storage.read_json(f"{self.path}/_current.json")
@@ -223,14 +270,24 @@ class Collection:
 
     def find(self, condition=None, selector=None, order_by=None, skip: int = 0, limit: int = -1) -> DataFrame:
         self.db.counters.add("queries")
+        if self.schemaless:
+            return documents.find_documents(self.df(), condition, selector, order_by, skip, limit, DOC)
         return finding.find(self.df(), condition, selector, order_by, skip, limit)
 
+    query = find
+
     def aggregate(self, stages: list[dict], extensions: bool = False, collections=None) -> DataFrame:
         self.db.counters.add("aggregates")
+        if self.schemaless:
+            if extensions:
+                raise InvalidArgument("pipelines of schemaless documents have no extensions")
+            return documents.aggregate_documents(self.df(), stages, DOC)
         return pipelines.aggregate(self.df(), stages, extensions, collections)
 
     def count(self, condition=None) -> int:
         self.db.counters.add("queries")
+        if self.schemaless:
+            return documents.find_documents(self.df(), condition, doc=DOC).count()
         return finding.matched(self.df(), condition).count()
 
     def cursor(self, condition=None, batch: int = BATCH, **more) -> Cursor:
@@ -240,7 +297,11 @@ class Collection:
 
     def _frame(self, docs) -> DataFrame:
         if isinstance(docs, DataFrame):
+            if self.schemaless and docs.columns != [DOC]:
+                return docs.select(F.to_variant_object(F.struct(*map(V.top, docs.columns))).alias(DOC))
             return docs
+        if self.schemaless:
+            return documents.from_values(self.db.spark, docs, DOC)
         names = dict.fromkeys(k for d in docs for k in d)
         known = {f.name: f.dataType for f in self._schema()}
         if not names or any(n not in known for n in names):
@@ -286,6 +347,8 @@ class Collection:
         self._write(lambda d: d.delete(condition))
 
     def _check_unique(self, name: str, keys: list[str], new: DataFrame, old: DataFrame | None = None) -> None:
+        if self.schemaless:
+            new, old = (None if x is None else x.select(*[V.group_key(documents.field(k, DOC)).alias(k) for k in keys]) for x in (new, old))
         if finding.unique_violations(new, keys).limit(1).count():
             raise DuplicateKey(name)
         if old is not None and all(k in old.columns for k in keys):
@@ -293,6 +356,41 @@ class Collection:
             if new.join(old, same, "left_semi").limit(1).count():
                 raise DuplicateKey(name)
 
+    # -- sharding: metadata of the collection, and its documents laid out by group
+
+    def enable_sharding(self, key: str, groups: int, kind: str = "hash") -> None:
+        """Says how documents are dealt to groups from now on; ``sharded`` lays them out."""
+        if groups < 1 or kind not in ("hash", "range"):
+            raise InvalidArgument("sharding needs groups and a kind, hash or range")
+        self._set_shard(ShardSpec(key, groups, kind))
+
+    def add_range(self, group: int, low=None, up=None) -> None:
+        spec = self.shard_spec()
+        if spec is None or spec.kind != "range":
+            raise InvalidArgument("only range sharding has ranges")
+        spec.add_range(group, low, up)
+        self._set_shard(spec)
+
+    def _set_shard(self, spec: ShardSpec) -> None:
+        state = self._state()
+        self.db._publish({self.path: state | {"shard": asdict(spec), "version": state["version"] + 1}}, [self.db._entry("shard", self.full, asdict(spec))])
+
+    def shard_spec(self) -> ShardSpec | None:
+        found = self._state().get("shard")
+        return ShardSpec(**found) if found else None
+
+    def shard_info(self) -> DataFrame:
+        return shard_info(self.db.spark, self.shard_spec())
+
+    def sharded(self) -> ShardedTable:
+        """The documents that the collection has now, laid out by group, to be split and balanced."""
+        spec, rows = self.shard_spec(), self.df()
+        if spec is None or self.schemaless:
+            raise InvalidArgument(f"{self.full} has no shard key")
+        out = ShardedTable.create(self.db.spark, f"{self.path}/shards-{uuid.uuid4().hex}", spec, rows.schema)
+        out.insert(rows)
+        return out
+
     # -- indexes: metadata, and uniqueness
 
     def indexes(self) -> dict[str, dict]:
@@ -360,23 +458,31 @@ class _Draft:
         else:
             self.state = self.state | {"parts": [*self.state["parts"], part], "schema": both.schema.json()}
             self.df = self.of._read(self.state)
-        self._log("insert", "I", written, doc=F.struct("*"))
+        self._log("insert", "I", written, doc=self._document())
         self.of.db.counters.add("inserts")
 
+    def _document(self, df: DataFrame | None = None) -> Column:
+        return F.col(DOC) if self.of.schemaless else F.struct("*") if df is None else F.struct(*map(V.top, df.columns))
+
+    def _hit(self, condition) -> Column:
+        if self.of.schemaless:
+            return F.coalesce(compile_variant_condition(condition, DOC), F.lit(False)) if condition else F.lit(True)
+        return F.coalesce(compile_condition(condition or {}, self.df.schema), F.lit(False))
+
     def update(self, condition, modifier: dict) -> None:
-        hit = compile_condition(condition or {}, self.df.schema)
-        old = F.when(hit, F.struct(*map(V.top, self.df.columns)))
-        after = apply_modifier(self.df.withColumn("__old", old), modifier, hit)
+        hit = self._hit(condition)
+        rows = self.df.withColumn("__old", F.when(hit, self._document(self.df)))
+        after = documents.modify_documents(rows, modifier, condition, DOC) if self.of.schemaless else apply_modifier(rows, modifier, hit)
         new = after.drop("__old")
         for name, keys in self._unique():
             self.of._check_unique(name, keys, new)
-        self._log("update", "U", after.where(F.col("__old").isNotNull()), old=F.col("__old"), new=F.struct(*map(V.top, new.columns)))
+        self._log("update", "U", after.where(F.col("__old").isNotNull()), old=F.col("__old"), new=self._document(new))
         self.df, self.rewritten = new, True
         self.of.db.counters.add("updates")
 
     def delete(self, condition=None) -> None:
-        hit = F.coalesce(compile_condition(condition or {}, self.df.schema), F.lit(False))
-        self._log("delete", "D", self.df.where(hit), doc=F.struct("*"))
+        hit = self._hit(condition)
+        self._log("delete", "D", self.df.where(hit), doc=self._document())
         self.df, self.rewritten = self.df.where(~hit), True
         self.of.db.counters.add("deletes")
 

@@ -24,7 +24,7 @@ SCHEMA = T.StructType(
 )
 
 #: Names of operations.
-OPS = ("insert", "update", "delete", "txnBegin", "txnCommit", "txnAbort", "createCL", "dropCL", "createIndex", "dropIndex", "createCS", "dropCS")
+OPS = ("insert", "update", "delete", "txnBegin", "txnCommit", "txnAbort", "createCL", "dropCL", "createIndex", "dropIndex", "createCS", "dropCS", "shard")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +51,11 @@ def latest(log: DataFrame, key: str = "key") -> DataFrame:
     return last.select("__last.*").where("op <> 'delete'")
 
 
-def replay(log: DataFrame, schema: T.StructType, collection: str, keys: list[str]) -> DataFrame:
+def replay(log: DataFrame, schema: T.StructType | None, collection: str, keys: list[str]) -> DataFrame:
     """The documents of a collection, folded by key from what was written since it was created last.
 
+    Without a schema they are VARIANT values in the column ``doc``; their dates and binary values are texts, as in the log.
+
     An update that changes a key takes away the document with the old one. Within a statement, such removals come
     before what it writes, so keys may be swapped. Writes of aborted transactions never reach the log.
     """
@@ -63,17 +65,21 @@ def replay(log: DataFrame, schema: T.StructType, collection: str, keys: list[str
     rows = log.where(mine & F.col("op").isin("insert", "update", "delete")).join(born, F.col("lsn") > F.col("__born"))
 
     def document(name: str) -> Column:
-        return F.from_json(F.get_json_object("data", f"$.{name}"), schema)
+        text = F.get_json_object("data", f"$.{name}")
+        return F.parse_json(text) if schema is None else F.from_json(text, schema)
+
+    def part(d: str, k: str) -> Column:
+        return F.variant_get(F.col(d), "$" + V.variant_step(k), "string") if schema is None else F.col(f"{d}.{V.quoted(k)}")
 
     after = F.when(F.col("op") == "update", document("new")).otherwise(document("doc"))
     statement = F.coalesce(F.get_json_object("data", "$.s"), F.lpad(F.col("lsn").cast("string"), 19, "0"))
     rows = rows.select("op", after.alias("doc"), F.when(F.col("op") == "update", document("old")).alias("old"), statement.alias("s"), "lsn")
-    key, was = (F.struct(*[F.col(f"{d}.{V.quoted(k)}").alias(f"k{i}") for i, k in enumerate(keys)]) for d in ("doc", "old"))
+    key, was = (F.struct(*[part(d, k).alias(f"k{i}") for i, k in enumerate(keys)]) for d in ("doc", "old"))
     end = F.struct(key.alias("key"), F.struct(F.col("s"), (F.col("op") != "delete").alias("there"), F.col("lsn")).alias("at"), F.when(F.col("op") != "delete", F.col("doc")).alias("doc"))
-    gone = F.struct(was.alias("key"), F.struct(F.col("s"), F.lit(False).alias("there"), F.col("lsn")).alias("at"), F.lit(None).cast(schema).alias("doc"))
+    gone = F.struct(was.alias("key"), F.struct(F.col("s"), F.lit(False).alias("there"), F.col("lsn")).alias("at"), F.lit(None).cast(schema or "variant").alias("doc"))
     events = rows.select(F.inline(F.when((F.col("op") == "update") & ~key.eqNullSafe(was), F.array(gone, end)).otherwise(F.array(end))))
     last = events.groupBy("key").agg(F.max_by("doc", "at").alias("doc"), F.max("at").alias("at"))
-    return last.where("at.there").select("doc.*")
+    return last.where("at.there").select("doc" if schema is None else "doc.*")
 
 
 def replay_stream(stream: DataFrame, checkpoint: str, apply) -> object:

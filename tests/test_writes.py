@@ -230,3 +230,51 @@ def test_snapshots(db):
     assert db.snapshot("sessions").count() == 1
     with pytest.raises(InvalidArgument):
         db.snapshot("weather")
+
+
+def test_schemaless_collections(spark, db):
+    import datetime
+    import json
+
+    c = db.space("cs").create_collection("t", schemaless=True)
+    c.create_index("i", {"i": 1}, unique=True)
+    c.insert({"i": 1, "x": 1})
+    c.insert([{"i": 2, "x": "s"}, {"i": 3, "x": {"y": [1, None]}}, {"i": 4, "at": datetime.datetime(2024, 1, 2), "raw": b"\x01"}])
+    c.insert(spark.createDataFrame([(5, 2.5)], "i int, x double"))
+    with pytest.raises(DuplicateKey):
+        c.insert({"i": 2})
+    with db.transaction() as t:
+        t.update("cs.t", {"x": {"$gte": 1}, "i": {"$lt": 5}}, {"$set": {"z.a": "new"}})
+        t.delete("cs.t", {"x": "s"})
+        t.insert("cs.t", {"i": "text"})
+    shown = lambda df: sorted((json.loads(r.j) for r in df.select(F.to_json("doc").alias("j")).collect()), key=lambda d: str(d["i"]))
+    want = [{"i": 1, "x": 1, "z": {"a": "new"}}, {"i": 3, "x": {"y": [1, None]}, "z": {"a": "new"}}, {"i": 5, "x": 2.5}, {"i": "text"}]
+    got = shown(db["cs.t"].query())
+    assert [d for d in got if d["i"] != 4] == want and c.count({"at": {"$gt": datetime.datetime(2024, 1, 1)}}) == 1 and c.count({"raw": b"\x01"}) == 1
+    assert shown(c.aggregate([{"$match": {"z": {"$exists": True}}}, {"$project": {"i": 1}}])) == [{"i": 1}, {"i": 3}]
+    state = shown(changelog.replay(db.changes(), None, "cs.t", ["i"]))
+    assert [d for d in state if d["i"] != 4] == want and len(state) == 5
+    assert [d["i"] for d in shown(db["cs.t"].find({"x": 2.5}, ["i"]))] == [5] and db.space("cs").collections() == ["t"]
+    with pytest.raises(InvalidArgument):
+        db.create_collection("cs.u", "x int", schemaless=True)
+
+
+def test_sharded_collections_and_listings(db):
+    c = db.create_collection("cs.t")
+    c.insert([{"k": i, "v": str(i)} for i in range(40)])
+    assert c.shard_info().first().Sharded is False and db.listing("shards").count() == 0
+    c.enable_sharding("k", 4)
+    assert tuple(c.shard_info().first()) == (True, "k", 4, "hash") and c.count() == 40
+    t = c.sharded()
+    assert [r.doc_count for r in t.chunks().orderBy("group_id").collect()] == [10, 10, 10, 10] and t.df({"k": 5}).first().v == "5"
+    r = db.create_collection("cs.r", "w int")
+    r.enable_sharding("w", 2, "range")
+    r.add_range(2, low=10)
+    assert r.shard_spec().group_of(11) == 2 and r.shard_spec().group_of(3) == 1
+    assert [tuple(x) for x in db.listing("shards").collect()] == [("cs.r", "w", 2, "range"), ("cs.t", "k", 4, "hash")]
+    assert [x.GroupId for x in db.listing("groups").collect()] == [1, 2, 3, 4] and db.listing("collections").count() == 2
+    for bad in (lambda: c.add_range(1), lambda: c.enable_sharding("k", 0), lambda: db.listing("nodes"), lambda: db.create_collection("cs.n").sharded()):
+        with pytest.raises(InvalidArgument):
+            bad()
+    with pytest.raises(SpaceNotFound):
+        db.space("none")
