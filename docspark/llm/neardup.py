@@ -107,17 +107,20 @@ def inverted_lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = classes.select("q", "v", "n", F.size("sketch").alias("m"))
     few = F.greatest(F.lit(0), posted_values(F.col("n"), F.col("m")) - (F.col("m") - F.size("shared")))
     own = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))).cast("int")
-    posted = known.join(sized, "q").select("v", "n", own.alias("own"), F.explode(F.transform(F.slice("shared", F.lit(1), few), lambda x: x["value"])).alias("value"))
+    posted = known.join(sized, "q").select("v", own.alias("own"), F.explode(F.transform(F.slice("shared", F.lit(1), few), lambda x: x["value"])).alias("value"))
     posted = settle(posted, "posted")
-    placed = posted.select("v", "n", "value", F.inline(F.array(F.struct(F.col("own").alias("bucket"), F.lit(1).alias("here")), F.struct((F.col("own") + 1).alias("bucket"), F.lit(0).alias("here")))))
+    # Rows of the first shuffle are narrow numbers, as most are alone in their list.
+    placed = posted.select("v", "value", F.inline(F.array(F.struct(F.col("own").alias("bucket"), F.lit(1).alias("here")), F.struct((F.col("own") + 1).alias("bucket"), F.lit(0).alias("here")))))
     of_list = placed.groupBy("value", "bucket").agg(
-        F.count(F.lit(1)).alias("c"), F.max("here").alias("here"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min(F.struct("v", "n")).alias("a"), F.max(F.struct("v", "n")).alias("b")
+        F.count(F.lit(1)).alias("c"), F.max("here").alias("here"), F.bit_xor(F.xxhash64("v")).alias("x"), F.min("v").alias("a"), F.max("v").alias("b")
     )
-    lists = settle(of_list.where("c > 1 AND here = 1 AND a.v <> b.v").drop("here"), "inverted-lists")
-    fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * PERCENT
-    twos = settle(lists.where("c = 2").where(fits).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), "list-pairs")
-    long = lists.where("c > 2").select("value", "bucket", F.xxhash64("c", "x", "a.v", "b.v").alias("key"), "c")
-    many = settle(placed.join(long, ["value", "bucket"]).select("key", "v", "c").distinct(), "lists")
+    lists = settle(of_list.where("c > 1 AND here = 1 AND a <> b").drop("here"), "inverted-lists")
+    size = classes.select("v", "n")
+    twos = lists.where("c = 2").select("a", "b").distinct().join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    twos = settle(twos.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b").distinct(), "list-pairs")
+    long = lists.where("c > 2").select("value", "bucket", F.xxhash64("c", "x", "a", "b").alias("key"), "c")
+    many = posted.join(long, "value").where((F.col("bucket") == F.col("own")) | (F.col("bucket") == F.col("own") + 1))
+    many = settle(many.select("key", "v", "c").distinct(), "lists")
     unsettle(counts, posted, lists)
     return twos, many
 
@@ -132,8 +135,8 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the estimate doesn't exclude."""
-    side = classes.select("v", "sketch")
+    """Pairs (a, b) that the estimate doesn't exclude. The leading 31 bits of the values do, and keep their order."""
+    side = classes.select("v", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
     out = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
     return out.where(estimate(F.col("sa"), F.col("sb")) >= LEAST).select("a", "b").distinct()
 
