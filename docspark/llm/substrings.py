@@ -51,7 +51,10 @@ ROWS, LIKE, PARAGRAPHS, MISSED = 3, 0.8, 1, 0.001
 BUCKETS, FULL, READY = 1024, 1 << 18, 1 << 18
 #: Bits of a small hash, small hashes in a number of 64 bits, and numbers a paragraph: its hashes, and behind them how many
 #: distinct shingles and how many distinct small hashes it has.
-TINY, EACH, NUMBERS = 16, 4, 6
+TINY, EACH, NUMBERS = 12, 5, 5
+PLACE = np.arange(EACH, dtype=np.int64) * TINY
+#: Rounds in which bands are dealt out, so that their keys aren't on disk all at once.
+ROUNDS = 2
 COLUMNS = [f"t{k}" for k in range(NUMBERS)]
 #: Classes of a list that is compared on small hashes, and pairs compared at once.
 FEW, AT_ONCE = 8, 50_000
@@ -94,23 +97,33 @@ def paragraphs_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     start = np.concatenate(at)
     here = start + first[owner]
     inside = np.sort(five[here[:, None] + np.arange(SPAN - SHINGLE + 1)], axis=1)
-    tiny = np.zeros((len(here), NUMBERS * EACH), np.uint16)
+    tiny = np.zeros((len(here), NUMBERS * EACH), np.int64)
     n = inside.shape[1]
     tiny[:, :n] = inside >> np.uint64(63 - TINY)  # in order, too
     tiny[:, n] = 1 + (inside[:, 1:] != inside[:, :-1]).sum(1)
     tiny[:, n + 1] = 1 + (tiny[:, 1:n] != tiny[:, : n - 1]).sum(1)
-    return owner, start, spelled(w, here, SPAN), tiny.view(np.int64)
+    return owner, start, spelled(w, here, SPAN), joined(tiny)
 
 
-def band_keys_of(tiny: np.ndarray, bands: int) -> np.ndarray:
-    """Band keys of paragraphs by their small hashes."""
-    hashes = tiny.view(np.uint16)[:, : SPAN - SHINGLE + 1].astype(np.uint64) + np.uint64(1)
-    keys = np.empty((len(tiny), bands), np.uint64)
-    for b in range(bands):
+def joined(tiny: np.ndarray) -> np.ndarray:
+    """NUMBERS numbers of 64 bits a row, of EACH small ones each."""
+    return (tiny.reshape(len(tiny), NUMBERS, EACH) << PLACE).sum(2)
+
+
+def parted(numbers: np.ndarray) -> np.ndarray:
+    """The small ones again."""
+    return ((numbers[:, :, None] >> PLACE) & ((1 << TINY) - 1)).reshape(len(numbers), NUMBERS * EACH)
+
+
+def band_keys_of(tiny: np.ndarray, bands: range) -> np.ndarray:
+    """Keys of these bands of paragraphs, by their small hashes."""
+    hashes = parted(tiny)[:, : SPAN - SHINGLE + 1].astype(np.uint64) + np.uint64(1)
+    keys = np.empty((len(tiny), len(bands)), np.uint64)
+    for at, b in enumerate(bands):
         key = np.full(len(tiny), b, np.uint64)
         for r in range(ROWS):
             key = mixed(key * FACTORS[31] + mixed(hashes * FACTORS[b * ROWS + r]).min(1))
-        keys[:, b] = key
+        keys[:, at] = key
     return keys
 
 
@@ -150,17 +163,15 @@ def tiny_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.stack([batch.column(first + k).to_numpy() for k in range(NUMBERS)], axis=1)
 
 
-def band_keys(units: DataFrame) -> DataFrame:
+def band_keys(units: DataFrame, bands: range, buckets: int) -> DataFrame:
     """Rows bucket, packed of paragraphs."""
-    bands = tuned_bands(rows=ROWS)
-    buckets = buckets_for(units.count(), bands)
 
     def build(batches):
         held_v, held_keys = [], []
         for b in pieces(batches, 10_000):
             held_v.append(b.column(0).to_numpy())
             held_keys.append(band_keys_of(tiny_of(b, 1), bands))
-            if sum(map(len, held_v)) * bands > READY:
+            if sum(map(len, held_v)) * len(bands) > READY:
                 yield packed(held_v, held_keys, buckets)
                 held_v, held_keys = [], []
         if held_v:
@@ -169,6 +180,18 @@ def band_keys(units: DataFrame) -> DataFrame:
     return units.select("v", *COLUMNS).mapInArrow(build, "bucket long, packed binary")
 
 
+def all_lists(units: DataFrame) -> DataFrame:
+    """``shared_lists`` of all bands, in ROUNDS. Settled."""
+    bands, found = tuned_bands(rows=ROWS), None
+    step = -(-bands // ROUNDS)
+    buckets = buckets_for(units.count(), step)
+    for first in range(0, bands, step):
+        lists = shared_lists(band_keys(units, range(first, min(first + step, bands)), buckets))
+        found = lists if found is None else found.unionByName(lists)
+        release(units.sparkSession)
+    return settle(found.distinct(), "all-lists")
+
+
 def shared_lists(keys: DataFrame) -> DataFrame:
     """(key, v, c) of the classes that have a band key with others; c: how many. Lists of the same members are one. Settled."""
 
@@ -217,7 +240,7 @@ def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n = SPAN - SHINGLE + 1
     out = np.zeros(len(a), bool)
     for first in range(0, len(a), AT_ONCE):
-        x, y = (z[first : first + AT_ONCE].view(np.uint16).astype(np.int32) for z in (a, b))
+        x, y = (parted(z[first : first + AT_ONCE]).astype(np.int32) for z in (a, b))
         both = np.empty((len(x), 2 * n), np.int32)
         for z, part, other in ((x, both[:, :n], -1), (y, both[:, n:], -1 - n)):
             part[:] = z[:, :n]
@@ -344,15 +367,15 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, start, n_words, cluster_id, keeper_doc_id and removed of paragraphs that are in several documents."""
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     units = paragraphs(plain)
-    lists = shared_lists(band_keys(units))
-    release(docs.sparkSession)
+    lists = all_lists(units)
     listed = lists.select("v").distinct().withColumn("listed", F.lit(True))
-    # Starts are those of the first document's; equal paragraphs have equal texts.
+    # Starts are some of the first document's; equal paragraphs have equal texts. Numbers alone, so that Spark can aggregate by hash.
     grouped = units.groupBy("v").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "start")).alias("place"), F.max("doc_id").alias("last"), *[F.max(t).alias(t) for t in COLUMNS]
+        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"), *[F.max(t).alias(t) for t in COLUMNS]
     )
     classes = settle(grouped.join(listed, "v", "left").where("listed OR first <> last"), "paragraph-classes")
-    classes = classes.select("*", F.col("place.start").alias("start"))
+    wide, units = units, settle(units.select("doc_id", "start", "v"), "places")
+    unsettle(wide)
     release(docs.sparkSession)
     labels = near_labels(lists, classes.where("listed").select("v", F.col("first").alias("doc_id"), "start", *COLUMNS), plain)
     named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
