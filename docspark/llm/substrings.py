@@ -14,14 +14,17 @@ packed with their class, so that a row of Spark holds those of a bucket; lists o
 members are compared once. Paragraphs of different documents that share a band collide.
 Equal ones are one class.
 
-In lists of up to ``FEW`` classes, all pairs are compared at once on the small hashes. Hashes
-that meet by chance can only add to what two sets share, and what a set loses by two of its
-own that meet is allowed for; so no pair at 0.8 is lost. Those left are verified on the
-words. Members of longer lists are compared on full sets in bounded blocks inside
-tasks, all pairs of a block; of those with a Jaccard similarity of 0.8 as many as hold the
-block's components together are verified on the words. Links make components. In lists of
-several blocks, members outside the largest component are then compared with all others
-of the list, in pairs of blocks; so no list holds linked members of different
+With its key a class brings 64 bits: for each place, whether an odd number of its distinct
+small hashes falls on it. A shingle that only one of two sets has changes at most one bit, and sets
+at 0.8 have at most ``DIFFER`` = 4 such shingles between them; so pairs that differ in more
+bits are left out where the key's list is met, and no pair at 0.8 is lost. Pairs left are
+verified on the words. Lists with over ``MANY`` such pairs a member go on as lists, of the
+members that have one (of all, beyond ``LONGEST`` members). Their members are compared on
+full sets in bounded blocks inside tasks, all pairs of a block; of those with a Jaccard
+similarity of 0.8 as many as hold the block's components together are verified on the
+words. Links make components. In lists of several blocks, members outside the largest
+component are then compared with all others of the list, in pairs of blocks; so no list
+holds linked members of different
 components. In each component, paragraphs of the document that has the first one stay,
 and those of other documents are removed.
 
@@ -34,6 +37,8 @@ hashes. Words are as in near-duplicates: A-Z in lower case, split at white space
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,13 +59,19 @@ BUCKETS, FULL, READY = 1024, 1 << 18, 1 << 18
 TINY, EACH, NUMBERS = 12, 5, 5
 PLACE = np.arange(EACH, dtype=np.int64) * TINY
 #: Rounds in which bands are dealt out, so that their keys aren't on disk all at once.
-ROUNDS = 2
+ROUNDS = 5
 COLUMNS = [f"t{k}" for k in range(NUMBERS)]
-#: Classes of a list that is compared on small hashes, and pairs compared at once.
-FEW, AT_ONCE = 8, 50_000
-PAIR = np.dtype([("k", "<u4"), ("v", "<i8")])
+#: Classes of a list whose pairs are always sent, pairs a member that longer ones may send, classes of a list up to which
+#: members are compared in the bucket, and pairs compared at once.
+FEW, MANY, LONGEST, AT_ONCE = 32, 16, 1 << 14, 50_000
+#: What a band key brings of a paragraph: the key's low half, ``distinct_bits``, and its class.
+ENTRY = np.dtype([("k", "<u4"), ("s", "<u8"), ("v", "<i8")])
+#: Two sets of a paragraph's shingles at PERCENT: so many are at most in one only.
+DIFFER = 2 * (SPAN - SHINGLE + 1) * (100 - PERCENT) // (100 + PERCENT)
 #: Odd multipliers that make four and more hash functions of one.
 FACTORS = np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+#: A hash function a row: the ranks that it gives the small hashes.
+RANKS = [np.argsort(np.argsort(mixed(np.arange(1, (1 << TINY) + 1, dtype=np.uint64) * f))).astype(np.uint16) for f in FACTORS[:30]]
 
 
 def tuned_bands(like: float = LIKE, rows: int = 2, paragraphs: int = PARAGRAPHS, missed: float = MISSED) -> int:
@@ -115,14 +126,23 @@ def parted(numbers: np.ndarray) -> np.ndarray:
     return ((numbers[:, :, None] >> PLACE) & ((1 << TINY) - 1)).reshape(len(numbers), NUMBERS * EACH)
 
 
-def band_keys_of(tiny: np.ndarray, bands: range) -> np.ndarray:
-    """Keys of these bands of paragraphs, by their small hashes."""
-    hashes = parted(tiny)[:, : SPAN - SHINGLE + 1].astype(np.uint64) + np.uint64(1)
-    keys = np.empty((len(tiny), len(bands)), np.uint64)
+def distinct_bits(small: np.ndarray) -> np.ndarray:
+    """64 bits of each paragraph: which places of 64 an odd number of its distinct small hashes falls on. small: a column a paragraph, in order.
+
+    A hash that only one of two paragraphs has changes one bit, so paragraphs at PERCENT differ in at most DIFFER bits.
+    """
+    bits = np.uint64(1) << (small & np.uint16(63)).astype(np.uint64)
+    bits[1:][small[1:] == small[:-1]] = 0
+    return np.bitwise_xor.reduce(bits, axis=0)
+
+
+def band_keys_of(small: np.ndarray, bands: range) -> np.ndarray:
+    """Keys of these bands of paragraphs. small: their small hashes, a column a paragraph."""
+    keys = np.empty((small.shape[1], len(bands)), np.uint64)
     for at, b in enumerate(bands):
-        key = np.full(len(tiny), b, np.uint64)
+        key = np.full(small.shape[1], b, np.uint64)
         for r in range(ROWS):
-            key = mixed(key * FACTORS[31] + mixed(hashes * FACTORS[b * ROWS + r]).min(1))
+            key = mixed(key * FACTORS[31] + RANKS[b * ROWS + r].take(small).min(0))
         keys[:, at] = key
     return keys
 
@@ -131,18 +151,19 @@ def buckets_for(paragraphs: int, bands: int) -> int:
     return max(BUCKETS, 1 << (paragraphs * bands // FULL).bit_length())
 
 
-def packed(v: list, keys: list, buckets: int = BUCKETS) -> pa.RecordBatch:
-    """Rows bucket, packed: the distinct (low half of a band key, v) of each bucket as bytes."""
+def packed(v: list, bits: list, keys: list, buckets: int = BUCKETS) -> pa.RecordBatch:
+    """Rows bucket, packed: the distinct (low half of a band key, bits, v) of each bucket as bytes."""
     v, once = np.unique(np.concatenate(v), return_index=True)
-    keys = np.concatenate(keys)[once]
+    keys, bits = np.concatenate(keys)[once], np.concatenate(bits)[once]
     bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
     order = np.argsort(bucket.ravel(), kind="stable")
-    pairs = np.empty(len(order), PAIR)
-    pairs["k"] = keys.ravel()[order].astype(np.uint32)
-    pairs["v"] = np.repeat(v, keys.shape[1])[order]
+    entries = np.empty(len(order), ENTRY)
+    entries["k"] = keys.ravel()[order].astype(np.uint32)
+    owner = order // keys.shape[1]
+    entries["s"], entries["v"] = bits[owner], v[owner]
     some, at = np.unique(bucket.ravel()[order], return_index=True)
     ends = [*at[1:], len(order)]
-    data = pa.array([pairs[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
+    data = pa.array([entries[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), data], ["bucket", "packed"])
 
 
@@ -167,72 +188,119 @@ def band_keys(units: DataFrame, bands: range, buckets: int) -> DataFrame:
     """Rows bucket, packed of paragraphs."""
 
     def build(batches):
-        held_v, held_keys = [], []
+        held: list = [[], [], []]
         for b in pieces(batches, 10_000):
-            held_v.append(b.column(0).to_numpy())
-            held_keys.append(band_keys_of(tiny_of(b, 1), bands))
-            if sum(map(len, held_v)) * len(bands) > READY:
-                yield packed(held_v, held_keys, buckets)
-                held_v, held_keys = [], []
-        if held_v:
-            yield packed(held_v, held_keys, buckets)
+            small = np.ascontiguousarray(parted(tiny_of(b, 1))[:, : SPAN - SHINGLE + 1].T.astype(np.uint16))
+            for part, x in zip(held, (b.column(0).to_numpy(), distinct_bits(small), band_keys_of(small, bands))):
+                part.append(x)
+            if sum(map(len, held[0])) * len(bands) > READY:
+                yield packed(*held, buckets)
+                held = [[], [], []]
+        if held[0]:
+            yield packed(*held, buckets)
 
     return units.select("v", *COLUMNS).mapInArrow(build, "bucket long, packed binary")
 
 
-def all_lists(units: DataFrame) -> DataFrame:
-    """``shared_lists`` of all bands, in ROUNDS. Settled."""
-    bands, found = tuned_bands(rows=ROWS), None
+def all_found(units: DataFrame) -> DataFrame:
+    """``found_in`` the keys of all bands, in ROUNDS. Settled."""
+    bands, parts = tuned_bands(rows=ROWS), []
     step = -(-bands // ROUNDS)
     buckets = buckets_for(units.count(), step)
     for first in range(0, bands, step):
-        lists = shared_lists(band_keys(units, range(first, min(first + step, bands)), buckets))
-        found = lists if found is None else found.unionByName(lists)
+        parts.append(found_in(band_keys(units, range(first, min(first + step, bands)), buckets)))
         release(units.sparkSession)
-    return settle(found.distinct(), "all-lists")
-
-
-def shared_lists(keys: DataFrame) -> DataFrame:
-    """(key, v, c) of the classes that have a band key with others; c: how many. Lists of the same members are one. Settled."""
-
-    def lists_of(parts: list[bytes]) -> pa.RecordBatch | None:
-        pairs = np.frombuffer(b"".join(parts), PAIR)
-        k, v = pairs["k"], pairs["v"]
-        order = np.argsort(k, kind="stable")
-        k, v = k[order], v[order]
-        again = np.zeros(len(k), bool)
-        again[1:] = k[1:] == k[:-1]
-        again[:-1] |= again[1:]
-        k, v = k[again], v[again]
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-        k, v = k[new], v[new]
-        if not len(k):
-            return None
-        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        count = np.diff([*at, len(k)])
-        key = mixed(np.add.reduceat(mixed(v.view(np.uint64) * FACTORS[30]), at) + count.astype(np.uint64)).view(np.int64)
-        several = np.repeat(count > 1, count)
-        columns = np.repeat(key, count)[several], v[several], np.repeat(count, count)[several]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "v", "c"])
+    found = settle(reduce(DataFrame.unionByName, parts).distinct(), "found")
+    unsettle(*parts)
+    return found
+
+
+def alike(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list's bits: the pairs (i, j) that they don't exclude, none if these are over MANY a member; and which members have one."""
+    n, total = len(s), 0
+    some = np.zeros(n, bool)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, 20 * AT_ONCE // n)
+    for first in range(0, n, step):
+        near = np.bitwise_count(s[first : first + step, None] ^ s[None, first:]) <= DIFFER
+        i, j = np.nonzero(np.triu(near, 1))
+        some[i + first] = some[j + first] = True
+        total += len(i)
+        if total > MANY * n:
+            left, right = left[:1], right[:1]
+        else:
+            left.append(i + first)
+            right.append(j + first)
+    return np.concatenate(left), np.concatenate(right), some
+
+
+def compared(parts: list[bytes]) -> pa.RecordBatch | None:
+    """``found_in`` the entries of one bucket."""
+    entries = np.frombuffer(b"".join(parts), ENTRY)
+    k = entries["k"]
+    order = np.argsort(k, kind="stable")
+    again = np.zeros(len(k), bool)
+    again[1:] = k[order][1:] == k[order][:-1]
+    again[:-1] |= again[1:]
+    entries = entries[order[again]]
+    entries = entries[np.lexsort((entries["v"], entries["k"]))]
+    k, s, v = (np.ascontiguousarray(entries[c]) for c in "ksv")
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+    k, s, v = k[new], s[new], v[new]
+    if not len(k):
+        return None
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    count = np.diff([*at, len(k)])
+    left, right, out = [], [], []
+    behind = np.repeat(at + count, count) - 1 - np.arange(len(k))
+    i, apart = np.flatnonzero((behind > 0) & np.repeat(count <= FEW, count)), 1
+    while len(i):
+        near = i[np.bitwise_count(s[i] ^ s[i + apart]) <= DIFFER]
+        left.append(near)
+        right.append(near + apart)
+        i = i[behind[i] > apart]
+        apart += 1
+    for first, n in zip(at[count > FEW].tolist(), count[count > FEW].tolist()):
+        members = v[first : first + n]
+        if n <= LONGEST:
+            i, j, some = alike(s[first : first + n])
+            if len(i):
+                left.append(i + first)
+                right.append(j + first)
+                continue
+            members = members[some]
+        if n := len(members):
+            key = mixed(mixed(members.view(np.uint64) * FACTORS[30]).sum(dtype=np.uint64)[None] + np.uint64(n)).view(np.int64)
+            out.append((np.repeat(key, n), members, np.full(n, n)))
+    if left:
+        a, b = v[np.concatenate(left)], v[np.concatenate(right)]
+        out.append((np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["key", "v", "c"]) if out else None
+
+
+def found_in(keys: DataFrame) -> DataFrame:
+    """Of the classes that have a band key with others, rows key, v, c: pairs that their bits don't exclude as (a, b, 0), and lists
+    with too many of these as (key, member, how many members). Settled.
+
+    Members of a list that are in no such pair are left out. Lists of the same members are one.
+    """
 
     def run(batches):
         held, at = [], None
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held and bucket != at:
-                    if (out := lists_of(held)) is not None:
+                    if (out := compared(held)) is not None:
                         yield out
                     held = []
                 at = bucket
                 held.append(data)
-        if held and (out := lists_of(held)) is not None:
+        if held and (out := compared(held)) is not None:
             yield out
 
     dealt = keys.repartition("bucket").sortWithinPartitions("bucket")
-    return settle(dealt.mapInArrow(run, "key long, v long, c long").distinct(), "lists")
+    return settle(dealt.mapInArrow(run, "key long, v long, c long").distinct(), "found-in-bands")
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,46 +323,6 @@ def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of members of lists (key, v) of up to FEW that small hashes don't exclude. classes: v, COLUMNS. Settled."""
-
-    def pairs_of(key: np.ndarray, v: np.ndarray, tiny: np.ndarray) -> pa.RecordBatch | None:
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff([*starts, len(key)])
-        left, right = [], []
-        for size in np.unique(sizes[sizes > 1]):
-            at = starts[sizes == size]
-            for i in range(size):
-                for j in range(i + 1, size):
-                    left.append(at + i)
-                    right.append(at + j)
-        if not left:
-            return None
-        i, j = np.concatenate(left), np.concatenate(right)
-        some = close(tiny[i], tiny[j])
-        a, b = v[i[some]], v[j[some]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), tiny_of(batch, 2)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # keys ascend, and the last list may go on
-            held = [x[cut:] for x in now]
-            if cut and (out := pairs_of(*(x[:cut] for x in now))) is not None:
-                yield out
-        if held is not None and (out := pairs_of(*held)) is not None:
-            yield out
-
-    rows = lists.where(F.col("c") <= FEW).join(classes.select("v", *COLUMNS), "v").select("key", "v", *COLUMNS)
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return settle(dealt.mapInArrow(run, "a long, b long").distinct(), "close-paragraphs")
-
-
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id: v, text) of paragraphs. wanted: v, doc_id, start; settled."""
     by_doc = settle(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "v")).alias("spans")), "wanted-paragraphs")
@@ -331,12 +359,11 @@ def across_blocks(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return left.unionByName(right.select("key", (F.col("k") * F.col("cm") + F.col("own")).alias("block"), F.lit(1).alias("side"), "v", "label"))
 
 
-def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(v, label) of classes that are alike, by ``components``. lists: (key, v, c), settled; classes: v, doc_id, start, COLUMNS; docs: doc_id, text (binary)."""
-    pairs = close_pairs(lists, classes)
-    large = settle(lists.where(F.col("c") > FEW), "large-lists")
-    wanted = settle(large.select("v").unionByName(pairs.select(F.col("a").alias("v"))).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "wanted")
-    texts = settle(_texts(docs, classes.select("v", "doc_id", "start").join(wanted, "v", "left_semi")), "paragraph-texts")
+def near_labels(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, label) of classes that are alike, by ``components``. found: of ``found_in``, settled; classes: v, doc_id, start of all in it; docs: doc_id, text (binary)."""
+    pairs = found.where("c = 0").select(F.col("key").alias("a"), F.col("v").alias("b"))
+    large = settle(found.where("c > 0"), "large-lists")
+    texts = settle(_texts(docs, classes), "paragraph-texts")
 
     def build(batches):
         for b in pieces(batches):
@@ -359,7 +386,7 @@ def near_labels(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
         if more.limit(1).count():
             labels = extended(labels, verified(more, texts, SHINGLE).where("linked"))
         unsettle(blocks, more)
-    unsettle(texts, pairs, long, large, wanted)
+    unsettle(texts, pairs, long, large)
     return labels
 
 
@@ -367,17 +394,19 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc_id, start, n_words, cluster_id, keeper_doc_id and removed of paragraphs that are in several documents."""
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     units = paragraphs(plain)
-    lists = all_lists(units)
-    listed = lists.select("v").distinct().withColumn("listed", F.lit(True))
-    # Starts are some of the first document's; equal paragraphs have equal texts. Numbers alone, so that Spark can aggregate by hash.
-    grouped = units.groupBy("v").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"), *[F.max(t).alias(t) for t in COLUMNS]
-    )
-    classes = settle(grouped.join(listed, "v", "left").where("listed OR first <> last"), "paragraph-classes")
+    found = all_found(units)
     wide, units = units, settle(units.select("doc_id", "start", "v"), "places")
     unsettle(wide)
     release(docs.sparkSession)
-    labels = near_labels(lists, classes.where("listed").select("v", F.col("first").alias("doc_id"), "start", *COLUMNS), plain)
+    listed = settle(found.select("v").unionByName(found.where("c = 0").select(F.col("key").alias("v"))).distinct(), "listed")
+    # Starts are some of the first document's; equal paragraphs have equal texts.
+    grouped = units.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("start"), F.max("doc_id").alias("last"))
+    classes = settle(grouped.join(listed.withColumn("listed", F.lit(True)), "v", "left").where("listed OR first <> last"), "paragraph-classes")
+    unsettle(listed)
+    release(docs.sparkSession)
+    labels = near_labels(found, classes.where("listed").select("v", F.col("first").alias("doc_id"), "start"), plain)
+    unsettle(found)
+    release(docs.sparkSession)
     named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
     clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper <> end")
     named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper").alias("keeper_doc_id")), "paragraph-clusters")

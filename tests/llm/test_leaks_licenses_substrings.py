@@ -247,6 +247,55 @@ def test_small_hashes_exclude_no_alike_pair(monkeypatch):
         assert want.sum() > 100 and got[want].all() and (bits < 12 or (got & ~want).sum() < 0.01 * len(i))
 
 
+def test_pairs_that_are_not_alike_stay_in_their_bucket(spark, monkeypatch):
+    """Pairs at 16/26 share bands mostly; no table of lists is made of them."""
+    rows = [(2 * p + k, " ".join(f"t{p}-{j}" if j != 12 else f"u{p}-{k}" for j in range(25))) for p in range(200) for k in (0, 1)]
+    made, settle = {}, substrings.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        made[name] = max(out.count(), made.get(name, 0))
+        return out
+
+    monkeypatch.setattr(substrings, "settle", counted)
+    assert substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert made.pop("paragraphs") == made.pop("places") == 400
+    assert max(made.values()) < 60, made
+
+
+@pytest.mark.parametrize("few, many, longest", [(32, 16, 1 << 14), (2, 16, 1 << 14), (2, 1, 1 << 14), (2, 1, 3)])
+def test_buckets_lose_no_alike_pair(monkeypatch, few, many, longest):
+    """Each pair of a list at 0.8 is sent as a pair, or both are in a list that is sent."""
+    for name, value in (("FEW", few), ("MANY", many), ("LONGEST", longest), ("AT_ONCE", 3)):
+        monkeypatch.setattr(substrings, name, value)
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(40):
+        stem = [f"a{k}-{x}" for x in rng.integers(0, rng.choice([3, 50]), 25)]
+        for j in range(int(rng.integers(1, 12))):
+            w = list(stem)
+            w[int(rng.choice([0, 1, 12, 24]))] = f"b{j}"
+            texts.append(" ".join(w).encode())
+    texts = sorted(set(texts))
+    exact = [set(zip(*(words(t)[i:] for i in range(5)))) for t in texts]
+    small = np.ascontiguousarray(substrings.parted(substrings.paragraphs_of(texts)[3])[:, :21].T.astype(np.uint16))
+    entries = np.zeros(2 * len(texts), substrings.ENTRY)
+    entries["k"] = np.tile([int(t.split()[2].split(b"-")[0][1:]) if b"-" in t.split()[2] else 99 for t in texts], 2)
+    entries["s"], entries["v"] = np.tile(substrings.distinct_bits(small), 2), np.tile(np.arange(len(texts)), 2)
+    got = substrings.compared([entries.tobytes()])
+    pairs, lists = set(), defaultdict(set)
+    for key, v, c in zip(*(x.to_pylist() for x in got.columns)):
+        lists[key, c].add(v) if c else pairs.add((key, v))
+    assert all(len(members) == c for (_, c), members in lists.items())
+    alike = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if entries["k"][a] == entries["k"][b] and 100 * len(exact[a] & exact[b]) >= 80 * len(exact[a] | exact[b]):
+                alike += 1
+                assert (a, b) in pairs or any({a, b} <= members for members in lists.values())
+    assert alike > 50 and bool(lists) == (many == 1)
+
+
 def test_no_paragraphs(spark, empty):
     assert substrings.repeated(empty).count() == 0
     assert substrings.tuned_bands(paragraphs=1, missed=0.001) == 7
