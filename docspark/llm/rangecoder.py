@@ -60,7 +60,9 @@ class Start:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Start:
-        found, counts = np.unique(ids, return_counts=True)
+        all_of = np.bincount(ids, minlength=1 << ID_BITS)
+        found = np.flatnonzero(all_of).astype(np.uint16)
+        counts = all_of[found]
         total = 1 << COUNT_BITS
         shares = 1 + (counts * (total - len(found))) // max(len(ids), 1)
         if len(found):
@@ -72,8 +74,6 @@ class Start:
         first = np.ones(len(led), bool)
         first[1:] = led[1:] != led[:-1]
         led, follow, times = led[first], follow[first], times[first]
-        all_of = np.zeros(1 << ID_BITS, np.int64)
-        all_of[found] = counts
         level = np.minimum(times * ONE // np.maximum(all_of[led], 1), MOST_LEVEL)
         some = (times >= LEAST_TIMES) & (level > 0)
         return cls(found, shares, led[some], follow[some], level[some])

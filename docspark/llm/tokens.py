@@ -44,7 +44,8 @@ END_ID, FLAT_END = 2, 49407
 CHUNKS, WORDS = 250_000, 300_000
 FLAT_BLOCK = 1 << 22
 
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\-]*)")
+#: A word, and ASCII punctuation behind it, which is one piece whatever it consists of.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def vocabulary_path(name: str) -> str:
@@ -95,12 +96,14 @@ class _Memo:
 
     def _chunk(self, chunk: str):
         """A chunk whose word is new isn't kept: most are never seen again."""
-        if simple := _SIMPLE.fullmatch(chunk):
+        if simple := _SIMPLE(chunk):
             word, end = simple.groups()
             word = word.lower()
-            known = word in self.words
-            got = self.words[word] + self.words[end] if end else self.words[word]
-            return got if known else (got,)
+            got = self.words.get(word)
+            if got is None:
+                got = self.words[word]
+                return (got + self.words[end] if end else got,)
+            return got + self.words[end] if end else got
         return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
 
 

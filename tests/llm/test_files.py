@@ -208,3 +208,28 @@ def test_flat_files_that_end_within_a_document(spark, tmp_path, block):
     df = spark.createDataFrame([(str(tmp_path / n),) for n in files], "path string")
     got = sorted((r.path[-1], r.number, r.n_tokens, r.ended) for r in tokens.count_flat(df, block=block).collect())
     assert got == [("a", 0, 2, True), ("a", 1, 0, True), ("a", 2, 5, True), ("a", 3, 1, False), ("b", 0, 0, True), ("d", 0, 10, False)]
+
+
+def test_punctuation_behind_words_is_remembered(monkeypatch):
+    """Any ASCII punctuation behind a word gives the library's ids, and the whole tokenizer isn't asked for it."""
+    ends = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    ends += ["***", "&&&", "$$$", "%%%", "###", "'", "'!", "<|", "|>", '."', "--", "_", "`{}~"]
+    texts = [f"Word{e} été{e} word{e}\n{e}" for e in ends] + ["a<|endoftext|> don't it's' x'll,"]
+    plain = tokens.Encoder(tokens.VOCABULARY, False)
+    want = [plain.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.encode_texts(texts)] == want
+    asked = []
+
+    class Whole:
+        def __init__(self, tokenizer):
+            self.model, self.inner = tokenizer.model, tokenizer
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return self.inner.encode(text, **options)
+
+    memo = tokens.Encoder(tokens.VOCABULARY, False)
+    memo.memo.tokenizer = Whole(memo.tokenizer)
+    for e in ends:
+        memo.ids(f"Word{e} été{e}")
+    assert not asked
