@@ -34,6 +34,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(a, b, linked) of settled pairs, decided on full shingle sets. docs: doc_id, text (binary). Settled."""
     ids = settle(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
     texts = settle(semi(docs, ids, "doc_id"), "pair-texts")
+    out = settle(decided(pairs, texts, k).groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
+    unsettle(texts, ids)
+    return out
+
+
+def decided(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, linked) of pairs, decided on full shingle sets; more than once if ``texts`` (doc_id, text) have an id more than once."""
     joined = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def exact(batches):
@@ -47,10 +54,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 linked.append(100 * both >= PERCENT * union > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    out = joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long, linked boolean")
-    out = settle(out.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
-    unsettle(texts, ids)
-    return out
+    return joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long, linked boolean")
 
 
 def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -38,14 +38,15 @@ hashes. Words are as in near-duplicates: A-Z in lower case, split at white space
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.blocks import PERCENT, block_links, chunk_of, chunks_of, each_of, in_blocks, labelled, ordered, semi, verified
-from docspark.llm.common import attach_class, pieces, release, settle, unsettle
+from docspark.llm.blocks import PERCENT, block_links, chunk_of, chunks_of, decided, each_of, in_blocks, labelled, ordered, semi, verified
+from docspark.llm.common import BROADCAST_ROWS, HOT_SHARE, pieces, release, settle, unsettle
 from docspark.llm.components import components, extended
 from docspark.llm.neardup import outsiders
 from docspark.llm.shingles import P, mixed, shingle_hashes, windows, word_hashes, words
@@ -59,8 +60,7 @@ BUCKETS, FULL, READY = 1024, 1 << 18, 1 << 18
 TINY, EACH, NUMBERS = 12, 5, 5
 PLACE = np.arange(EACH, dtype=np.int64) * TINY
 #: Rounds in which bands are dealt out, so that their keys aren't on disk all at once.
-ROUNDS = 5
-COLUMNS = [f"t{k}" for k in range(NUMBERS)]
+ROUNDS = 3
 #: Classes of a list whose pairs are always sent, pairs a member that longer ones may send, classes of a list up to which
 #: members are compared in the bucket, and pairs compared at once.
 FEW, MANY, LONGEST, AT_ONCE = 32, 16, 1 << 14, 50_000
@@ -82,12 +82,32 @@ def tuned_bands(like: float = LIKE, rows: int = 2, paragraphs: int = PARAGRAPHS,
     return bands
 
 
-def places(h: np.ndarray) -> np.ndarray:
-    """Of each PLACES neighbours the one with the least hash. h: hashes of the places."""
-    if len(h) <= PLACES:
-        return np.array([h.argmin()]) if len(h) else np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, PLACES)
-    return np.unique(view.argmin(1) + np.arange(len(view)))
+def least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours."""
+    k = 1
+    while 2 * k <= n:
+        h, k = np.minimum(h[:-k], h[k:]), 2 * k
+    return np.minimum(h[: len(h) - n + k], h[n - k :])
+
+
+def places(h: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    """Of each PLACES neighbours the (first) one with the least hash. h: hashes of the places of a text, or of texts that begin and end there."""
+    if begin is None:
+        begin, end = np.array([0]), np.array([len(h)])
+    found = [np.array([i + h[i:j].argmin() for i, j in zip(begin.tolist(), end.tolist()) if 0 < j - i <= PLACES], np.int64)]
+    long = end - begin > PLACES
+    if long.any():
+        value = least(h, PLACES)
+        # Neighbours have the place of those before them, unless the least hash is another, or its first place is left behind.
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (h[: len(value) - 1] == value[:-1])
+        new[begin[long]] = True
+        inside = np.zeros(len(h) + 1, np.int8)
+        inside[begin[long]] = 1
+        inside[end[long] - PLACES + 1] = -1
+        at = np.flatnonzero(new & (np.cumsum(inside, dtype=np.int8)[: len(value)] > 0))
+        found.append(at + h[at[:, None] + np.arange(PLACES)].argmin(1))
+    return np.unique(np.concatenate(found))
 
 
 def spelled(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -95,18 +115,22 @@ def spelled(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mixed(mixed(w[at[:, None] + np.arange(n)] + np.arange(n, dtype=np.uint64) * P).sum(1, dtype=np.uint64) + np.uint64(n)).view(np.int64)
 
 
+def words_of_all(texts: list) -> tuple[list[bytes], np.ndarray]:
+    """Words of the texts, one behind the other, and the number of each text's first, with the number of all behind them."""
+    found = [words(t) for t in texts]
+    return list(chain.from_iterable(found)), np.cumsum([0, *map(len, found)], dtype=np.int64)
+
+
 def paragraphs_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of the text, first word, hash (v) and small hashes (as NUMBERS numbers) of each paragraph."""
-    found = [word_hashes(words(t)) for t in texts]
-    first = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
-    w = np.concatenate([np.zeros(0, np.uint64), *found])
+    w, first = words_of_all(texts)
+    w = word_hashes(w)
     if len(w) < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, NUMBERS), np.int64)
     five = windows(w, SHINGLE)  # those across two texts are in no paragraph
-    at = [places(five[i : j - SPAN + 1]) if j - i >= SPAN else np.zeros(0, np.int64) for i, j in zip(first, first[1:])]
-    owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    start = np.concatenate(at)
-    here = start + first[owner]
+    here = places(five, first[:-1], first[1:] - SPAN + 1)
+    owner = np.searchsorted(first, here, "right") - 1
+    start = here - first[owner]
     inside = np.sort(five[here[:, None] + np.arange(SPAN - SHINGLE + 1)], axis=1)
     tiny = np.zeros((len(here), NUMBERS * EACH), np.int64)
     n = inside.shape[1]
@@ -139,6 +163,7 @@ def distinct_bits(small: np.ndarray) -> np.ndarray:
 def band_keys_of(small: np.ndarray, bands: range) -> np.ndarray:
     """Keys of these bands of paragraphs. small: their small hashes, a column a paragraph."""
     keys = np.empty((small.shape[1], len(bands)), np.uint64)
+    small = small.astype(np.intp)  # once, as take would each time
     for at, b in enumerate(bands):
         key = np.full(small.shape[1], b, np.uint64)
         for r in range(ROWS):
@@ -155,33 +180,42 @@ def packed(v: list, bits: list, keys: list, buckets: int = BUCKETS) -> pa.Record
     """Rows bucket, packed: the distinct (low half of a band key, bits, v) of each bucket as bytes."""
     v, once = np.unique(np.concatenate(v), return_index=True)
     keys, bits = np.concatenate(keys)[once], np.concatenate(bits)[once]
-    bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
-    order = np.argsort(bucket.ravel(), kind="stable")
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).ravel()
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # that of 16 bits is a radix sort
+    bucket = bucket[order].astype(np.int64)
     entries = np.empty(len(order), ENTRY)
     entries["k"] = keys.ravel()[order].astype(np.uint32)
     owner = order // keys.shape[1]
     entries["s"], entries["v"] = bits[owner], v[owner]
-    some, at = np.unique(bucket.ravel()[order], return_index=True)
-    ends = [*at[1:], len(order)]
-    data = pa.array([entries[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), data], ["bucket", "packed"])
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(at, len(order)).astype(np.int32) * ENTRY.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(entries.view(np.uint8))])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), data], ["bucket", "packed"])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, start (number of the first word), v and small hashes (COLUMNS) of each paragraph. docs: doc_id, text (binary). Settled."""
-    names = ["doc_id", "start", "v", *COLUMNS]
+    """doc_id, start (number of the first word), v and small (NUMBERS numbers as bytes) of each paragraph. docs: doc_id, text (binary). Settled."""
 
     def build(batches):
         for b in pieces(batches):
             owner, start, v, tiny = paragraphs_of(b.column(1).to_pylist())
             own = np.array(b.column(0).to_pylist(), np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, start, v, *np.ascontiguousarray(tiny.T))], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (own, start, v)), as_bytes(tiny)], ["doc_id", "start", "v", "small"])
+
+    return settle(docs.mapInArrow(build, "doc_id long, start long, v long, small binary"), "paragraphs")
 
-    return settle(docs.mapInArrow(build, ", ".join(f"{n} long" for n in names)), "paragraphs")
 
+def as_bytes(tiny: np.ndarray) -> pa.Array:
+    """Rows of NUMBERS numbers as bytes."""
+    ends = np.arange(len(tiny) + 1, dtype=np.int32) * (8 * NUMBERS)
+    return pa.Array.from_buffers(pa.binary(), len(tiny), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(tiny))])
 
-def tiny_of(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.stack([batch.column(first + k).to_numpy() for k in range(NUMBERS)], axis=1)
+
+def tiny_of(small: pa.Array) -> np.ndarray:
+    """The numbers again."""
+    at = 8 * NUMBERS * len(small)
+    first = np.frombuffer(small.buffers()[1], np.int32)[small.offset] if at else 0
+    return np.frombuffer(small.buffers()[2], np.uint8)[first : first + at].view(np.int64).reshape(-1, NUMBERS) if at else np.zeros((0, NUMBERS), np.int64)
 
 
 def band_keys(units: DataFrame, bands: range, buckets: int) -> DataFrame:
@@ -190,7 +224,7 @@ def band_keys(units: DataFrame, bands: range, buckets: int) -> DataFrame:
     def build(batches):
         held: list = [[], [], []]
         for b in pieces(batches, 10_000):
-            small = np.ascontiguousarray(parted(tiny_of(b, 1))[:, : SPAN - SHINGLE + 1].T.astype(np.uint16))
+            small = np.ascontiguousarray(parted(tiny_of(b.column(1)))[:, : SPAN - SHINGLE + 1].T.astype(np.uint16))
             for part, x in zip(held, (b.column(0).to_numpy(), distinct_bits(small), band_keys_of(small, bands))):
                 part.append(x)
             if sum(map(len, held[0])) * len(bands) > READY:
@@ -199,7 +233,7 @@ def band_keys(units: DataFrame, bands: range, buckets: int) -> DataFrame:
         if held[0]:
             yield packed(*held, buckets)
 
-    return units.select("v", *COLUMNS).mapInArrow(build, "bucket long, packed binary")
+    return units.select("v", "small").mapInArrow(build, "bucket long, packed binary")
 
 
 def all_found(units: DataFrame) -> DataFrame:
@@ -237,12 +271,11 @@ def alike(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def compared(parts: list[bytes]) -> pa.RecordBatch | None:
     """``found_in`` the entries of one bucket."""
     entries = np.frombuffer(b"".join(parts), ENTRY)
-    k = entries["k"]
-    order = np.argsort(k, kind="stable")
+    k = np.sort(entries["k"].astype(np.uint64) << np.uint64(32) | np.arange(len(entries), dtype=np.uint64))  # keys, each with its row
     again = np.zeros(len(k), bool)
-    again[1:] = k[order][1:] == k[order][:-1]
+    again[1:] = k[1:] >> np.uint64(32) == k[:-1] >> np.uint64(32)
     again[:-1] |= again[1:]
-    entries = entries[order[again]]
+    entries = entries[(k[again] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
     entries = entries[np.lexsort((entries["v"], entries["k"]))]
     k, s, v = (np.ascontiguousarray(entries[c]) for c in "ksv")
     new = np.ones(len(k), bool)
@@ -330,18 +363,22 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches):
         for b in pieces(batches):
-            found, text = [np.zeros(0, np.int64)], []
-            for t, start, v in zip(*(c.to_pylist() for c in b.columns)):
-                w = words(t)
-                start, v = np.array(start, np.int64), np.array(v, np.int64)
-                inside = start + SPAN <= len(w)
-                start, v = start[inside], v[inside]
-                if not len(v):
-                    continue
-                same = spelled(word_hashes(w), start, SPAN) == v  # not of another row with the id
-                found.append(v[same])
-                text += [b" ".join(w[k : k + SPAN]) for k in start[same].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(text, pa.binary())], ["doc_id", "text"])
+            w, first = words_of_all(b.column(0).to_pylist())
+            owner = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+            at, v = first[owner] + b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            inside = at + SPAN <= first[owner + 1]
+            at, v = at[inside], v[inside]
+            if not len(v):
+                continue
+            here = np.zeros(len(w) + 1, np.int64)
+            np.add.at(here, at, 1)
+            np.add.at(here, at + SPAN, -1)
+            here = np.flatnonzero(np.cumsum(here) > 0)
+            hashes = np.zeros(len(w), np.uint64)
+            hashes[here] = word_hashes([w[k] for k in here.tolist()])
+            same = spelled(hashes, at, SPAN) == v  # not of another row with the id
+            text = [b" ".join(w[k : k + SPAN]) for k in at[same].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(v[same]), pa.array(text, pa.binary())], ["doc_id", "text"])
 
     return rows.mapInArrow(cut, "doc_id long, text binary")
 
@@ -378,7 +415,7 @@ def near_labels(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
 
     rows = with_sets(large).withColumns({"block": chunk_of("v", chunks_of("c")), "side": F.lit(0), "label": F.col("v")})
     pairs = settle(pairs.unionByName(ordered(in_blocks(rows, block_links), "a", "b")).distinct(), "near-paragraphs")
-    labels = components(verified(pairs, texts, SHINGLE).where("linked"))
+    labels = components(decided(pairs, texts, SHINGLE).where("linked"), closing=True)
     long = settle(large.where(chunks_of("c") > 1).select("key", "v"), "long-lists")
     if long.limit(1).count():
         blocks = settle(across_blocks(long, labels), "blocks")
@@ -390,6 +427,21 @@ def near_labels(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     return labels
 
 
+def in_clusters(units: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, start, cluster_id and keeper_doc_id of the distinct ``units`` that the settled ``named`` have the class of, which has a row a class; ``rows``: its units.
+
+    Classes are broadcast if they are at most BROADCAST_ROWS, else those with over 1/HOT_SHARE of all units are: a class that many
+    paragraphs are does not meet in one task.
+    """
+    columns = ["doc_id", "start", "v", "cluster_id", "keeper_doc_id"]
+    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return units.join(F.broadcast(named), "v").select(*columns).distinct()
+    total = F.lit(named.agg(F.sum("rows")).first()[0])
+    hot = F.broadcast(named.where(F.col("rows") * HOT_SHARE > total))
+    cold = units.join(hot.select("v"), "v", "left_anti").join(named.where(F.col("rows") * HOT_SHARE <= total), "v")
+    return units.join(hot, "v").select(*columns).distinct().unionByName(cold.select(*columns).distinct())
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, n_words, cluster_id, keeper_doc_id and removed of paragraphs that are in several documents."""
     plain = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -410,9 +462,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     named = classes.join(labels, "v", "left").withColumn("cluster_id", F.coalesce("label", "v")).drop("label")
     clusters = named.groupBy("cluster_id").agg(F.min("first").alias("keeper"), F.max("last").alias("end")).where("keeper <> end")
     named = settle(named.join(clusters, "cluster_id").select("v", "rows", "cluster_id", F.col("keeper").alias("keeper_doc_id")), "paragraph-clusters")
-    # A join by class at any size: Spark splits a class that many paragraphs are.
-    places_of = settle(units.join(named.select("v"), "v", "left_semi").distinct(), "repeated-paragraphs")
-    out = attach_class(places_of, named, "v", "rows", F.xxhash64("doc_id", "start")).where(F.col("cluster_id").isNotNull())
+    out = settle(in_clusters(units, named), "repeated-paragraphs")
+    unsettle(units, named, classes, labels)
     return out.select(
         "doc_id", "start", F.lit(SPAN).cast("long").alias("n_words"), "cluster_id", "keeper_doc_id", (F.col("doc_id") != F.col("keeper_doc_id")).alias("removed")
     )

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from docspark.llm import blocks, decontaminate, licenses, substrings
+from docspark.llm import blocks, components, decontaminate, licenses, substrings
 from docspark.llm.shingles import words
 
 
@@ -309,3 +309,50 @@ def test_places_agree_within_a_passage():
         b = np.concatenate([rng.integers(0, 2**62, 7), common, rng.integers(0, 2**62, 90)])
         inside = lambda h, s: {x - s for x in substrings.places(h) if s <= x < s + 26}
         assert inside(a, 40) & inside(b, 7)
+
+
+def test_pairs_need_no_rounds_and_no_copy_of_their_texts(spark, monkeypatch):
+    """Components that are closed after one round aren't worked on again, and the texts listed are those of the pairs."""
+    rows = [(2 * p + k, " ".join([*(f"t{p}-{j}" for j in range(23)), f"u{p}-{k}", f"w{p}-{k}"])) for p in range(40) for k in (0, 1)]
+    made = {}
+
+    def counted(df, name, settle=substrings.settle):
+        out = settle(df, name)
+        made[name] = max(out.count(), made.get(name, 0))
+        return out
+
+    for module in (substrings, blocks, components):
+        monkeypatch.setattr(module, "settle", counted)
+    assert len(substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()) > 70
+    assert made["closed-labels"] > 70 and not made["near-labels"] and "pair-texts" not in made, made
+
+
+@pytest.mark.parametrize("share", [1024, 4])
+def test_closed_components_are_whole(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "HOT_SHARE", share)
+    r = random.Random(5)
+    groups = [[(0, k) for k in range(1, 60)], [(100 + k, 101 + k) for k in range(30)], *([(1000 + 10 * k, 1001 + 10 * k)] for k in range(20))]
+    groups.append([(2000 + r.randrange(40), 2000 + r.randrange(40)) for _ in range(60)] + [(2000, 2000 + k) for k in range(0, 40, 3)])
+    pairs = [(a, b) for g in groups for a, b in g]
+    label = {v: v for p in pairs for v in p if p[0] != p[1]}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    edges = spark.createDataFrame(r.sample(pairs, len(pairs)), "a long, b long")
+    for closing in (False, True):
+        got = components.components(edges, closing=closing).collect()
+        assert len(got) == len(label) and {x.v: x.label for x in got} == label
+
+
+def test_places_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(7)
+    for most in (2, 5, 2**40):
+        sizes = rng.integers(0, 90, 60)
+        begin = np.cumsum([0, *sizes + 24])[:-1]  # behind each text's places those that are in no paragraph
+        h = rng.integers(0, most, int((sizes + 24).sum())).astype(np.uint64)
+        want = []
+        for i, n in zip(begin, sizes):
+            for k in range(max(n - 25, min(n, 1))):
+                want.append(i + k + h[i + k : i + min(k + 26, n)].argmin())
+        assert substrings.places(h, begin, begin + sizes).tolist() == sorted(set(want))
