@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block, and blocks in lockstep.
+#: Ids in a block, and about how many blocks go in lockstep.
 BLOCK, LANES = 1024, 4096
 #: Order 0 shares 2**COUNT_BITS among the ids.
 ID_BITS, COUNT_BITS = 16, 18
@@ -60,14 +60,22 @@ class Start:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Start:
-        all_of = np.bincount(ids, minlength=1 << ID_BITS)
+        all_of = np.zeros(1 << ID_BITS, np.int64)
+        for k in range(0, len(ids), 1 << 20):
+            all_of += np.bincount(ids[k : k + (1 << 20)], minlength=1 << ID_BITS)
         found = np.flatnonzero(all_of).astype(np.uint16)
         counts = all_of[found]
         total = 1 << COUNT_BITS
         shares = 1 + (counts * (total - len(found))) // max(len(ids), 1)
         if len(found):
             shares[counts.argmax()] += total - shares.sum()
-        pairs, times = np.unique(ids[:-1].astype(np.uint32) << np.uint32(ID_BITS) | ids[1:], return_counts=True)
+        pairs = ids[:-1].astype(np.uint32)
+        pairs <<= np.uint32(ID_BITS)
+        pairs |= ids[1:]
+        pairs.sort()
+        heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        times = np.diff(heads, append=len(pairs))
+        pairs = pairs[heads]
         led, follow = (pairs >> np.uint32(ID_BITS)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64)
         order = np.lexsort((follow, -times, led))
         led, follow, times = led[order], follow[order], times[order]
@@ -147,12 +155,18 @@ def _lengths(n: int, block: int) -> np.ndarray:
     return np.minimum(block, n - np.arange(0, n, block))
 
 
+def _together(blocks: int) -> list[tuple[int, int]]:
+    """First and behind the last block of runs of about LANES blocks, none of which is short while others are long."""
+    cuts = np.linspace(0, blocks, max(1, round(blocks / LANES)) + 1).astype(int).tolist()
+    return list(zip(cuts, cuts[1:])) if blocks else []
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """A start, and blocks of at most ``block`` ids each, with their heads. ids: uint16."""
     start = Start.of(ids)
     out = [start.pack()]
-    for first in range(0, len(ids), block * LANES):
-        out += _encode(ids[first : first + block * LANES], block, start)
+    for first, behind in _together(-(-len(ids) // block)):
+        out += _encode(ids[first * block : behind * block], block, start)
     return out
 
 
@@ -160,7 +174,7 @@ def _encode(ids: np.ndarray, block: int, start: Start) -> list[bytes]:
     lengths = _lengths(len(ids), block)
     lanes = len(lengths)
     steps = int(lengths[0])
-    table = np.zeros(lanes * steps, np.int32)
+    table = np.zeros(lanes * steps, np.uint16)
     table[: len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
     model = Model(lanes, start)
@@ -175,7 +189,7 @@ def _encode(ids: np.ndarray, block: int, start: Start) -> list[bytes]:
             done.append((low[n:].copy(), n))
             model.narrow(n)
             low, span = low[:n], span[:n]
-        x = table[t, :n]
+        x = table[t, :n].astype(np.int32)
         i2, i1, a, b = model.predict()
         ab = a + b
         rest = ONE - ab
@@ -232,8 +246,8 @@ def decode(data: bytes) -> np.ndarray:
         n, size, crc = HEAD.unpack_from(data, at)
         heads.append((n, at + HEAD.size, size, crc))
         at += HEAD.size + size
-    for first in range(0, len(heads), LANES):
-        parts += _decode(data, heads[first : first + LANES], start)
+    for first, behind in _together(len(heads)):
+        parts += _decode(data, heads[first:behind], start)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 

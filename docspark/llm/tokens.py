@@ -3,6 +3,8 @@
 ``encode_texts`` gives what the tokenizers library gives for whole texts. For
 tokenizers that lower case and drop white space, no piece reaches across a space;
 so a text is its chunks between spaces, and chunks and their words are remembered.
+Texts of a batch (``Encoder.many``) are cut together, and each distinct chunk is looked
+up once; the library is asked for many new words in a call.
 
 **Coded files** (``write_coded``, ``read_coded``) hold documents in ascending id
 order. A file is a row of parts; a part has its documents' ids and lengths, then
@@ -31,6 +33,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +48,11 @@ CHUNKS, WORDS = 250_000, 300_000
 FLAT_BLOCK = 1 << 22
 
 #: A word, and ASCII punctuation behind it, which is one piece whatever it consists of.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+WORD, PUNCTUATION = r"[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-/:-@\[-`{-~]*"
+_SIMPLE = re.compile(f"({WORD})({PUNCTUATION})").fullmatch
+_SIMPLE_RE2 = f"^(?P<word>{WORD})(?P<end>{PUNCTUATION})$"
+#: Bytes of text that are encoded at once, and words in a call of the library.
+TOGETHER, CALL = 1 << 22, 1000
 
 
 def vocabulary_path(name: str) -> str:
@@ -76,12 +83,35 @@ class _Young(dict):
             return got
         return got[0]
 
+    def several(self, keys: list, make_all) -> list:
+        """The values of distinct keys; those that are new are made at once."""
+        values = list(map(self.get, keys))
+        lost = [i for i, v in enumerate(values) if v is None]
+        for i in lost:
+            values[i] = self.old.get(keys[i])
+        new = [i for i in lost if values[i] is None]
+        for i, v in zip(new, make_all([keys[i] for i in new])):
+            values[i] = v
+        for i in lost:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[keys[i]] = values[i]
+        return values
+
 
 class _Memo:
     """Bytes of 16-bit ids by chunk, and by the words in chunks."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, vocabulary: dict[str, int], suffix: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer = tokenizer
+        #: The same model for words between spaces, and which ids end a word.
+        self.spaced = Tokenizer(tokenizer.model)
+        self.spaced.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(1 << rangecoder.ID_BITS, bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         #: Byte-level tokenizers write byte 0 to 255 as these characters.
@@ -89,10 +119,24 @@ class _Memo:
         self.words = _Young(WORDS, self._word)
         self.chunks = _Young(CHUNKS, self._chunk)
 
+    def _known(self, w: str) -> str:
+        return w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
+
     def _word(self, w: str) -> bytes:
         """A piece in lower case for which the pre-tokenizer has no further cut."""
-        known = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
-        return array("H", [t.id for t in self.tokenizer.model.tokenize(known)]).tobytes() if w else b""
+        return array("H", [t.id for t in self.tokenizer.model.tokenize(self._known(w))]).tobytes() if w else b""
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """What ``_word`` gives for words of letters, by a call of the library for many of them."""
+        out = []
+        for first in range(0, len(words), CALL):
+            some = words[first : first + CALL]
+            ids = np.array(self.spaced.encode_batch_fast([" ".join(map(self._known, some))], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+            raw = ids.tobytes()
+            # No piece but the last of a word has the suffix; if some vocabulary breaks this, words are asked for one by one.
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else map(self._word, some)
+        return out
 
     def _chunk(self, chunk: str):
         """A chunk whose word is new isn't kept: most are never seen again."""
@@ -104,8 +148,38 @@ class _Memo:
                 got = self.words[word]
                 return (got + self.words[end] if end else got,)
             return got + self.words[end] if end else got
+        return self._whole(chunk)
+
+    def _whole(self, chunk: str) -> bytes:
         return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
 
+    def several(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row, and how many each has. A word is looked up once, whatever is behind it."""
+        cut = pc.extract_regex(chunks, _SIMPLE_RE2)
+        simple = cut.is_valid().to_numpy(zero_copy_only=False)
+        words = pc.utf8_lower(pc.struct_field(cut, "word")).dictionary_encode()
+        ends = pc.struct_field(cut, "end").dictionary_encode()
+        others = chunks.filter(cut.is_null()).to_pylist()
+        known = [*self.words.several(words.dictionary.to_pylist(), self._words), *map(self.words.__getitem__, ends.dictionary.to_pylist()), *map(self._whole, others), b""]
+        # Two parts a chunk: its word and what is behind it, or all of it and nothing.
+        parts = np.empty((len(chunks), 2), np.int64)
+        parts[simple, 0] = words.indices.drop_null().to_numpy()
+        parts[simple, 1] = ends.indices.drop_null().to_numpy() + len(words.dictionary)
+        parts[~simple, 0] = np.arange(len(known) - 1 - len(others), len(known) - 1)
+        parts[~simple, 1] = len(known) - 1
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        return _dealt(np.frombuffer(b"".join(known), "<u2"), sizes, parts.ravel()), sizes[parts].sum(axis=1)
+
+
+def _dealt(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``flat`` in a row, which itself is a row of runs of ``sizes``."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    kind = np.int32 if max(len(flat), ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[which] - ends + n).astype(kind), n)
+    at += np.arange(len(at), dtype=kind)
+    return flat[at]
+
 
 class Encoder:
     """Texts to 16-bit ids. special_as_text: special tokens written in a text are ordinary text."""
@@ -128,7 +202,7 @@ class Encoder:
         kinds = [n["type"] for n in (parts.get("normalizer") or {}).get("normalizers", [])]
         cuts = [n["type"] for n in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         spaced = kinds == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and parts["model"].get("end_of_word_suffix")
-        self.memo = _Memo(self.tokenizer) if spaced else None
+        self.memo = _Memo(self.tokenizer, parts["model"]["vocab"], parts["model"]["end_of_word_suffix"]) if spaced else None
 
     @classmethod
     def of(cls, vocabulary: str, special_as_text: bool) -> Encoder:
@@ -143,6 +217,19 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         return b"".join(map(self.memo.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each has: what ``ids`` gives, with each distinct chunk looked up once."""
+        if self.memo is None:
+            got = [self.ids(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(got), "<u2"), np.array([len(x) // 2 for x in got], np.int64)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = cut.flatten().dictionary_encode()
+        which = chunks.indices.to_numpy()
+        flat, sizes = self.memo.several(chunks.dictionary)
+        before = np.concatenate([[0], np.cumsum(sizes[which])])
+        behind = np.cumsum(pc.list_value_length(cut).to_numpy(), dtype=np.int64)
+        return _dealt(flat, sizes, which), np.diff(before[behind], prepend=0)
+
 
 def encode_texts(texts: list[str], vocabulary: str = VOCABULARY, special_as_text: bool = False) -> list[np.ndarray]:
     encoder = Encoder.of(vocabulary, special_as_text)
@@ -154,6 +241,19 @@ def encode_texts(texts: list[str], vocabulary: str = VOCABULARY, special_as_text
 MAGIC = b"IDBLOCK1"
 PART = struct.Struct("<IQ")
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
+#: A part has so many ids at most, unless the texts of one call of ``Encoder.many`` have more.
+PART_IDS = 2 * rangecoder.BLOCK * rangecoder.LANES
+
+
+def _by_bytes(batches):
+    """Arrow batches cut so that the second column of a piece has TOGETHER bytes at most, or one row."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(1)).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < b.num_rows:
+            behind = max(first + 1, int(np.searchsorted(size, TOGETHER + (size[first - 1] if first else 0), "right")))
+            yield b.slice(first, behind - first)
+            first = behind
 
 
 def _part(docs: list, ids: bytearray) -> bytes:
@@ -169,29 +269,25 @@ def write_coded(docs: DataFrame, folder: str | None = None, vocabulary: str = VO
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("path", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
-    end = struct.pack("<H", end_id)
 
     def write(batches):
         encoder = Encoder.of(vocabulary, False)
         path, out, first, n_docs, n_ids = new_name(folder, "ids"), None, None, 0, 0
         held: list = []
         ids = bytearray()
-        for b in pieces(batches):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if out is None:
-                    out, first = create(path), d
-                    out.write(MAGIC)
-                was = len(ids)
-                ids += encoder.ids(t)
-                ids += end
-                held.append((d, (len(ids) - was) // 2))
-                if len(ids) >= 2 * rangecoder.BLOCK * rangecoder.LANES:
-                    out.write(_part(held, ids))
-                    n_docs, n_ids = n_docs + len(held), n_ids + len(ids) // 2
-                    held, ids = [], bytearray()
-        if out is not None:
-            if held:
+        for b in _by_bytes(batches):
+            docs, (found, sizes) = b.column(0).to_pylist(), encoder.many(b.column(1))
+            if out is None:
+                out, first = create(path), docs[0]
+                out.write(MAGIC)
+            elif len(ids) + 2 * (len(found) + len(docs)) > 2 * PART_IDS:
                 out.write(_part(held, ids))
+                n_docs, n_ids = n_docs + len(held), n_ids + len(ids) // 2
+                held, ids = [], bytearray()
+            ids += np.insert(found, np.cumsum(sizes), end_id).tobytes()
+            held += zip(docs, (sizes + 1).tolist())
+        if out is not None:
+            out.write(_part(held, ids))
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "first": first, "docs": n_docs + len(held), "ids": n_ids + len(ids) // 2}], schema=schema)
 

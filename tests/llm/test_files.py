@@ -233,3 +233,68 @@ def test_punctuation_behind_words_is_remembered(monkeypatch):
     for e in ends:
         memo.ids(f"Word{e} été{e}")
     assert not asked
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.text("aB é'sßÀÿÅ.,;<|>\n\t\x1c\xa0éİΣ12 ", max_size=40), st.sampled_from(["", "<|endoftext|>", "don't I'll", "Word, word. WORD!", "\n \n"])), max_size=6), st.integers(0, 2))
+def test_texts_encoded_together_give_the_librarys_ids(texts, skipped):
+    import pyarrow as pa
+
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        array = pa.array(["Before it"] * skipped + texts, kind).slice(skipped)
+        flat, sizes = tokens.Encoder.of(tokens.VOCABULARY, False).many(array)
+        cuts = np.cumsum(sizes)
+        assert len(sizes) == len(texts) and sizes.sum() == len(flat)
+        assert [flat[e - n : e].tolist() for e, n in zip(cuts, sizes)] == (reference(texts, False) if texts else [])
+
+
+def test_new_words_are_asked_for_together(monkeypatch):
+    """A word is asked for once, whatever is before and behind it, and many in a call, also where the memo forgets."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CALL", 100)
+    monkeypatch.setattr(tokens, "WORDS", 70)
+    letters = "abcdéfghiö"
+    words = [f"zy{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}qu" for i in range(950)]
+    texts = [" ".join(words[:500]), "\n".join(w.title() + "!" for w in words), "", " ".join(reversed(words)) + " mail@a.b"]
+    encoder = tokens.Encoder(tokens.VOCABULARY, False)
+    asked, whole = [], encoder.memo.spaced
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            asked.append(some[0].split(" "))
+            return whole.encode_batch_fast(some, **options)
+
+    encoder.memo.spaced = Counted()
+    monkeypatch.setattr(encoder.memo, "_word", lambda w: pytest.fail(w) if len(w) > 1 else tokens._Memo._word(encoder.memo, w))
+    flat, sizes = encoder.many(pa.array(texts))
+    assert flat.tolist() == [i for x in reference(texts, False) for i in x] and sizes.tolist() == [len(x) for x in reference(texts, False)]
+    assert len(asked) == 10 and len({w for some in asked for w in some}) == sum(map(len, asked)) == 950
+    assert encoder.many(pa.array(texts))[0].tolist() == flat.tolist()
+
+
+def test_words_are_asked_for_alone_where_ends_arent_known():
+    import pyarrow as pa
+
+    encoder = tokens.Encoder(tokens.VOCABULARY, False)
+    encoder.memo.last[:] = False
+    assert encoder.many(pa.array(["Some words, été"]))[0].tolist() == reference(["Some words, été"], False)[0]
+
+
+def test_pieces_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "TOGETHER", 10)
+    texts = ["", "a" * 10, "", "é" * 4, "bb", "c" * 30, "", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    assert [b.column(1).to_pylist() for b in tokens._by_bytes([batch, batch.slice(0, 0), batch.slice(6)])] == [texts[:3], texts[3:5], texts[5:6], texts[6:], texts[6:]]
+
+
+def test_no_few_blocks_go_alone():
+    """A block more than go in lockstep doesn't cost as many steps as they do."""
+    assert rangecoder._together(0) == [] and rangecoder._together(1) == [(0, 1)]
+    for blocks in (rangecoder.LANES + 1, 3 * rangecoder.LANES - 1, 10 * rangecoder.LANES + 7):
+        runs = rangecoder._together(blocks)
+        assert [b for _, b in runs[:-1]] == [a for a, _ in runs[1:]] and (runs[0][0], runs[-1][1]) == (0, blocks)
+        assert all(2 * rangecoder.LANES // 3 <= b - a <= 3 * rangecoder.LANES // 2 for a, b in runs)
