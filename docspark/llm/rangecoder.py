@@ -114,7 +114,7 @@ class Model:
 
     def __init__(self, lanes: int, start: Start):
         self.n, self.next = lanes, start.next
-        self.base2 = np.arange(lanes, dtype=np.int32) * ORDER2
+        self.base2 = np.arange(lanes) * ORDER2
         self.t2 = np.zeros(lanes * ORDER2, np.int32)
         self.weight = [np.full(lanes, ONE, np.int32) for _ in range(2)]
         self.last = np.zeros(lanes, np.int32)
@@ -143,7 +143,8 @@ class Model:
         for k, (hit, part) in enumerate(((hit2, self.a), (hit1, self.b))):
             w = self.weight[k]
             w += (hit * np.int32(ONE) - part) >> RATE
-            np.clip(w, LEAST_WEIGHT, MOST_WEIGHT, out=w)
+            np.maximum(w, LEAST_WEIGHT, out=w)
+            np.minimum(w, MOST_WEIGHT, out=w)
         p = self.held
         right = p + (p < MOST) * np.int32(UNIT)
         wrong = np.where(p >= 3 * UNIT, p - np.int32(UNIT), x + np.int32(UNIT))
@@ -174,13 +175,18 @@ def _encode(ids: np.ndarray, block: int, start: Start) -> list[bytes]:
     lengths = _lengths(len(ids), block)
     lanes = len(lengths)
     steps = int(lengths[0])
-    table = np.zeros(lanes * steps, np.uint16)
-    table[: len(ids)] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, steps).T)
+    rows = np.zeros(lanes * steps, np.uint16)
+    rows[: len(ids)] = ids
+    rows = rows.reshape(lanes, steps)
+    table = np.empty((steps, lanes), np.uint16)
+    for k in range(0, lanes, 256):
+        table[:, k : k + 256] = rows[k : k + 256].T
     model = Model(lanes, start)
     low, span = np.zeros(lanes, U), np.full(lanes, FIRST_RANGE)
-    digits = np.zeros((lanes, steps + 3), np.uint32)
-    place = np.zeros(lanes, np.int64)
+    #: A lane's digits begin at ``origin`` and go to ``place``.
+    digits = np.zeros(lanes * (steps + 3), np.uint32)
+    origin = np.arange(lanes) * (steps + 3)
+    place = origin.copy()
 
     done = []
     for t in range(steps):
@@ -190,10 +196,11 @@ def _encode(ids: np.ndarray, block: int, start: Start) -> list[bytes]:
             model.narrow(n)
             low, span = low[:n], span[:n]
         x = table[t, :n].astype(np.int32)
+        wide = x.astype(np.intp)
         i2, i1, a, b = model.predict()
         ab = a + b
         rest = ONE - ab
-        begin, size = (ab << COUNT_BITS) + start.low.take(x) * rest, start.size.take(x) * rest
+        begin, size = (ab << COUNT_BITS) + start.low.take(wide) * rest, start.size.take(wide) * rest
         at = np.flatnonzero((i1 == x) & (b > 0))
         begin[at], size[at] = a[at] << COUNT_BITS, b[at] << COUNT_BITS
         at = np.flatnonzero((i2 == x) & (a >= b) & (a > 0))
@@ -203,21 +210,22 @@ def _encode(ids: np.ndarray, block: int, start: Start) -> list[bytes]:
         _carry(digits, place, np.flatnonzero(new < low))
         low, span = new, unit * size.astype(U)
         at = np.flatnonzero(span < LOW)
-        digits[at, place[at]] = low[at] >> DIGIT
+        left = low[at]
+        digits[place[at]] = left >> DIGIT
         place[at] += 1
-        low[at] <<= DIGIT
+        low[at] = left << DIGIT
         span[at] <<= DIGIT
         model.update(x)
     done.append((low, 0))
     for rest_low, first in done:
         at = np.arange(first, first + len(rest_low))
         for _ in range(2):
-            digits[at, place[at]] = rest_low >> DIGIT
+            digits[place[at]] = rest_low >> DIGIT
             place[at] += 1
             rest_low = rest_low << DIGIT
     out, raw = [], np.ascontiguousarray(ids, "<u2")
     for k in range(lanes):
-        code = digits[k, : place[k]].astype("<u4").tobytes()
+        code = digits[origin[k] : place[k]].astype("<u4").tobytes()
         n = int(lengths[k])
         out.append(HEAD.pack(n, len(code), zlib.crc32(raw[k * block : k * block + n])) + code)
     return out
@@ -227,8 +235,8 @@ def _carry(digits: np.ndarray, place: np.ndarray, at: np.ndarray) -> None:
     """Adds one to the last digit written of the lanes ``at``, and goes on to those before where it overflows."""
     back = 1
     while len(at):
-        digits[at, place[at] - back] += 1
-        at = at[digits[at, place[at] - back] == 0]
+        digits[place[at] - back] += 1
+        at = at[digits[place[at] - back] == 0]
         back += 1
 
 

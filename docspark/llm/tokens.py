@@ -45,6 +45,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID, FLAT_END = 2, 49407
 #: Chunks and words that a generation of a worker's memo holds; there are two generations.
 CHUNKS, WORDS = 250_000, 300_000
+#: Words that are held for looking up many together, or those of the last texts if they have more.
+TABLE = 600_000
 FLAT_BLOCK = 1 << 22
 
 #: A word, and ASCII punctuation behind it, which is one piece whatever it consists of.
@@ -83,22 +85,6 @@ class _Young(dict):
             return got
         return got[0]
 
-    def several(self, keys: list, make_all) -> list:
-        """The values of distinct keys; those that are new are made at once."""
-        values = list(map(self.get, keys))
-        lost = [i for i, v in enumerate(values) if v is None]
-        for i in lost:
-            values[i] = self.old.get(keys[i])
-        new = [i for i in lost if values[i] is None]
-        for i, v in zip(new, make_all([keys[i] for i in new])):
-            values[i] = v
-        for i in lost:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[keys[i]] = values[i]
-        return values
-
 
 class _Memo:
     """Bytes of 16-bit ids by chunk, and by the words in chunks."""
@@ -118,6 +104,8 @@ class _Memo:
         self.letters = {b: chr(b if b in printable else next(other)) for b in range(256)}
         self.words = _Young(WORDS, self._word)
         self.chunks = _Young(CHUNKS, self._chunk)
+        #: Words that are looked up many at once, their ids in a row, and how many each has.
+        self.names, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, "<u2"), np.zeros(0, np.int64)
 
     def _known(self, w: str) -> str:
         return w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
@@ -126,17 +114,35 @@ class _Memo:
         """A piece in lower case for which the pre-tokenizer has no further cut."""
         return array("H", [t.id for t in self.tokenizer.model.tokenize(self._known(w))]).tobytes() if w else b""
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """What ``_word`` gives for words of letters, by a call of the library for many of them."""
-        out = []
+    def _words(self, words: list[str]) -> tuple[list, list]:
+        """What ``_word`` gives for words of letters, by a call of the library for many of them: arrays of ids and of sizes."""
+        flat, sizes = [], []
         for first in range(0, len(words), CALL):
             some = words[first : first + CALL]
             ids = np.array(self.spaced.encode_batch_fast([" ".join(map(self._known, some))], add_special_tokens=False)[0].ids, "<u2")
-            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
-            raw = ids.tobytes()
+            n = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
             # No piece but the last of a word has the suffix; if some vocabulary breaks this, words are asked for one by one.
-            out += [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else map(self._word, some)
-        return out
+            if len(n) != len(some):
+                alone = [*map(self._word, some)]
+                ids, n = np.frombuffer(b"".join(alone), "<u2"), np.array([len(x) // 2 for x in alone])
+            flat.append(ids)
+            sizes.append(n)
+        return flat, sizes
+
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of ids in a row, their sizes, and which of them are those of ``words``, which are distinct."""
+        place = pc.index_in(words, value_set=self.names)
+        new = words.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            place[place < 0] = np.arange(len(self.names), len(self.names) + len(new))
+            flat, sizes = self._words(new.to_numpy(zero_copy_only=False).tolist())
+            self.names = pa.concat_arrays([self.names, new])
+            self.flat, self.sizes = np.concatenate([self.flat, *flat]), np.concatenate([self.sizes, *sizes])
+        flat, sizes = self.flat, self.sizes
+        if len(self.names) > TABLE:
+            self.names, self.flat, self.sizes = words, _dealt(flat, sizes, place), sizes[place]
+        return flat, sizes, place
 
     def _chunk(self, chunk: str):
         """A chunk whose word is new isn't kept: most are never seen again."""
@@ -160,15 +166,18 @@ class _Memo:
         words = pc.utf8_lower(pc.struct_field(cut, "word")).dictionary_encode()
         ends = pc.struct_field(cut, "end").dictionary_encode()
         others = chunks.filter(cut.is_null()).to_pylist()
-        known = [*self.words.several(words.dictionary.to_pylist(), self._words), *map(self.words.__getitem__, ends.dictionary.to_pylist()), *map(self._whole, others), b""]
+        flat, sizes, place = self._look_up(words.dictionary)
+        more = [*map(self.words.__getitem__, ends.dictionary.to_pylist()), *map(self._whole, others), b""]
         # Two parts a chunk: its word and what is behind it, or all of it and nothing.
         parts = np.empty((len(chunks), 2), np.int64)
-        parts[simple, 0] = words.indices.drop_null().to_numpy()
-        parts[simple, 1] = ends.indices.drop_null().to_numpy() + len(words.dictionary)
-        parts[~simple, 0] = np.arange(len(known) - 1 - len(others), len(known) - 1)
-        parts[~simple, 1] = len(known) - 1
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        return _dealt(np.frombuffer(b"".join(known), "<u2"), sizes, parts.ravel()), sizes[parts].sum(axis=1)
+        parts[simple, 0] = place[words.indices.drop_null().to_numpy()]
+        parts[simple, 1] = ends.indices.drop_null().to_numpy() + len(sizes)
+        nothing = len(sizes) + len(more) - 1
+        parts[~simple, 0] = np.arange(nothing - len(others), nothing)
+        parts[~simple, 1] = nothing
+        flat = np.concatenate([flat, np.frombuffer(b"".join(more), "<u2")])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, more), np.int64, len(more)) // 2])
+        return _dealt(flat, sizes, parts.ravel()), sizes[parts].sum(axis=1)
 
 
 def _dealt(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -222,7 +231,7 @@ class Encoder:
         if self.memo is None:
             got = [self.ids(t) for t in texts.to_pylist()]
             return np.frombuffer(b"".join(got), "<u2"), np.array([len(x) // 2 for x in got], np.int64)
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        cut = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()), "\n", " "), " ")
         chunks = cut.flatten().dictionary_encode()
         which = chunks.indices.to_numpy()
         flat, sizes = self.memo.several(chunks.dictionary)

@@ -254,7 +254,7 @@ def test_new_words_are_asked_for_together(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(tokens, "CALL", 100)
-    monkeypatch.setattr(tokens, "WORDS", 70)
+    monkeypatch.setattr(tokens, "TABLE", 70)
     letters = "abcdéfghiö"
     words = [f"zy{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}qu" for i in range(950)]
     texts = [" ".join(words[:500]), "\n".join(w.title() + "!" for w in words), "", " ".join(reversed(words)) + " mail@a.b"]
@@ -271,7 +271,9 @@ def test_new_words_are_asked_for_together(monkeypatch):
     flat, sizes = encoder.many(pa.array(texts))
     assert flat.tolist() == [i for x in reference(texts, False) for i in x] and sizes.tolist() == [len(x) for x in reference(texts, False)]
     assert len(asked) == 10 and len({w for some in asked for w in some}) == sum(map(len, asked)) == 950
-    assert encoder.many(pa.array(texts))[0].tolist() == flat.tolist()
+    assert encoder.many(pa.array(texts[2:]))[0].tolist() == flat[sizes[:2].sum() :].tolist() and len(asked) == 10
+    assert encoder.many(pa.array(["other words", "other", *texts]))[0].tolist() == [i for x in reference(["other words", "other", *texts], False) for i in x]
+    assert encoder.many(pa.array(["few"] * 3))[0].tolist() == reference(["few few few"], False)[0] and len(encoder.memo.names) == 1
 
 
 def test_words_are_asked_for_alone_where_ends_arent_known():
